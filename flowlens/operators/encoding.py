@@ -99,7 +99,9 @@ def prepare(
             added[PREFIX + c] = F.lit(None).cast("string")
             continue
         word = facts.modes.get(c) if token == "mode" else token
-        added[PREFIX + c] = text.prepare_category(F.col(c), word, spec.lower)
+        value = text.prepare_category(F.col(c), word, spec.lower)
+        # The encoder cannot name a slot after an empty text.
+        added[PREFIX + c] = F.when(value == "", F.lit(" ")).otherwise(value)
     return df.withColumns(added)
 
 
@@ -131,7 +133,7 @@ def feature_columns(encoder: PipelineModel, spec: FeatureSpec) -> list[str]:
     names = list(spec.numbers)
     if spec.categories:
         for column, values in zip(spec.categories, encoder.stages[0].labelsArray):
-            names += [f"{column}_{value}" for value in values]
+            names += [f"{column}_{'' if value == ' ' else value}" for value in values]
     return names
 
 

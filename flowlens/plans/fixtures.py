@@ -79,7 +79,7 @@ class Tables:
     @cached_property
     def scored(self) -> DataFrame:
         """Cleaned flows with deterministic stand-in predictions that SQL can reproduce."""
-        ruled = majority_rule(self.cleaned, ["service", "state"], "attack_cat", "predicted_attack")
+        ruled = majority_rule(self.cleaned, ["state", "dbytes"], "attack_cat", "predicted_attack")
         vpn = (
             F.when(F.col("service").isin("ssh", "-"), "VPN").when(F.col("service") == "dns", "vpn").otherwise("Non-VPN")
         )

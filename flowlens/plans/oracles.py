@@ -26,10 +26,10 @@ SCORED = """
 select c.*, v.attack_cat as predicted_attack,
  case when c.service in ('ssh','-') then 'VPN' when c.service='dns' then 'vpn' else 'Non-VPN' end as predicted_vpn
 from cleaned c join (
- select service, state, attack_cat from (
-  select service, state, attack_cat, row_number() over (partition by service, state order by count(*) desc, attack_cat) r
-  from cleaned group by service, state, attack_cat) w where r=1) v
-on c.service=v.service and c.state=v.state
+ select state, dbytes, attack_cat from (
+  select state, dbytes, attack_cat, row_number() over (partition by state, dbytes order by count(*) desc, attack_cat) r
+  from cleaned group by state, dbytes, attack_cat) w where r=1) v
+on c.state=v.state and c.dbytes=v.dbytes
 """
 
 HALF = "select max(flow_id)/2.0 as h from flows"

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,7 +80,10 @@ def _plain(path: str) -> str:
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str) -> DataFrame:
-    """Files with one common header as text columns named c0, c1, ..., plus path and bad line."""
+    """Files with one common header as text columns named c0, c1, ..., plus path and bad line.
+
+    The reader's own column pruning is off: it would not notice lines of the wrong length.
+    """
     names = [f"c{i}" for i in range(len(header))]
     fields = [T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]
     rows = (
@@ -88,6 +91,7 @@ def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], enco
         .option("header", "true")
         .option("enforceSchema", "true")
         .option("mode", "PERMISSIVE")
+        .option("columnPruning", "false")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("encoding", encoding)
         .csv(list(paths))
@@ -100,15 +104,24 @@ def _named(rows: DataFrame, header: Sequence[str], null_tokens: bool) -> tuple[D
     names = [normal_name(c) for c in header]
     keep, repeated = first_positions(names)
     value = text.null_on_read if null_tokens else (lambda c: c)
-    out = rows.select(*[value(F.col(f"c{i}")).alias(names[i]) for i in keep], SOURCE, _CORRUPT)
+    out = rows.select(*[value(F.col(f"c{i}")).alias(names[i]) for i in keep], SOURCE)
     return out, [duplicate_warning(repeated)] if repeated else []
 
 
-def _too_long(rows: DataFrame, width: int) -> DataFrame:
-    """Paths of files with a line of more fields than the header; short lines are just padded."""
+def _too_long(width: int) -> Column:
+    """Line with more fields than the header. Short lines are just padded with nulls."""
     bare = F.regexp_replace(F.col(_CORRUPT), '"[^"]*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    return rows.where(F.col(_CORRUPT).isNotNull() & (fields > width)).select(SOURCE).distinct()
+    return F.col(_CORRUPT).isNotNull() & (fields > width)
+
+
+def _checked(rows: DataFrame, width: int) -> DataFrame:
+    """Fail the scan at a line longer than the header, naming file and line start."""
+    message = F.concat(
+        F.lit("Line longer than the header in "), F.col(SOURCE), F.lit(": "), F.coalesce("c0", F.lit(""))
+    )
+    fine = F.when(_too_long(width), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(fine)
 
 
 class Captures:
@@ -149,18 +162,20 @@ def read_captures(
     tables, warnings = [], []
     for (header, charset), files in groups.items():
         rows = _scan(spark, files, header, charset)
-        table, noticed = _named(rows, header, null_tokens)
-        warnings += [w for w in noticed if w not in warnings]
-        bad = _too_long(rows, len(header))
         if on_error == "skip":
-            # As many rows as there are broken files: listed once, then files are left out whole.
+            # As many rows as there are broken files: found in one scan, then left out whole.
+            bad = rows.where(_too_long(len(header))).groupBy(SOURCE).agg(F.first("c0").alias("at"))
             broken = {_plain(r[SOURCE]) for r in bad.collect()}
             skipped += [f for f in files if _plain(f) in broken]
             files = [f for f in files if _plain(f) not in broken]
             if not files:
                 continue
-            table, _ = _named(_scan(spark, files, header, charset), header, null_tokens)
-        tables.append(table.drop(_CORRUPT))
+            rows = _scan(spark, files, header, charset)
+        else:
+            rows = _checked(rows, len(header))
+        table, noticed = _named(rows, header, null_tokens)
+        warnings += [w for w in noticed if w not in warnings]
+        tables.append(table)
     return Captures(tables, warnings, skipped)
 
 
