@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from flowlens.functions import domain, numeric, threat
 from flowlens.operators.drift import drift_of_counts
 from flowlens.operators.schema import detect_schema
+from flowlens.operators.shared import written_table
 
 ATTACK = "predicted_attack"
 VPN = "predicted_vpn"
 
 
 def _cube(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows per key and pair of predictions: the only pass over the scored table."""
+    """Rows per key and pair of predictions."""
     sides = [
         (F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in (ATTACK, VPN)
     ]
@@ -68,7 +69,9 @@ def soc_metrics(
     by = list(by)
     kind = input_type or detect_schema(df.columns).input_type
     unsupported = F.lit(kind == "unsupported")
-    cube = _cube(df, by)
+    # Percentages, top class and drift all read these counts: stored, so that the rows, and the
+    # models that score them, are gone through once.
+    cube = written_table(_cube(df, by), "cube")
     counts = (
         cube.where(F.col(ATTACK).isNotNull()).groupBy(*by, F.col(ATTACK).alias("class")).agg(F.sum("n").alias("n"))
     )

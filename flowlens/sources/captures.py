@@ -7,8 +7,10 @@ not the column. Files are grouped by header, and each group is one distributed s
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,19 +25,25 @@ SOURCE = "source_file"
 _CORRUPT = "__corrupt"
 _LATIN = "ISO-8859-1"
 _HEADER_THREADS = 16
+_HEADERS_BY_DRIVER = 64
 
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
-    """Paths below ``path``; a missing path gives none. Contents are not read."""
-    reader = spark.read.format("binaryFile")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
+    """Paths of the non-empty files below ``path``; a missing path gives none."""
     try:
-        return sorted(r["path"] for r in reader.load(path).select("path").collect())
+        return _listing(spark, path, pattern)
     except AnalysisException:
         return []
 
 
+def _listing(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
+    # Selecting the path alone lists the files without reading them.
+    reader = spark.read.format("binaryFile")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return sorted(r["path"] for r in reader.load(path).select("path").collect())
+
+
 def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str] | None:
     """Column names of one file as they stand there, or None for an empty file.
 
@@ -46,16 +54,70 @@ def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list
     line = reader.option("sep", "\u0001").option("quote", "").csv(path).first()
     if line is None or line["value"] is None:
         return None
-    return next(csv.reader([line["value"].lstrip("﻿")]))
+    return next(csv.reader([line["value"].lstrip("\ufeff")]))
 
 
 def read_headers(
     spark: SparkSession, paths: Sequence[str], encodings: dict[str, str] | None = None
 ) -> dict[str, list[str] | None]:
-    """Header per file; only the first line of each is fetched, several files at a time."""
+    """Header per file. Few files are asked one by one, many of them by tasks over the path list.
+
+    Only the first line of each file is fetched, never the whole file.
+    """
     encodings = encodings or {}
+    found: dict[str, list[str] | None] = {}
+    if len(paths) > _HEADERS_BY_DRIVER:
+        found = _headers_by_tasks(spark, paths, encodings)
+    rest = [p for p in paths if p not in found]
     with ThreadPoolExecutor(_HEADER_THREADS) as pool:
-        return dict(zip(paths, pool.map(lambda p: read_header(spark, p, encodings.get(p, "UTF-8")), paths)))
+        found.update(zip(rest, pool.map(lambda p: read_header(spark, p, encodings.get(p, "UTF-8")), rest)))
+    return found
+
+
+def _headers_by_tasks(spark: SparkSession, paths: Sequence[str], encodings: dict[str, str]) -> dict:
+    """First lines read by tasks. Paths the file system library cannot open are left out."""
+    rows = [(p, encodings.get(p, "UTF-8")) for p in paths]
+    listed = spark.createDataFrame(rows, "path string, encoding string")
+    spread = listed.repartition(min(len(paths) // 16 + 1, 2000), "path")
+    lines = spread.mapInPandas(_first_lines, "path string, line string").where("line is not null")
+    headers = {}
+    for row in lines.collect():
+        headers[row["path"]] = next(csv.reader([row["line"]])) if row["line"] else None
+    return headers
+
+
+def _first_lines(batches):
+    import pandas as pd
+    from pyarrow import fs
+
+    for pdf in batches:
+        lines = []
+        for path, encoding in zip(pdf["path"], pdf["encoding"]):
+            try:
+                # Spark lists local files as file:/x and S3 files as s3a://; the library differs.
+                uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
+                system, place = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(unquote(place) if uri.startswith("file:") else place) as stream:
+                    lines.append(_head_line(stream, encoding))
+            except Exception:  # noqa: BLE001 - whatever went wrong, the driver asks Spark instead
+                lines.append(None)
+        yield pd.DataFrame({"path": pdf["path"], "line": lines})
+
+
+def _head_line(stream, encoding: str) -> str:
+    """First line that is not blank, empty text when there is none."""
+    head = b""
+    while True:
+        block = stream.read(65_536)
+        head += block
+        text_lines = head.splitlines()
+        # The last line may be cut off unless the file has ended.
+        whole = text_lines if not block else text_lines[:-1]
+        for line in whole:
+            if line.strip():
+                return line.decode("latin-1" if encoding == _LATIN else "utf-8", "replace").lstrip("\ufeff")
+        if not block:
+            return ""
 
 
 def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
@@ -72,8 +134,6 @@ def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str
 
 def _plain(path: str) -> str:
     """Path without scheme spelling differences (file:/x, file:///x and /x are the same)."""
-    from urllib.parse import unquote
-
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
     return unquote(path)
@@ -183,9 +243,10 @@ def read_flows(
     spark: SparkSession, path: str, encoding: str = "UTF-8", null_tokens: bool = True, keep_source: bool = False
 ) -> DataFrame:
     """One file or folder of captures; fails when it is missing or holds no rows."""
-    files = list_files(spark, path)
-    if not files:
-        raise FileNotFoundError(f"Input file not found: {path}")
+    try:
+        files = _listing(spark, path)
+    except AnalysisException:
+        raise FileNotFoundError(f"Input file not found: {path}") from None
     captures = read_captures(spark, files, encoding, null_tokens=null_tokens)
     if not captures.tables or all(t.isEmpty() for t in captures.tables):
         raise ValueError(f"{path} contains no data rows.")
