@@ -11,7 +11,7 @@ from flowlens.functions import domain, numeric
 from flowlens.operators.shared import collect_lookup, join_lookup
 
 # Buckets per power of two in the first median pass, and per value range in the second.
-_PER_OCTAVE = 8192
+_PER_OCTAVE = 2048
 _PER_RANGE = 65_536
 
 

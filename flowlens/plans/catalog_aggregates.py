@@ -266,4 +266,4 @@ def _(t):
 
 @query("A18_clean_flows", "select * from cleaned")
 def _(t):
-    return t.cleaned
+    return t.clean()

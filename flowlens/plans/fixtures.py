@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.cleaning import clean_flows
 from flowlens.operators.evaluation import majority_rule
+from flowlens.operators.shared import checkpoint_folder
 from flowlens.operators.stats import class_distribution
+from flowlens.sources.sinks import write_clean
 
 FLOWS = """
 select flow_id, proto, service, state, sbytes, dbytes, attack_cat, label from (
@@ -37,6 +40,11 @@ select l_orderkey, l_linenumber, l_quantity as duration, l_extendedprice as tota
 """
 
 
+# Stored cleaned corpora by application and data folder: cleaning is a job of its own whose written
+# result the later jobs read, so one session runs it once per folder.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 class Tables:
     """Derived tables of one data folder, built on first use."""
 
@@ -54,9 +62,19 @@ class Tables:
     def vpn(self) -> DataFrame:
         return self.spark.sql(VPN.replace("from lineitem", "from {lineitem}"), lineitem=self._read("lineitem"))
 
+    def clean(self) -> DataFrame:
+        """The cleaning job itself, run anew."""
+        return clean_flows(self.flows, keep=("flow_id",))
+
     @cached_property
     def cleaned(self) -> DataFrame:
-        return clean_flows(self.flows, keep=("flow_id",))
+        """The stored cleaned corpus."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _STORED:
+            path = f"{checkpoint_folder(self.spark)}/flowlens/corpus-{uuid.uuid4().hex}"
+            write_clean(self.clean(), path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
 
     @cached_property
     def half(self):

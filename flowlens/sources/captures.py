@@ -10,7 +10,7 @@ import csv
 import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,8 +96,8 @@ def _first_lines(batches):
             try:
                 # Spark lists local files as file:/x and S3 files as s3a://; the library differs.
                 uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
-                system, place = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(unquote(place) if uri.startswith("file:") else place) as stream:
+                system, place = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+                with system.open_input_stream(place) as stream:
                     lines.append(_head_line(stream, encoding))
             except Exception:  # noqa: BLE001 - whatever went wrong, the driver asks Spark instead
                 lines.append(None)
@@ -124,19 +124,14 @@ def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str
     """UTF-8 where every line of the file decodes as such, else Latin-1. One scan of the text."""
     if not paths:
         return {}
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid")
-    )
-    bad = lines.where("not valid").select("path").distinct().collect()
-    broken = {_plain(r["path"]) for r in bad}
-    return {p: _LATIN if _plain(p) in broken else "UTF-8" for p in paths}
+    lines = spark.read.text(list(paths)).where(~F.is_valid_utf8("value"))
+    broken = {r["path"] for r in lines.select(_source_path().alias("path")).distinct().collect()}
+    return {p: _LATIN if p in broken else "UTF-8" for p in paths}
 
 
-def _plain(path: str) -> str:
-    """Path without scheme spelling differences (file:/x, file:///x and /x are the same)."""
-    if path.startswith("file:"):
-        path = "/" + path[len("file:") :].lstrip("/")
-    return unquote(path)
+def _source_path() -> Column:
+    """Path of the row's file as listings spell it; the metadata column escapes it like a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str) -> DataFrame:
@@ -156,7 +151,7 @@ def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], enco
         .option("encoding", encoding)
         .csv(list(paths))
     )
-    return rows.select(*names, _CORRUPT, F.col("_metadata.file_path").alias(SOURCE))
+    return rows.select(*names, _CORRUPT, _source_path().alias(SOURCE))
 
 
 def _named(rows: DataFrame, header: Sequence[str], null_tokens: bool) -> tuple[DataFrame, list[str]]:
@@ -225,9 +220,9 @@ def read_captures(
         if on_error == "skip":
             # As many rows as there are broken files: found in one scan, then left out whole.
             bad = rows.where(_too_long(len(header))).groupBy(SOURCE).agg(F.first("c0").alias("at"))
-            broken = {_plain(r[SOURCE]) for r in bad.collect()}
-            skipped += [f for f in files if _plain(f) in broken]
-            files = [f for f in files if _plain(f) not in broken]
+            broken = {r[SOURCE] for r in bad.collect()}
+            skipped += [f for f in files if f in broken]
+            files = [f for f in files if f not in broken]
             if not files:
                 continue
             rows = _scan(spark, files, header, charset)

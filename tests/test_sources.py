@@ -39,19 +39,19 @@ def test_duplicate_headers_keep_first(spark, tmp_path):
 
 
 def test_auto_encoding_per_file(spark, tmp_path):
-    a = put(tmp_path, "a.csv", "x\nné\n", "latin-1")
+    a = put(tmp_path, "a +%41 b.csv", "x\nné\n", "latin-1")
     b = put(tmp_path, "b.csv", "x\nñu\n", "utf-8")
     assert sorted(r["x"] for r in captures.read_many(spark, [a, b]).collect()) == ["né", "ñu"]
 
 
 def test_short_lines_pad_and_long_lines_break(spark, tmp_path):
-    short = put(tmp_path / "d", "short.csv", "a,b,c\n1,2\n3,4,5\n")
-    long = put(tmp_path / "d", "long.csv", 'a,b,c\n1,2,3\n4,5,6,\n"x,y",1,2\n')
-    put(tmp_path / "d", "notes.txt", "a,b,c\n9,9,9\n")
+    short = put(tmp_path / "d +%41 e", "short.csv", "a,b,c\n1,2\n3,4,5\n")
+    long = put(tmp_path / "d +%41 e", "long.csv", 'a,b,c\n1,2,3\n4,5,6,\n"x,y",1,2\n')
+    put(tmp_path / "d +%41 e", "notes.txt", "a,b,c\n9,9,9\n")
     assert sorted(tuple(r) for r in captures.read_flows(spark, short).fillna("").collect()) == [("1", "2", ""), ("3", "4", "5")]
-    kept = captures.read_dirs(spark, [str(tmp_path / "d"), str(tmp_path / "nowhere")])
+    kept = captures.read_dirs(spark, [str(tmp_path / "d +%41 e"), str(tmp_path / "nowhere")])
     assert kept.count() == 2
-    assert captures.read_captures(spark, [short, long], on_error="skip").skipped == [long]
+    assert captures.read_captures(spark, ["file:" + short, "file:" + long], on_error="skip").skipped == ["file:" + long]
     with pytest.raises(Exception, match="Line longer than the header"):
         captures.read_flows(spark, long).collect()
     with pytest.raises(Exception, match="Line longer than the header"):
@@ -73,15 +73,15 @@ def test_nothing_loaded(spark, tmp_path):
 
 
 def test_headers_by_tasks_equal_headers_by_driver(spark, tmp_path, monkeypatch):
-    names = [put(tmp_path / "many files", f"f{i}.csv", f"\n A{i % 3} ,é\r\n1,2\n") for i in range(7)]
-    names.append(put(tmp_path / "many files", "blank.csv", "\n\n"))
-    paths = captures.list_files(spark, str(tmp_path / "many files"))
+    names = [put(tmp_path / "many +files%41", f"f{i}.csv", f"\n A{i % 3} ,é\r\n1,2\n") for i in range(7)]
+    names.append(put(tmp_path / "many +files%41", "blank.csv", "\n\n"))
+    paths = captures.list_files(spark, str(tmp_path / "many +files%41"))
     assert len(paths) == len(names)
     by_driver = captures.read_headers(spark, paths)
     assert len(captures._headers_by_tasks(spark, paths, {})) == len(paths)
     monkeypatch.setattr(captures, "_HEADERS_BY_DRIVER", 1)
     assert captures.read_headers(spark, paths) == by_driver
-    assert captures.read_flows(spark, str(tmp_path / "many files")).count() == 7
+    assert captures.read_flows(spark, str(tmp_path / "many +files%41")).count() == 7
 
 
 def test_predictions_round_trip(spark, tmp_path):
@@ -97,7 +97,7 @@ def test_predictions_round_trip(spark, tmp_path):
 def test_drift_file_has_three_columns(spark, tmp_path):
     train = spark.createDataFrame([("a", 1.0)], "class string, share double")
     verdict = drift(train, train.select(F.col("class").alias("p")), "p")
-    sinks.write_drift(verdict, str(tmp_path / "d"))
-    back = captures.read_flows(spark, str(tmp_path / "d"))
+    sinks.write_drift(verdict, str(tmp_path / "d +%41 e"))
+    back = captures.read_flows(spark, str(tmp_path / "d +%41 e"))
     assert back.columns == ["js_distance", "threshold", "drift_status"]
     assert tuple(back.first()) == ("0.0", "0.2", "No Concept Drift Detected")
