@@ -40,7 +40,8 @@ def null_on_read(col: Column) -> Column:
 
 
 def clean_category(col: Column, fill: str = domain.TRAINING_FILL) -> Column:
-    return fill_constant(null_if_in(strip(stringify(col)), domain.CATEGORY_NULL_TOKENS), fill)
+    """Category from stripped text, its missing-value spellings filled."""
+    return F.when(col.isNull() | col.isin(*domain.CATEGORY_NULL_TOKENS), F.lit(fill)).otherwise(col)
 
 
 def map_values(col: Column, mapping: Mapping[str, str]) -> Column:
@@ -51,8 +52,11 @@ def map_values(col: Column, mapping: Mapping[str, str]) -> Column:
 
 
 def clean_class(col: Column) -> Column:
-    named = null_if_in(strip(stringify(col)), domain.CLASS_NULL_TOKENS)
-    return map_values(named, domain.CLASS_ALIASES)
+    """Class name from stripped text: missing-value spellings become null, aliases their class."""
+    chain = F.when(col.isin(*domain.CLASS_NULL_TOKENS), F.lit(None).cast("string"))
+    for old, new in domain.CLASS_ALIASES.items():
+        chain = chain.when(col == old, F.lit(new))
+    return chain.otherwise(col)
 
 
 def resolve_class(cls: Column, flag: Column) -> Column:

@@ -15,15 +15,25 @@ REQUIRED = (*domain.INTRUSION_COLUMNS, domain.INTRUSION_TARGET, domain.INTRUSION
 
 
 def typed_flows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Required columns, cleaned and typed but not yet imputed or filtered."""
+    """Required columns, cleaned and typed but not yet imputed or filtered.
+
+    Stripping is a projection of its own: the rules after it mention the text several times, and
+    would otherwise each strip it again.
+    """
     types = dict(df.dtypes)
-    number = lambda c: numeric.as_number(F.col(c), types[c])
-    return df.select(
+    words = (*domain.INTRUSION_CATEGORICAL, domain.INTRUSION_TARGET)
+    numbers = (*domain.INTRUSION_NUMERIC, domain.INTRUSION_FLAG)
+    stripped = df.select(
+        *keep,
+        *[text.strip(text.stringify(F.col(c))).alias(c) for c in words],
+        *[numeric.as_number(F.col(c), types[c]).alias(c) for c in numbers],
+    )
+    return stripped.select(
         *keep,
         *[text.clean_category(F.col(c)).alias(c) for c in domain.INTRUSION_CATEGORICAL],
-        *[number(c).alias(c) for c in domain.INTRUSION_NUMERIC],
+        *domain.INTRUSION_NUMERIC,
         text.clean_class(F.col(domain.INTRUSION_TARGET)).alias(domain.INTRUSION_TARGET),
-        number(domain.INTRUSION_FLAG).alias(domain.INTRUSION_FLAG),
+        domain.INTRUSION_FLAG,
     )
 
 

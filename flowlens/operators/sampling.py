@@ -2,8 +2,9 @@
 
 Rows of a class are ordered by a digest of seed and id. Instead of numbering all of them, the
 rows are counted per digest prefix; the running sum of that small table finds the prefix where
-the wanted rank falls, and only rows of that one prefix are ranked. The resulting cut-off per
-class turns the selection into a map-side comparison, whatever share of the rows a class holds.
+the wanted rank falls. As long as that prefix still holds many rows, longer prefixes are counted
+within it; only what remains is ranked. The resulting cut-off per class turns the selection into
+a map-side comparison, whatever share of the rows a class holds.
 """
 
 from __future__ import annotations
@@ -14,47 +15,81 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain, numeric
+from flowlens.operators import shared
 from flowlens.operators.shared import checked_lookup, hash_key, join_lookup, repeat_rows
 from flowlens.operators.stats import class_counts
 
-# Leading hex digits of the digest: 16**4 prefixes per class.
-_PREFIX_DIGITS = 4
+# Hex digits a counting pass adds: 16**3 prefixes per class keep its shuffle small.
+_DIGITS = 3
+# Rows of one prefix that a single task may rank.
+_RANKED_ROWS = 1_000_000
 
 
 def rank_cutoffs(
     df: DataFrame, strata: Sequence[str], row_id: str, take: Column, seed: int | str
 ) -> DataFrame:
     """Per stratum: its size ``n``, ``take`` (an expression over strata and n), and the digest and
-    id of the last row taken. The id has to be unique."""
+    id of the last row taken. The id has to be unique.
+
+    ``cut`` is null where no row is taken and where all are.
+    """
     strata = list(strata)
     keyed = df.select(*strata, row_id, hash_key(seed, row_id).alias("digest"))
-    prefix = F.substring("digest", 1, _PREFIX_DIGITS)
-    running = Window.partitionBy(*strata).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    counted = keyed.groupBy(*strata, prefix.alias("prefix")).agg(F.count("*").alias("in_prefix"))
-    located = (
-        counted.withColumn("upto", F.sum("in_prefix").over(running))
-        .withColumn("n", F.sum("in_prefix").over(Window.partitionBy(*strata)))
-        .withColumn("take", take.cast("bigint"))
-        .withColumn("rest", F.col("take") - (F.col("upto") - F.col("in_prefix")))
-    )
-    sizes = checked_lookup(
-        located.groupBy(*strata).agg(
-            F.first("n").alias("n"),
-            F.first("take").alias("take"),
-            F.max(F.when(F.col("rest").between(1, F.col("in_prefix")), F.struct("prefix", "rest"))).alias("edge"),
+    length = _DIGITS
+    whole = Window.partitionBy(*strata)
+    counted = keyed.groupBy(*strata, F.substring("digest", 1, length).alias("prefix")).agg(F.count("*").alias("here"))
+    sized = counted.withColumn("n", F.sum("here").over(whole)).withColumn("take", take.cast("bigint"))
+    ranked = sized.withColumn("rank", F.when(F.col("take") < F.col("n"), F.col("take")))
+    edges, rows = _edges(ranked, strata)
+    while length < 32 and _too_many(rows, length):
+        # Longer prefixes, counted only among the rows of the prefix found so far.
+        scope = join_lookup(keyed, edges.where("prefix is not null"), strata, "inner").where(
+            F.substring("digest", 1, length) == F.col("prefix")
         )
-    )
-    edge = sizes.where("edge is not null").select(*strata, "edge.prefix", "edge.rest")
-    edge = edge.withColumnRenamed("prefix", "edge_prefix")
+        length += _DIGITS
+        finer = scope.groupBy(*strata, "rank", F.substring("digest", 1, length).alias("prefix")).agg(
+            F.count("*").alias("here")
+        )
+        found, _ = _edges(finer.withColumns({"n": F.lit(0), "take": F.lit(0)}), strata)
+        placed = found.select(*strata, "prefix", "rank", "here")
+        edges, rows = _lookup(join_lookup(edges.select(*strata, "n", "take"), placed, strata))
     order = Window.partitionBy(*strata).orderBy("digest", row_id)
     cuts = (
-        join_lookup(keyed, edge, strata, "inner")
-        .where(prefix == F.col("edge_prefix"))
-        .withColumn("rank", F.row_number().over(order))
-        .where("rank = rest")
+        join_lookup(keyed, edges.where("prefix is not null").select(*strata, "prefix", "rank"), strata, "inner")
+        .where(F.substring("digest", 1, length) == F.col("prefix"))
+        .withColumn("place", F.row_number().over(order))
+        .where("place = rank")
         .select(*strata, F.struct(F.col("digest"), F.col(row_id).alias("id")).alias("cut"))
     )
-    return join_lookup(sizes.drop("edge"), cuts, strata)
+    return join_lookup(edges.select(*strata, "n", "take"), cuts, strata)
+
+
+def _edges(counted: DataFrame, strata: list[str]):
+    """Per stratum the prefix that holds ``rank``, its rows, and the rank counted from its start."""
+    running = Window.partitionBy(*strata).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("rest", F.col("rank") - F.sum("here").over(running) + F.col("here"))
+    edge = F.max(F.when(F.col("rest").between(1, F.col("here")), F.struct("prefix", "rest", "here")))
+    per_stratum = upto.groupBy(*strata).agg(F.first("n").alias("n"), F.first("take").alias("take"), edge.alias("edge"))
+    return _lookup(
+        per_stratum.select(
+            *strata, "n", "take", F.col("edge.prefix").alias("prefix"), F.col("edge.rest").alias("rank"), F.col("edge.here").alias("here")
+        )
+    )
+
+
+def _lookup(df: DataFrame):
+    """The table as a broadcast of checked size with its rows, or as it is and None."""
+    rows = shared.collect_lookup(df)
+    if rows is None:
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
+
+
+def _too_many(rows: list | None, length: int) -> bool:
+    if rows is None:
+        # Sizes unknown: one more pass leaves a fraction of 16**6 of each stratum.
+        return length < 2 * _DIGITS
+    return max((r["here"] or 0 for r in rows), default=0) > _RANKED_ROWS
 
 
 def _with_cutoffs(df: DataFrame, cutoffs: DataFrame, strata: Sequence[str], row_id: str, seed: int | str):

@@ -11,8 +11,8 @@ from flowlens.functions import domain, numeric
 from flowlens.operators.shared import collect_lookup, join_lookup
 
 # Buckets per power of two in the first median pass, and per value range in the second.
-_PER_OCTAVE = 2048
-_PER_RANGE = 65_536
+_PER_OCTAVE = 256
+_PER_RANGE = 4096
 
 
 def row_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -151,7 +151,7 @@ def _(t):
     ("flows",),
 )
 def _(t):
-    return t.flows.select("flow_id", *[text.clean_category(F.col(c)).alias(c) for c in ("proto", "state")])
+    return t.flows.select("flow_id", *[text.clean_category(text.strip(F.col(c))).alias(c) for c in ("proto", "state")])
 
 
 @query(
@@ -161,7 +161,7 @@ def _(t):
     ("flows",),
 )
 def _(t):
-    return t.flows.select("flow_id", text.clean_class(F.col("attack_cat")).alias("attack_cat"))
+    return t.flows.select("flow_id", text.clean_class(text.strip(F.col("attack_cat"))).alias("attack_cat"))
 
 
 @query("N4_fill_constant", "select flow_id, coalesce(proto,'unknown') as proto from flows", ("flows",))

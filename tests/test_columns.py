@@ -33,7 +33,7 @@ def test_coerce_number(spark):
 
 def test_class_cleaning(spark):
     df = column(spark, [" Backdoors", "Reconnaissance ", "--", "-", "", "NULL", "normal", None])
-    got = apply(df, text.clean_class(F.col("v")))
+    got = apply(df, text.clean_class(text.strip(F.col("v"))))
     assert got == ["Backdoor", "Reconnaissance", None, None, None, None, "normal", None]
 
 

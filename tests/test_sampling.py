@@ -44,6 +44,15 @@ def test_split_without_lookups(spark, monkeypatch):
     assert sorted(tuple(r) for r in sampling.tag_split(df, "y", "id").collect()) == expected
 
 
+def test_split_with_longer_prefixes(spark, monkeypatch):
+    """A prefix with too many rows to rank is counted again by more digits, to the same result."""
+    df = skewed(spark, SIZES)
+    expected = sorted(tuple(r) for r in sampling.tag_split(df, "y", "id").collect())
+    monkeypatch.setattr(sampling, "_DIGITS", 1)
+    monkeypatch.setattr(sampling, "_RANKED_ROWS", 2)
+    assert sorted(tuple(r) for r in sampling.tag_split(df, "y", "id").collect()) == expected
+
+
 def test_split_of_null_class(spark):
     df = spark.createDataFrame([(str(i), None if i < 10 else "a") for i in range(20)], "id string, y string")
     sides = sampling.tag_split(df, "y", "id").groupBy("y", "split").count().collect()
