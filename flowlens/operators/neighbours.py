@@ -15,9 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.shared import LOOKUP_ROWS, written_table
+from flowlens.operators.shared import LOOKUP_ROWS, ship_with_tasks, written_table
+
+ship_with_tasks(__name__)
 
 _TILE_BITS = 11
+_TILES_PER_TASK = 8
 _CELLS_PER_CHUNK = 1 << 22
 
 
@@ -38,7 +41,7 @@ def tile_points(df: DataFrame, label: str, numbers: Sequence[str], categories: S
     bits = _tile_bits(points)
     slab = F.floor(F.log2(F.abs(F.col(numbers[0])) + 1) * 64)
     order = [F.col(label), slab, *[F.col(c) for c in (*numbers[1:], numbers[0], *categories)]]
-    parts = max(1, min(-(-points // (1 << bits)), 20_000))
+    parts = max(1, min(-(-points // (_TILES_PER_TASK << bits)), 20_000))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     tile = F.shiftright(F.monotonically_increasing_id(), bits)
     return written_table(placed.withColumn("tile", tile), "tiles")

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import sys
+import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A lookup of at most this many rows may be held by the driver and broadcast.
 LOOKUP_ROWS = 50_000
+_LOCAL_FOLDERS: dict[str, str] = {}
 # Copies of one row that a single array may enumerate.
 COPIES_PER_BLOCK = 10_000
 
 
+def ship_with_tasks(module: str) -> None:
+    """Send a module's functions to the Python workers along with the task.
+
+    Workers then need numpy and pandas, but no copy of this package on their path.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def collect_lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> list | None:
     """Rows of ``df`` when there are at most ``max_rows`` of them, else None."""
     rows = df.limit(max_rows + 1).collect()
@@ -81,20 +94,23 @@ def repeat_rows(df: DataFrame, copies: Column, index: str, row_id: str, most: in
 
 
 def checkpoint_folder(spark) -> str:
-    """Shared scratch folder of the cluster; a local one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+    """Shared scratch folder of the cluster, as the session names it.
 
-        folder = tempfile.mkdtemp(prefix="flowlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    Only a local session without one gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="flowlens-")
+    return _LOCAL_FOLDERS[application]
 
 
 def written_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: durable, columnar lineage cut."""
-    import uuid
-
     path = f"{checkpoint_folder(df.sparkSession)}/flowlens/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:

@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from flowlens.functions import text
 from flowlens.operators.relational import union_all
 from flowlens.operators.schema import duplicate_warning, first_positions, normal_name, require_columns
+from flowlens.operators.shared import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 SOURCE = "source_file"
 _CORRUPT = "__corrupt"
