@@ -63,6 +63,21 @@ def clean_flows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return filter_valid_classes(drop_unresolved_class(labelled))
 
 
+def typed_by_content(df: DataFrame, declared: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """Make text columns numbers: the declared ones always, others when every value parses.
+
+    One aggregate decides for all columns. ``keep`` names columns that stay text.
+    """
+    texts = [c for c, kind in df.dtypes if kind == "string" and c not in keep]
+    open_columns = [c for c in texts if c not in declared]
+    numbers = [c for c in texts if c in declared]
+    if open_columns:
+        unparsed = lambda c: F.col(c).isNotNull() & numeric.coerce_number(F.col(c)).isNull()
+        facts = df.agg(*[F.count_if(unparsed(c)).alias(c) for c in open_columns]).first()
+        numbers += [c for c in open_columns if facts[c] == 0]
+    return df.withColumns({c: numeric.coerce_number(F.col(c)) for c in numbers})
+
+
 def cleaning_audit(df: DataFrame) -> DataFrame:
     """Row counts after each cleaning step, in one pass with a single shuffle."""
     raw = require_columns(normalize_columns(df), REQUIRED, "intrusion flows")

@@ -92,7 +92,7 @@ def _too_many(rows: list | None, length: int) -> bool:
     return max((r["here"] or 0 for r in rows), default=0) > _RANKED_ROWS
 
 
-def _with_cutoffs(df: DataFrame, cutoffs: DataFrame, strata: Sequence[str], row_id: str, seed: int | str):
+def with_cutoffs(df: DataFrame, cutoffs: DataFrame, strata: Sequence[str], row_id: str, seed: int | str):
     """Rows with ``n``, ``take`` and whether the row is among the taken ones."""
     joined = join_lookup(df, checked_lookup(cutoffs), strata)
     place = F.struct(hash_key(seed, row_id).alias("digest"), F.col(row_id).alias("id"))
@@ -116,7 +116,7 @@ def tag_split(df: DataFrame, label: str, row_id: str, test: float = 0.2, seed: i
     """All rows with a ``split`` column: write this once instead of scanning for both sides."""
     take = F.col("n") - F.ceil(numeric.exact_fraction(test) * F.col("n"))
     cutoffs = rank_cutoffs(df, [label], row_id, take, seed)
-    tagged = _with_cutoffs(df, cutoffs, [label], row_id, seed)
+    tagged = with_cutoffs(df, cutoffs, [label], row_id, seed)
     side = F.when(F.col("__chosen"), F.lit("train")).otherwise(F.lit("test"))
     return tagged.select(*df.columns, side.alias("split"))
 
@@ -128,7 +128,7 @@ def undersample(
     limit = F.lit(cap) if isinstance(cap, int) else cap
     take = F.when(F.col(label) == cls, F.least(F.col("n"), limit)).otherwise(F.col("n"))
     cutoffs = rank_cutoffs(df, [label], row_id, take, f"under-{seed}")
-    tagged = _with_cutoffs(df, cutoffs, [label], row_id, f"under-{seed}")
+    tagged = with_cutoffs(df, cutoffs, [label], row_id, f"under-{seed}")
     return tagged.where("__chosen").select(*df.columns)
 
 
@@ -162,7 +162,7 @@ def oversample(
     grows = ~kept & (F.col("n") < target)
     take = F.when(grows, F.lit(target) % F.col("n")).otherwise(F.lit(0))
     cutoffs = rank_cutoffs(df, [label], row_id, take, f"over-{seed}")
-    tagged = _with_cutoffs(df, cutoffs, [label], row_id, f"over-{seed}")
+    tagged = with_cutoffs(df, cutoffs, [label], row_id, f"over-{seed}")
     whole = F.when(grows, F.floor(F.lit(target) / F.col("n"))).otherwise(F.lit(1))
     copies = whole + F.when(F.col("__chosen") & grows, 1).otherwise(0)
     most = target // max(sizes["smallest"] or 1, 1) + 1

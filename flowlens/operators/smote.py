@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import domain
 from flowlens.operators.neighbours import nearest_points, tile_points
-from flowlens.operators.sampling import _with_cutoffs, rank_cutoffs
+from flowlens.operators.sampling import with_cutoffs, rank_cutoffs
 from flowlens.operators.shared import collect_lookup, hash_fraction, hash_integer, hash_key, repeat_rows
 from flowlens.operators.stats import class_counts
 
@@ -70,7 +70,7 @@ def smote(
     deficit = F.lit(floor) - F.col("n")
     salt = f"smote-{seed}"
     cutoffs = rank_cutoffs(minority, [label], row_id, deficit % F.col("n"), salt)
-    tagged = _with_cutoffs(minority, cutoffs, [label], row_id, salt)
+    tagged = with_cutoffs(minority, cutoffs, [label], row_id, salt)
     wanted = F.floor(deficit / F.col("n")) + F.when(F.col("__chosen"), 1).otherwise(0)
     # Equal points share one neighbour search; copies of a hot point collapse before the shuffle.
     points = tagged.groupBy(label, *vector).agg(

@@ -242,11 +242,11 @@ def _(t):
 @query(
     "M3_standardise",
     """with s as (select avg(sbytes) ms, stddev_pop(sbytes) ss, avg(dbytes) md, stddev_pop(dbytes) sd from cleaned)
-    select flow_id, round((sbytes-ms)/ss,9) as sbytes, round((dbytes-md)/sd,9) as dbytes from cleaned, s""",
+    select flow_id, round((sbytes-ms)/ss,6) as sbytes, round((dbytes-md)/sd,6) as dbytes from cleaned, s""",
 )
 def _(t):
     scaled = standardised(t.cleaned, domain.INTRUSION_NUMERIC)
-    return scaled.select("flow_id", *[F.round(c, 9).alias(c) for c in domain.INTRUSION_NUMERIC])
+    return scaled.select("flow_id", *[F.round(c, 6).alias(c) for c in domain.INTRUSION_NUMERIC])
 
 
 @query(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.cleaning import clean_flows
 from flowlens.operators.drift import drift
-from flowlens.operators.relational import distinct_rows
 from flowlens.operators.shared import checkpoint_folder
+from flowlens.plans import jobs
 from flowlens.plans.registry import query
 from flowlens.sources import captures, sinks
 
@@ -182,13 +182,15 @@ def _(t):
 
 @query(
     "E3_build_vpn_corpus",
-    "select class1, count(*) as n from (select distinct duration, total_fiat, class1 from vpn) x group by 1",
+    "select class1, count(*) as n, round(sum(duration),2) as duration, round(sum(total_fiat),2) as total_fiat from (select distinct duration, total_fiat, class1 from vpn) x group by 1",
     ("vpn",),
 )
 def _(t):
+    """Folders of captures, merged, typed, deduped, written and read again."""
     place = _place(t, "vpn")
     columns = ["duration", "total_fiat", "class1"]
     for number, part in enumerate(("l_linenumber < 3", "l_linenumber >= 3")):
         _export(t.vpn.where(part).select(*columns), f"{place}/{number}")
-    merged = distinct_rows(captures.read_dirs(t.spark, [f"{place}/0", f"{place}/1"]))
-    return merged.groupBy("class1").agg(F.count("*").alias("n"))
+    corpus = jobs.build_vpn_corpus(t.spark, [f"{place}/0", f"{place}/1"], f"{place}/corpus")
+    sums = [F.round(F.sum(c), 2).alias(c) for c in columns[:2]]
+    return corpus.groupBy("class1").agg(F.count("*").alias("n"), *sums)

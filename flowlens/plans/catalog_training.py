@@ -32,7 +32,7 @@ def _long_sql(source: str, number: str, word: str, known: str = "") -> str:
         f"select flow_id, '{c}_' || {word.format(c=c)} as feature, 1.0::double as value from {source} where {word.format(c=c)} is not null {known.format(c=c, w=word.format(c=c))}"
         for c in _CATEGORIES
     ]
-    return f"select flow_id, feature, round(value,9) as value from ({' union all '.join(parts)}) x where value <> 0"
+    return f"select flow_id, feature, round(value,6) as value from ({' union all '.join(parts)}) x where value <> 0"
 
 
 @query("F1_one_hot", _long_sql("cleaned", "{c}", "lower(trim({c}))"))
@@ -99,7 +99,7 @@ def _(t):
     rows = t.flows.dropDuplicates()
     encoder, _, rows = _encoded(rows, rows, spec)
     long = encoding.exploded_features(rows, encoder, spec, _ID)
-    return long.withColumn("value", F.round("value", 9))
+    return long.withColumn("value", F.round("value", 6))
 
 
 def _rank(seed: str) -> str:

@@ -5,12 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.cleaning import clean_flows
-from flowlens.operators.evaluation import majority_rule
-from flowlens.operators.shared import checkpoint_folder
+from flowlens.operators.shared import checked_lookup, checkpoint_folder, join_lookup
 from flowlens.operators.stats import class_distribution
 from flowlens.sources.sinks import write_clean
 
@@ -40,6 +39,16 @@ select l_orderkey, l_linenumber, l_quantity as duration, l_extendedprice as tota
 """
 
 
+
+
+def majority_rule(df: DataFrame, keys: list[str], label: str, output: str) -> DataFrame:
+    """Deterministic stand-in for a classifier: the most frequent class per key, ties by name."""
+    votes = df.groupBy(*keys, label).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc(label))
+    best = votes.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    return join_lookup(df, checked_lookup(best.select(*keys, F.col(label).alias(output))), keys)
+
+
 # Stored cleaned corpora by application and data folder: cleaning is a job of its own whose written
 # result the later jobs read, so one session runs it once per folder.
 _STORED: dict[tuple[str, str], str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain
-from flowlens.operators.cleaning import clean_flows
+from flowlens.operators.cleaning import clean_flows, typed_by_content
 from flowlens.operators.drift import drift
 from flowlens.operators.relational import distinct_rows, enrich_intelligence
 from flowlens.operators.schema import normalize_columns, require_columns
@@ -26,18 +26,14 @@ def build_intrusion_corpus(spark: SparkSession, paths: Iterable[str], output: st
 
 
 def build_vpn_corpus(spark: SparkSession, folders: Iterable[str], output: str) -> DataFrame:
-    merged = distinct_rows(captures.read_dirs(spark, folders))
-    sinks.write_clean(merged, output)
-    return spark.read.parquet(output)
-
-
-def typed_vpn(df: DataFrame) -> DataFrame:
-    """Numbers for the signature columns of a text corpus; other columns stay as they are."""
-    from flowlens.functions.numeric import as_number
+    """Merge folders of captures, type them, drop equal rows, write Parquet.
 
-    types = dict(df.dtypes)
-    present = [c for c in domain.VPN_COLUMNS if c in types]
-    return df.withColumns({c: as_number(F.col(c), types[c]) for c in present})
+    Numbers are parsed before rows are compared, so 1 and 1.0 of two files are equal.
+    """
+    merged = normalize_columns(captures.read_dirs(spark, folders))
+    typed = typed_by_content(merged, domain.VPN_COLUMNS, (domain.VPN_TARGET,))
+    sinks.write_clean(distinct_rows(typed), output)
+    return spark.read.parquet(output)
 
 
 def with_row_id(df: DataFrame, name: str = "flow_id") -> DataFrame:

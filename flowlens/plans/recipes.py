@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import domain, text
 from flowlens.operators import evaluation, sampling
-from flowlens.operators.encoding import PREFIX, FeatureSpec, NumberFacts, fit_facts, fit_one_hot, prepare
+from flowlens.operators.encoding import PREFIX, FeatureSpec, NumberFacts, feature_columns, fit_facts, fit_one_hot, prepare
 from flowlens.operators.schema import drop_target, require_columns, split_by_type
 from flowlens.operators.shared import written_table
 from flowlens.operators.smote import smote
@@ -159,7 +159,8 @@ def _blend(rows: DataFrame, encoder: PipelineModel, spec: FeatureSpec) -> DataFr
     swapped = first.select(*kept, "__from", *[F.col(f"{c}_nb").alias(c) for c in words])
     second = encoder.transform(swapped).withColumn("__to", vector_to_array("features"))
     mixed = F.zip_with("__from", "__to", lambda a, b: a + F.col("gap") * (b - a))
-    return second.select(*[c for c in rows.columns if c in kept and c not in [f"{w}_nb" for w in words]], array_to_vector(mixed).alias("features"))
+    ends = [f"{w}_nb" for w in words]
+    return second.select(*[c for c in kept if c not in ends], array_to_vector(mixed).alias("features"))
 
 
 def _classifier(recipe: Recipe, params: Mapping, inputs: int, classes: int):
@@ -213,11 +214,7 @@ def train(recipe: Recipe, df: DataFrame, row_id: str = "flow_id", test: float =
     keep = ["features", "__label", *(["weight"] if recipe.weighted else [])]
     ready = indexer.transform(features).select(*keep)
 
-    width = ready.schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
-    if width is None:
-        from flowlens.operators.encoding import feature_columns
-
-        width = len(feature_columns(encoder, spec))
+    width = len(feature_columns(encoder, spec))
     params = {**recipe.params, **overrides}
     fitted = _classifier(recipe, params, width, len(indexer.labels)).fit(ready)
     decode = IndexToString(inputCol="prediction", outputCol=recipe.output, labels=list(indexer.labels))

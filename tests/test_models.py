@@ -175,6 +175,21 @@ def test_jobs_end_to_end(spark, tmp_path, tables):
     assert verdict.first()["threshold"] == 0.2
 
 
+def test_vpn_job_types_text_captures(spark, tmp_path, vpn_rows):
+    """Numbers that came as text are features by value; text that is no number is a category."""
+    from flowlens.sources import sinks
+
+    sinks.write_clean(vpn_rows.drop("flow_id").withColumn("empty", F.lit(None).cast("string")), str(tmp_path / "raw"), "csv")
+    corpus = jobs.build_vpn_corpus(spark, [str(tmp_path / "raw")], str(tmp_path / "corpus"))
+    kinds = dict(corpus.dtypes)
+    assert kinds["duration"] == "double" and kinds["extra"] == "string" and kinds["class1"] == "string"
+    assert corpus.count() == vpn_rows.drop("flow_id").distinct().count()
+    trained = jobs.train_recipe(corpus, "forest_vpn", str(tmp_path / "model"), **TREES)
+    assert trained.spec.categories == ("extra",) and set(recipes.domain.VPN_COLUMNS) <= set(trained.spec.numbers)
+    report, metrics, facts = jobs.score_files(spark, str(tmp_path / "raw"), str(tmp_path / "out"), None, str(tmp_path / "model"))
+    assert report.input_type == "vpn" and facts is None and metrics.first()["total_records"] == 600
+
+
 def test_row_ids_are_unique_and_partition_free(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), ("b", None), ("b", 2)], "x string, n int")
     ids = [sorted(r["id"] for r in jobs.with_row_id(df.repartition(p), "id").collect()) for p in (1, 5)]
