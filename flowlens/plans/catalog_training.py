@@ -11,9 +11,10 @@ from flowlens.operators import encoding, sampling
 from flowlens.operators.shared import checkpoint_folder
 from flowlens.operators.smote import smote
 from flowlens.operators.stats import class_counts
-from flowlens.plans import recipes
+from flowlens.plans import jobs, recipes
 from flowlens.plans.registry import query
 from flowlens.plans.scoring import score_auto, score_intrusion, score_vpn
+from flowlens.sources import sinks
 
 _LABEL, _ID = domain.INTRUSION_TARGET, "flow_id"
 _CATEGORIES = domain.INTRUSION_CATEGORICAL
@@ -335,3 +336,22 @@ def _(t):
     loaded, _ = recipes.load_recipe(t.spark, place)
     missed = score_intrusion(t.cleaned, loaded).where("predicted_attack is null").agg(F.count("*")).scalar()
     return loaded.distribution.select("class", F.round("share", 9).alias("share"), (missed == 0).alias("predicts"))
+
+
+@query(
+    "E1_score_files",
+    """select count(*) as total_records, count(*) as total_attacks, 100.0::double as attack_percentage, true as bounded,
+    count(*) as written from flows""",
+    ("flows",),
+)
+def _(t):
+    """Captures on disk, scored with a stored recipe, written, rolled up."""
+    place = f"{checkpoint_folder(t.spark)}/flowlens/scored/{uuid.uuid4().hex}"
+    recipes.save_recipe(_train(t, "forest_baseline"), f"{place}/model")
+    sinks.write_clean(t.flows.drop(_LABEL, "label"), f"{place}/captures", "csv")
+    report, metrics, _ = jobs.score_files(t.spark, f"{place}/captures", f"{place}/out", f"{place}/model")
+    bounded = F.col("risk_score").between(50, 94.98) & F.col("js_distance").between(0, 0.8326)
+    written = report.scored.agg(F.count("predicted_attack")).scalar()
+    return metrics.select(
+        "total_records", "total_attacks", "attack_percentage", bounded.alias("bounded"), written.alias("written")
+    )

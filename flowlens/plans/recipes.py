@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.errors import AnalysisException
@@ -232,19 +232,18 @@ def train(recipe: Recipe, df: DataFrame, row_id: str = "flow_id", test: float =
 
 
 def evaluate(trained: Trained, test: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Scores on the untouched test rows; all of them derive from the predictions' pair counts."""
+    """Scores on the untouched test rows. The model runs once: its pair counts are stored."""
     rows = trained.test if test is None else test
     prepared = prepare(rows, trained.spec, trained.facts)
-    scored = trained.model.transform(prepared).select(trained.recipe.target, trained.recipe.output)
-    pair = (trained.recipe.target, trained.recipe.output)
-    makers: dict[str, Callable[..., DataFrame]] = {
-        "confusion_matrix": evaluation.confusion_matrix,
-        "accuracy": evaluation.accuracy,
-        "classification_report": evaluation.classification_report,
-        "f1_averages": evaluation.f1_averages,
-        "per_class_recall": evaluation.per_class_recall,
+    scored = trained.model.transform(prepared)
+    pairs = written_table(evaluation.pair_counts(scored, trained.recipe.target, trained.recipe.output), "pairs")
+    return {
+        "confusion_matrix": evaluation.sorted_matrix(pairs),
+        "accuracy": evaluation.accuracy_of(pairs),
+        "classification_report": evaluation.report_of(pairs),
+        "f1_averages": evaluation.f1_averages_of(pairs),
+        "per_class_recall": evaluation.recall_of(pairs),
     }
-    return {name: make(scored, *pair) for name, make in makers.items()}
 
 
 _PARTS = ("model", "distribution", "metadata")

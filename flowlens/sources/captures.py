@@ -137,10 +137,12 @@ def _source_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str) -> DataFrame:
+def _scan(
+    spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str, checked: bool = True
+) -> DataFrame:
     """Files with one common header as text columns named c0, c1, ..., plus path and bad line.
 
-    The reader's own column pruning is off: it would not notice lines of the wrong length.
+    To notice lines of the wrong length the reader's own column pruning has to be off.
     """
     names = [f"c{i}" for i in range(len(header))]
     fields = [T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]
@@ -149,7 +151,7 @@ def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str], enco
         .option("header", "true")
         .option("enforceSchema", "true")
         .option("mode", "PERMISSIVE")
-        .option("columnPruning", "false")
+        .option("columnPruning", str(not checked).lower())
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("encoding", encoding)
         .csv(list(paths))
@@ -204,8 +206,9 @@ def read_captures(
     """Read files of possibly different headers.
 
     ``encoding="auto"`` checks each file and takes Latin-1 where UTF-8 fails. A file with a line
-    longer than its header is unreadable: ``on_error="skip"`` leaves that whole file out, "raise"
-    stops at the scan.
+    longer than its header is unreadable: ``on_error="skip"`` leaves that whole file out, at the
+    price of one more scan, and "raise" stops the scan. "ignore" drops the surplus fields and lets
+    the reader parse only the columns a query needs.
     """
     paths = list(paths)
     encodings = detect_encodings(spark, paths) if encoding == "auto" else dict.fromkeys(paths, encoding)
@@ -219,7 +222,7 @@ def read_captures(
             groups.setdefault((tuple(headers[path]), encodings[path]), []).append(path)
     tables, warnings = [], []
     for (header, charset), files in groups.items():
-        rows = _scan(spark, files, header, charset)
+        rows = _scan(spark, files, header, charset, checked=on_error != "ignore")
         if on_error == "skip":
             # As many rows as there are broken files: found in one scan, then left out whole.
             bad = rows.where(_too_long(len(header))).groupBy(SOURCE).agg(F.first("c0").alias("at"))
@@ -228,8 +231,8 @@ def read_captures(
             files = [f for f in files if f not in broken]
             if not files:
                 continue
-            rows = _scan(spark, files, header, charset)
-        else:
+            rows = _scan(spark, files, header, charset, checked=False)
+        elif on_error == "raise":
             rows = _checked(rows, len(header))
         table, noticed = _named(rows, header, null_tokens)
         warnings += [w for w in noticed if w not in warnings]
@@ -238,14 +241,19 @@ def read_captures(
 
 
 def read_flows(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", null_tokens: bool = True, keep_source: bool = False
+    spark: SparkSession,
+    path: str,
+    encoding: str = "UTF-8",
+    null_tokens: bool = True,
+    keep_source: bool = False,
+    on_error: str = "raise",
 ) -> DataFrame:
     """One file or folder of captures; fails when it is missing or holds no rows."""
     try:
         files = _listing(spark, path)
     except AnalysisException:
         raise FileNotFoundError(f"Input file not found: {path}") from None
-    captures = read_captures(spark, files, encoding, null_tokens=null_tokens)
+    captures = read_captures(spark, files, encoding, on_error, null_tokens)
     if not captures.tables or all(t.isEmpty() for t in captures.tables):
         raise ValueError(f"{path} contains no data rows.")
     return captures.table(keep_source)

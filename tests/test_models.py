@@ -73,6 +73,18 @@ def test_recipe_parameters_are_the_published_ones():
     assert r["perceptron"].params == {"hidden": (128, 64), "maxIter": 50}
 
 
+def test_fitting_rows(flows):
+    """By default a category that only test rows have is unseen; fit_on="all" sees it."""
+    train_ids = recipes.train(recipes.RECIPES["forest_baseline"], flows, **TREES).test.select("flow_id").limit(1)
+    odd = flows.join(train_ids.withColumn("hit", F.lit(True)), "flow_id", "left")
+    odd = odd.withColumn("service", F.when(F.col("hit"), "rare").otherwise(F.col("service"))).drop("hit")
+    for fit_on, seen in (("train", False), ("all", True)):
+        recipe = recipes.replace(recipes.RECIPES["forest_baseline"], fit_on=fit_on)
+        trained = recipes.train(recipe, odd, **TREES)
+        names = encoding.feature_columns(recipes.PipelineModel(stages=trained.model.stages[:3]), trained.spec)
+        assert ("service_rare" in names) == seen
+
+
 def test_distribution_is_that_of_the_original_split(baseline, flows):
     shares = {r["class"]: r["share"] for r in baseline.distribution.collect()}
     assert shares["DoS"] == pytest.approx(0.1, abs=0.002) and sum(shares.values()) == pytest.approx(1.0)

@@ -18,6 +18,7 @@ CHECKED = [
     "R1_stratified_split",
     "R2_undersample",
     "R3_oversample",
+    "R4_smote",
     "S1_read_flows",
     "U3_class_set_operations",
 ]

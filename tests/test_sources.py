@@ -58,6 +58,13 @@ def test_short_lines_pad_and_long_lines_break(spark, tmp_path):
         captures.read_flows(spark, long).count()
 
 
+def test_ignoring_long_lines(spark, tmp_path):
+    path = put(tmp_path, "long.csv", "a,b\n1,2\n3,4,5\n6\n")
+    df = captures.read_flows(spark, path, on_error="ignore")
+    assert sorted(tuple(r) for r in df.fillna("").collect()) == [("1", "2"), ("3", "4"), ("6", "")]
+    assert sorted(r["b"] or "" for r in df.select("b").collect()) == ["", "2", "4"] and df.count() == 3
+
+
 def test_quoted_comma_is_not_a_long_line(spark, tmp_path):
     path = put(tmp_path, "q.csv", 'a,b\n"x,y",1\n')
     assert tuple(captures.read_flows(spark, path).first()) == ("x,y", "1")
