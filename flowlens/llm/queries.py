@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.llm.jaccard import ngram_jaccard_join
+from flowlens.llm.mixing import Mix
+from flowlens.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +32,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, folder), words=3, threshold=90)
+
+
+@query("op4_mix_sources")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return Mix(documents(spark, folder)).taken()
+
+
+@query("op7_longest_first_shards")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shard_documents(documents(spark, folder), shards=40)
+    return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
