@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.jaccard import ngram_jaccard_join
+from flowlens.llm.merkle import fingerprints
 from flowlens.llm.mixing import Mix
 from flowlens.llm.sharding import shard_documents
 
@@ -43,3 +44,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     placed = shard_documents(documents(spark, folder), shards=40)
     return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_merkle_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(documents(spark, folder))
