@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from flowlens.llm.jaccard import ngram_jaccard_join
 from flowlens.llm.merkle import fingerprints
 from flowlens.llm.mixing import Mix
+from flowlens.llm.resampling import importance_resample
 from flowlens.llm.sharding import shard_documents
+from flowlens.llm.tokenfiles import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,23 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_merkle_fingerprints")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(documents(spark, folder))
+
+
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return read_token_files(write_token_files(documents(spark, folder), path(WORD_TOKENIZER), END_ID))
+
+
+def clean_labels(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
+
+
+@query("op10_importance_resampling")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resample(documents(spark, folder), clean_labels(spark, folder))
