@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.llm.decontamination import PositionalIndex
 from flowlens.llm.jaccard import ngram_jaccard_join
 from flowlens.llm.merkle import fingerprints
 from flowlens.llm.mixing import Mix
@@ -71,3 +72,37 @@ def clean_labels(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_importance_resampling")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return importance_resample(documents(spark, folder), clean_labels(spark, folder))
+
+
+OP6_SQL = r"""
+with words as (
+ select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9a-z\x{80}-\x{10FFFF}]+') w from documents),
+tests as (
+ select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9a-z\x{80}-\x{10FFFF}]+') w from benchmark),
+windows as (
+ select distinct item_id, len(p) n, array_to_string(p, ' ') p from (
+  select item_id, w[i : i + 9] p from (
+   select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from tests where len(w) > 0))),
+sizes as (select distinct n from windows),
+runs as (
+ select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') p from (
+  select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from words, sizes where len(w) >= n)),
+found as (select doc_id, i, runs.n, item_id from runs join windows on runs.p = windows.p and runs.n = windows.n),
+hits as (
+ select doc_id, count(distinct j) n_hit from (
+  select doc_id, unnest(range(i, i + n)) j from (select distinct doc_id, i, n from found)) group by doc_id),
+items as (
+ select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (
+  select distinct doc_id, cast(item_id as varchar) item_id from found) group by doc_id)
+select words.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+ sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from words left join hits on words.doc_id = hits.doc_id left join items on words.doc_id = items.doc_id
+"""
+
+
+@query("op6_positional_decontamination", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return PositionalIndex(documents(spark, folder), benchmark).report().drop("text_key")
