@@ -11,6 +11,7 @@ from flowlens.llm.decontamination import PositionalIndex
 from flowlens.llm.jaccard import ngram_jaccard_join
 from flowlens.llm.merkle import fingerprints
 from flowlens.llm.mixing import Mix
+from flowlens.llm.repeats import remove_repeats
 from flowlens.llm.resampling import importance_resample
 from flowlens.llm.sharding import shard_documents
 from flowlens.llm.tokenfiles import read_token_files, write_token_files
@@ -106,3 +107,8 @@ from words left join hits on words.doc_id = hits.doc_id left join items on words
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     return PositionalIndex(documents(spark, folder), benchmark).report().drop("text_key")
+
+
+@query("op9_fixed_block_repeats")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(documents(spark, folder), window=50).drop("spans")
