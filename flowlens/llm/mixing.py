@@ -123,7 +123,7 @@ class Mix:
 
     def placed(self) -> DataFrame:
         """Documents with their source's figures and where they start in its stream."""
-        cells = max(32, self._rows // CELL_ROWS)
+        cells = max(256, self._rows // CELL_ROWS)
         known = checked_lookup(self.sources.select("source", "rank", "source_size", "target"))
         ranked = join_lookup(self.sizes, known, ["source"], "inner").withColumn(
             "cell", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(cells).cast("long"))
@@ -168,8 +168,9 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document: doc_id, size, source, source_size, target, and taken, its words in the mix."""
         placed = self.placed()
+        # The slots come from a small table, so without a hint their number would be underestimated.
         uses = self.slots().groupBy("rank", "block").agg(F.count("*").alias("uses"))
-        used = self.spans(placed).join(uses, ["rank", "block"])
+        used = self.spans(placed).join(uses.hint("merge"), ["rank", "block"])
         words = used.groupBy(F.col("rank").alias("of_rank"), F.col("start").alias("of_start")).agg(
             F.sum((F.col("high") - F.col("low")) * F.col("uses")).alias("words")
         )
@@ -185,7 +186,8 @@ class Mix:
         space. Rows come from the input by id and text.
         """
         placed = self.placed()
-        used = self.spans(placed).join(self.slots().select("rank", "turn", "block"), ["rank", "block"])
+        slots = self.slots().select("rank", "turn", "block").hint("merge")
+        used = self.spans(placed).join(slots, ["rank", "block"])
         parts = used.groupBy("rank", "start", "turn").agg(
             F.sum(F.col("high") - F.col("low")).alias("words"),
             F.sort_array(F.collect_list(F.struct("low", "high"))).alias("parts"),
