@@ -102,8 +102,8 @@ def _describe(size: int):
                 counts.append(len(shingles))
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())],
-                ["doc_id", "n_shingles", "set_key"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_key"],
             )
 
     return run
@@ -219,8 +219,9 @@ def ngram_jaccard_join(
 
     A document's set holds the distinct runs of ``words`` words of its whole text (A-Z in lower case,
     words between ASCII white space); with fewer words, the whole sequence is its one element. Returns
-    doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and n_links
-    (other documents it links with, copies counted). Sets are compared by 64-bit shingle hashes.
+    doc_id, text_key (hash of the text), n_shingles, component_id (smallest doc_id reachable by links,
+    itself included) and n_links (other documents it links with, copies counted). Sets are compared by
+    64-bit shingle hashes.
 
     Documents without words (null or empty text) link with nothing. Rows without an id take no part:
     they come back with null component_id and no links. Repeated rows are copies of each other. Of
@@ -229,7 +230,10 @@ def ngram_jaccard_join(
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written_table(
-        base.mapInArrow(_describe(words), "doc_id long, n_shingles long, set_key binary"), "shingle-sets"
+        base.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+            _describe(words), "doc_id long, text_key long, n_shingles long, set_key binary"
+        ),
+        "shingle-sets",
     )
     classes = (
         sets.where("doc_id is not null and n_shingles > 0")
@@ -283,6 +287,7 @@ def ngram_jaccard_join(
     known = F.col("doc_id").isNotNull()
     return sets.join(named, "set_key", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.when(known, F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"),
         F.when(known & (F.col("n_shingles") > 0), F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),

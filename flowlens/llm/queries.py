@@ -36,7 +36,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_jaccard_join(documents(spark, folder), words=3, threshold=90)
+    return ngram_jaccard_join(documents(spark, folder), words=3, threshold=90).drop("text_key")
 
 
 @query("op4_mix_sources")
