@@ -14,6 +14,7 @@ from flowlens.llm.mixing import Mix
 from flowlens.llm.repeats import remove_repeats
 from flowlens.llm.resampling import importance_resample
 from flowlens.llm.sharding import shard_documents
+from flowlens.llm.surrogates import replace_personal_data
 from flowlens.llm.tokenfiles import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +113,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_fixed_block_repeats")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(documents(spark, folder), window=50).drop("spans")
+
+
+@query("op2_pii_surrogates")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The key is a secret of whoever runs the job; this one only serves the test tables."""
+    return replace_personal_data(documents(spark, folder), key=b"key of the test tables")
