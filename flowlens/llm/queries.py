@@ -13,6 +13,7 @@ from flowlens.llm.merkle import fingerprints
 from flowlens.llm.mixing import Mix
 from flowlens.llm.repeats import remove_repeats
 from flowlens.llm.resampling import importance_resample
+from flowlens.llm.revisits import TRACKING, resolve_revisits
 from flowlens.llm.sharding import shard_documents
 from flowlens.llm.surrogates import replace_personal_data
 from flowlens.llm.tokenfiles import read_token_files, write_token_files
@@ -119,3 +120,98 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """The key is a secret of whoever runs the job; this one only serves the test tables."""
     return replace_personal_data(documents(spark, folder), key=b"key of the test tables")
+
+
+# Archive records derived from ``pages``, in SQL that both engines read: one or two full responses per
+# page, a later revisit under another spelling of the URL, and for some pages one before all responses.
+RECORDS = """
+ select page_id * 4 record_id, 'response' kind, url, 1700000000 + page_id * 61 as at_second, 200 as status,
+  '"' || cast(page_id % 97 as varchar(20)) || '"' etag, 'day ' || cast(page_id % 5 as varchar(20)) modified,
+  'max-age=60' control, 'text/html' content_type, cast(null as varchar(20)) content_length, 'first' answered, html body from pages
+ union all
+ select page_id * 4 + 1, 'response', url, 1700086400 + page_id * 61, 200,
+  'W/"n' || cast(page_id % 89 as varchar(20)) || '"', 'day ' || cast(page_id % 5 as varchar(20)),
+  'max-age=90', 'text/html', cast(null as varchar(20)), 'second', html || '<!-- 2 -->' from pages where page_id % 3 = 0
+ union all
+ select page_id * 4 + 2, 'revisit',
+  case page_id % 4 when 0 then url || '#part' when 1 then replace(url, 'http://', 'HTTP://')
+   when 2 then url || case when position('?' in url) > 0 then '&utm_source=mail' else '?utm_source=mail' end
+   else replace(url, 'https://', 'http://www.') end, 1700172800 + page_id * 61, 304,
+  case when page_id % 5 = 0 then null when page_id % 7 = 0 then '"other"'
+   when page_id % 3 = 0 then '"n' || cast(page_id % 89 as varchar(20)) || '"' else '"' || cast(page_id % 97 as varchar(20)) || '"' end,
+  case when page_id % 10 = 0 then null when page_id % 25 = 0 then 'day 9' else 'day ' || cast(page_id % 5 as varchar(20)) end,
+  case when page_id % 2 = 0 then 'no-cache' end, 'text/plain', '0', 'third', cast(null as varchar(20)) from pages
+ union all
+ select page_id * 4 + 3, 'revisit', url, 1690000000 + page_id * 61, 304, '"' || cast(page_id % 97 as varchar(20)) || '"',
+  cast(null as varchar(20)), cast(null as varchar(20)), cast(null as varchar(20)), '0', 'early', cast(null as varchar(20))
+ from pages where page_id % 11 = 0
+"""
+HEADERS = {
+    "Cache-Control": "control",
+    "Content-Length": "content_length",
+    "Content-Type": "content_type",
+    "Date": "answered",
+    "ETag": "etag",
+    "Last-Modified": "modified",
+}
+
+OP3_SQL = rf"""
+with records as ({RECORDS}),
+split as (
+ select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?@]*@)?', '') rest from records),
+named as (
+ select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(?:80|443)?$', ''), '^www\d?\.', '') host,
+  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+   lambda p : p <> '' and not regexp_matches(p, '^(?i:{TRACKING})(?:=|$)'))), '&') params from split),
+keyed as (select *, host || path || case when params <> '' then '?' || params else '' end canonical_url from named),
+earlier as (
+ select r.record_id, max_by(s.record_id, s.at_second * 1000000000 + s.record_id) response_id
+ from keyed r join keyed s on r.canonical_url = s.canonical_url and s.at_second < r.at_second
+ where r.kind = 'revisit' and s.kind = 'response' group by r.record_id),
+joined as (
+ select r.*, e.response_id, s.etag s_etag, s.modified s_modified, s.control s_control, s.content_type s_type,
+  s.content_length s_length, s.body s_body, regexp_replace(r.etag, '^W/', '') tag, regexp_replace(s.etag, '^W/', '') s_tag
+ from keyed r left join earlier e on r.record_id = e.record_id left join keyed s on s.record_id = e.response_id
+ where r.kind = 'revisit'),
+judged as (
+ select *, case when response_id is null then 'missing'
+  when tag is not null and s_tag is not null then case when tag = s_tag then 'resolved' else 'changed' end
+  when modified is not null and s_modified is not null then case when modified = s_modified then 'resolved' else 'changed' end
+  else 'unconfirmed' end outcome from joined),
+merged as (
+ select *, outcome in ('resolved', 'unconfirmed') ok from judged)
+select record_id, canonical_url, response_id, outcome,
+ concat_ws('; ', 'cache-control: ' || case when ok then coalesce(control, s_control) else control end,
+  'content-length: ' || case when ok then s_length else content_length end,
+  'content-type: ' || case when ok then s_type else content_type end, 'date: ' || answered,
+  'etag: ' || case when ok then coalesce(etag, s_etag) else etag end,
+  'last-modified: ' || case when ok then coalesce(modified, s_modified) else modified end) headers,
+ case when ok then md5(s_body) end body_md5
+from merged
+"""
+
+
+@query("op3_revisit_resolution", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    rows = spark.sql(RECORDS.replace("from pages", "from {pages}"), pages=pages)
+    pairs = [x for name, column in HEADERS.items() for x in (F.lit(name), F.col(column))]
+    records = rows.select(
+        "record_id",
+        "kind",
+        "url",
+        F.timestamp_seconds("at_second").alias("at"),
+        "status",
+        F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("headers"),
+        "body",
+    )
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return resolve_revisits(records).select(
+        "record_id",
+        "canonical_url",
+        "response_id",
+        "outcome",
+        F.array_join(F.sort_array(lines), "; ").alias("headers"),
+        F.md5(F.col("body").cast("binary")).alias("body_md5"),
+    )
