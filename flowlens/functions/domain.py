@@ -66,6 +66,9 @@ CLASS_NULL_TOKENS = ("", " ", "nan", "None", "NULL", "-", "--")
 TRAINING_FILL = "unknown_feature"
 SCORING_FILL = "unknown"
 
+# ---- fixed values: warning about column names ----------------------------------------
+DUPLICATE_COLUMNS = "Duplicate columns detected after normalization: {names}. Kept first occurrence of each."
+
 # ---- fixed values: drift and risk ----------------------------------------------------
 DRIFT_THRESHOLD = 0.20
 DRIFT_TEXT = "Concept Drift Detected"

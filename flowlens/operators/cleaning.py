@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain, numeric, text
-from flowlens.operators.relational import distinct_projection, drop_missing_label, drop_unresolved_class, filter_valid_classes
+from flowlens.operators.relational import counted_projection, distinct_projection, drop_missing_label, drop_unresolved_class, filter_valid_classes
 from flowlens.operators.schema import normalize_columns, require_columns
 from flowlens.operators.shared import written_table
 from flowlens.operators.stats import fit_medians
@@ -81,7 +81,7 @@ def typed_by_content(df: DataFrame, declared: tuple[str, ...], keep: tuple[str,
 def cleaning_audit(df: DataFrame) -> DataFrame:
     """Row counts after each cleaning step, in one pass with a single shuffle."""
     raw = require_columns(normalize_columns(df), REQUIRED, "intrusion flows")
-    distinct = raw.groupBy(*raw.columns).agg(F.count("*").alias("__copies"))
+    distinct = counted_projection(raw, REQUIRED, "__copies")
     typed = typed_flows(distinct, ("__copies",))
     flag = numeric.truncate_int(F.col(domain.INTRUSION_FLAG))
     facts = typed.select(
@@ -103,7 +103,7 @@ def cleaning_audit(df: DataFrame) -> DataFrame:
 
 def corpus_audit(df: DataFrame) -> DataFrame:
     """Rows before and after the full-row dedupe of a merged corpus."""
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("__copies"))
+    copies = counted_projection(df, [], "__copies")
     return copies.agg(
         F.coalesce(F.sum("__copies"), F.lit(0)).alias("rows_in"), F.count("*").alias("after_dedupe")
     )

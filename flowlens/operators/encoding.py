@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +74,7 @@ def prepare(
     spec: FeatureSpec,
     facts: NumberFacts,
     fill: str | None = "",
-    medians: Mapping[str, float | None] | None = None,
+    medians: Mapping[str, float | Column | None] | None = None,
 ) -> DataFrame:
     """Add the prepared model inputs as ``x_<column>`` next to the untouched columns.
 
@@ -89,6 +88,7 @@ def prepare(
         if c not in types:
             added[PREFIX + c] = F.lit(0.0)
             continue
+        # A column, where the median differs from row to row.
         middle = F.lit((facts.medians if medians is None else medians)[c]).cast("double")
         value = numeric.impute(_number(c, types), middle)
         if spec.scale:
@@ -137,13 +137,25 @@ def feature_columns(encoder: PipelineModel, spec: FeatureSpec) -> list[str]:
     return names
 
 
-def exploded_features(
-    df: DataFrame, encoder: PipelineModel, spec: FeatureSpec, row_id: str, output: str = "features"
-) -> DataFrame:
-    """Long form (id, feature, value) of the encoded rows, zero slots left out."""
-    names = F.array(*[F.lit(n) for n in feature_columns(encoder, spec)])
-    slots = encoder.transform(df).select(row_id, F.posexplode(vector_to_array(output)).alias("slot", "value"))
-    return slots.where("value != 0").select(row_id, F.element_at(names, F.col("slot") + 1).alias("feature"), "value")
+def exploded_features(df: DataFrame, encoder: PipelineModel, spec: FeatureSpec, row_id: str) -> DataFrame:
+    """Long form (id, feature, value) of the encoded rows, zero slots left out.
+
+    Each column gives one entry at most, so no row is spread out over all slots.
+    """
+    entries = [
+        F.when(F.col(PREFIX + c) != 0, F.struct(F.lit(c).alias("feature"), F.col(PREFIX + c).alias("value")))
+        for c in spec.numbers
+    ]
+    indexed = df
+    if spec.categories:
+        indexed = encoder.stages[0].transform(df)
+        for column, values in zip(spec.categories, encoder.stages[0].labelsArray):
+            word = F.col(PREFIX + column)
+            # Unseen and missing values have the index behind the last label.
+            known = F.col(f"{PREFIX}{column}_index") < len(values)
+            name = F.concat(F.lit(f"{column}_"), F.when(word == " ", F.lit("")).otherwise(word))
+            entries.append(F.when(known, F.struct(name.alias("feature"), F.lit(1.0).alias("value"))))
+    return indexed.select(row_id, F.inline(F.array_compact(F.array(*entries))))
 
 
 def encode_label(df: DataFrame, column: str, output: str) -> tuple[DataFrame, list[str]]:

@@ -1,9 +1,10 @@
 """Exact nearest neighbours within a class, without pairing all rows of the class.
 
-Distinct points are sorted into tiles of bounded size. Each tile answers its own points; the
+Distinct points are sorted into tiles of constant size. Each tile answers its own points; the
 distance to the k-th neighbour found there bounds what is missing, and only tiles whose bounding
-box comes closer than that are asked as well. The result is exact for any tiling; the tiling only
-decides how many tiles are asked.
+box comes closer than that are asked as well. Boxes form two levels: those of tile groups are held
+by every task, those inside are joined as a table. The result is exact for any tiling; the tiling
+only decides how many tiles are asked.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.shared import LOOKUP_ROWS, ship_with_tasks, written_table
@@ -22,31 +23,34 @@ ship_with_tasks(__name__)
 _TILE_BITS = 11
 _TILES_PER_TASK = 8
 _CELLS_PER_CHUNK = 1 << 22
-
-
-def _tile_bits(points: int) -> int:
-    """Tile size as a power of two; grows so that the table of boxes stays a bounded lookup."""
-    bits = _TILE_BITS
-    while (points >> bits) * 2 > LOOKUP_ROWS:
-        bits += 1
-    return bits
+# Boxes of tile groups that the driver may hold, and visitors of a tile that one task answers.
+_GROUPS = LOOKUP_ROWS // 2
+_VISITORS = 1 << 14
 
 
 def tile_points(df: DataFrame, label: str, numbers: Sequence[str], categories: Sequence[str], points: int) -> DataFrame:
     """Assign tiles along label, a logarithmic slab of the first number, and the other columns.
 
     Tiles come from the position in a range partition, which a re-run may shift, so they are
-    written down once and read back.
+    written down once and read back. A tile has at most 2 ** _TILE_BITS points, however many there are.
     """
-    bits = _tile_bits(points)
     slab = F.floor(F.log2(F.abs(F.col(numbers[0])) + 1) * 64)
     order = [F.col(label), slab, *[F.col(c) for c in (*numbers[1:], numbers[0], *categories)]]
-    parts = max(1, min(-(-points // (_TILES_PER_TASK << bits)), 20_000))
+    parts = max(1, min(-(-points // (_TILES_PER_TASK << _TILE_BITS)), 20_000))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    tile = F.shiftright(F.monotonically_increasing_id(), bits)
+    tile = F.shiftright(F.monotonically_increasing_id(), _TILE_BITS)
     return written_table(placed.withColumn("tile", tile), "tiles")
 
 
+def _numbered(boxes: DataFrame, label: str) -> DataFrame:
+    """Boxes with a group: neighbouring tiles of a class, so many that the groups stay a bounded lookup."""
+    width = -(-boxes.count() // _GROUPS)
+    place = F.row_number().over(Window.partitionBy(label, "slice").orderBy("tile")) - 1
+    # Tiles of one range partition have consecutive numbers, which start anew in the next one.
+    sliced = boxes.withColumn("slice", F.shiftright("tile", 33 - _TILE_BITS))
+    return sliced.withColumn("group", F.struct("slice", F.floor(place / width).alias("part")))
+
+
 def _nearest(
     queries: pd.DataFrame, points: pd.DataFrame, k: int, numbers: Sequence[str], categories: Sequence[str], own: bool
 ) -> list[np.ndarray]:
@@ -120,12 +124,15 @@ def nearest_points(
 
     inside = written_table(points.groupBy(label, "tile").applyInPandas(within, found_schema), "inside")
 
-    boxes = points.groupBy(label, "tile").agg(
-        *[F.min(c).alias(f"lo_{c}") for c in numbers], *[F.max(c).alias(f"hi_{c}") for c in numbers]
-    )
-    # tile_points sizes its tiles so that this stays below the lookup bound, plus one box per class.
-    box_rows = boxes.orderBy(label, "tile").toPandas()
-    if not box_rows.duplicated(label).any():
+    edges = [*[F.min(c).alias(f"lo_{c}") for c in numbers], *[F.max(c).alias(f"hi_{c}") for c in numbers]]
+    boxes = written_table(_numbered(points.groupBy(label, "tile").agg(*edges), label), "boxes")
+    wide = [*[F.min(f"lo_{c}").alias(f"lo_{c}") for c in numbers], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in numbers]]
+    groups = boxes.groupBy(label, "group").agg(*wide, F.count("*").alias("tiles"))
+    # At most _GROUPS rows, plus one per class and range partition.
+    group_rows = groups.select(
+        label, "group.slice", "group.part", "tiles", *[f"{e}_{c}" for e in ("lo", "hi") for c in numbers]
+    ).orderBy(label, "slice", "part").toPandas()
+    if (group_rows.groupby(label, dropna=False)["tiles"].sum() <= 1).all():
         return inside
 
     reach = inside.groupBy("rep").agg(
@@ -133,23 +140,48 @@ def nearest_points(
     )
     asking = points.where("asks").select("rep", label, "tile", *order)
     open_queries = asking.join(reach, "rep", "left").na.fill(float("inf"), ["reach"])
-    shared = spark.sparkContext.broadcast(_box_arrays(box_rows, label, numbers))
+    shared = spark.sparkContext.broadcast(_box_arrays(group_rows, label, numbers))
+    coordinates = [f"{c} {kinds[c]}" for c in order]
     visit_schema = ", ".join(
-        [f"rep {rep_type}", f"{label} {kinds[label]}", "tile bigint", *[f"{c} {kinds[c]}" for c in order]]
-    )
+        [f"rep {rep_type}", f"{label} {kinds[label]}", "tile bigint", "reach double", *coordinates,
+         "slice bigint", "part bigint"]
+    )
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for cls, group in pdf.groupby(label, dropna=False):
-                yield from _visits(group, shared.value[cls], numbers, ["rep", label, "tile", *order])
+                yield from _visits(group, shared.value[cls], numbers, ["rep", label, "tile", "reach", *order])
+
+    called = open_queries.mapInPandas(visits, visit_schema).withColumnRenamed("tile", "own")
+    near = F.lit(0.0)
+    for c in numbers:
+        gap = F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
+        near = near + gap * gap
+    inner = boxes.select(
+        F.col(label).alias("__label"), F.col("group.slice").alias("__slice"), F.col("group.part").alias("__part"),
+        "tile", *[f"{e}_{c}" for e in ("lo", "hi") for c in numbers],
+    )
+    same = called[label].eqNullSafe(inner["__label"]) & (F.col("slice") == F.col("__slice")) & (F.col("part") == F.col("__part"))
+    visiting = called.join(inner, same).where((near <= F.col("reach")) & (F.col("tile") != F.col("own")))
+    # A tile with many visitors answers them in blocks, each in a task of its own.
+    visiting = written_table(visiting.select("rep", label, "tile", *order), "visits")
+    spread = visiting.groupBy(F.col(label).alias("__label"), F.col("tile").alias("__tile")).agg(
+        F.ceil(F.count("*") / _VISITORS).cast("int").alias("__blocks")
+    )
+
+    def blocked(df: DataFrame, block: Column) -> DataFrame:
+        matched = df[label].eqNullSafe(F.col("__label")) & (df["tile"] == F.col("__tile"))
+        return df.join(spread, matched).withColumn("block", block).drop("__label", "__tile", "__blocks")
 
-    visiting = open_queries.mapInPandas(visits, visit_schema)
+    askers = blocked(visiting, F.pmod(F.xxhash64("rep"), F.col("__blocks")).cast("int"))
+    hosts = blocked(points, F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
 
     def across(queries: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         ordered = tile.sort_values(order, na_position="first", kind="stable")
         return _found_frame(queries, ordered, k, numbers, categories, False)
 
-    outside = visiting.groupBy(label, "tile").cogroup(points.groupBy(label, "tile")).applyInPandas(across, found_schema)
+    parties = [label, "tile", "block"]
+    outside = askers.groupBy(*parties).cogroup(hosts.groupBy(*parties)).applyInPandas(across, found_schema)
     return inside.unionByName(outside)
 
 
@@ -159,7 +191,8 @@ def _box_arrays(boxes: pd.DataFrame, label: str, numbers: Sequence[str]) -> dict
         lo = group[[f"lo_{c}" for c in numbers]].to_numpy(float)
         hi = group[[f"hi_{c}" for c in numbers]].to_numpy(float)
         out[cls] = {
-            "tile": group["tile"].to_numpy(),
+            "slice": group["slice"].to_numpy(),
+            "part": group["part"].to_numpy(),
             "lo": lo,
             "hi": hi,
             # Monotone envelopes on the first axis, for binary search.
@@ -170,10 +203,9 @@ def _box_arrays(boxes: pd.DataFrame, label: str, numbers: Sequence[str]) -> dict
 
 
 def _visits(group: pd.DataFrame, boxes: dict, numbers: Sequence[str], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Queries paired with the other tiles whose box is within their reach, one offset at a time."""
+    """Queries paired with the tile groups whose box is within their reach, one offset at a time."""
     x = group[list(numbers)].to_numpy(float)
     limit = group["reach"].to_numpy(float)
-    own = group["tile"].to_numpy()
     radius = np.sqrt(limit)
     first = np.searchsorted(boxes["reached"], x[:, 0] - radius, "left")
     stop = np.searchsorted(boxes["begins"], x[:, 0] + radius, "right")
@@ -183,8 +215,8 @@ def _visits(group: pd.DataFrame, boxes: dict, numbers: Sequence[str], columns: l
         at = at[active]
         gap = np.maximum(boxes["lo"][at] - x[active], 0) + np.maximum(x[active] - boxes["hi"][at], 0)
         near = (gap**2).sum(axis=1) <= limit[active]
-        near &= boxes["tile"][at] != own[active]
         if near.any():
-            out = group.iloc[active[near]].copy()
-            out["tile"] = boxes["tile"][at[near]]
-            yield out[columns]
+            out = group.iloc[active[near]][columns].copy()
+            out["slice"] = boxes["slice"][at[near]]
+            out["part"] = boxes["part"][at[near]]
+            yield out

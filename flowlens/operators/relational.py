@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain, threat
@@ -38,20 +38,30 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """Digest of a row's cells, each spelled as length and text, so that no two different rows spell the same."""
+    cells = []
+    for name in columns:
+        value = F.col(name).cast("string")
+        cells.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.sha2(F.concat(*cells), 256)
+
+
 def distinct_projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Dedupe over whole rows, then project. Only the wanted columns and a digest are shuffled.
 
-    The digest covers every column, each as length and text, so that no two different rows spell
-    the same. A table without further columns needs no digest.
+    A table without further columns needs no digest.
     """
     if set(df.columns) == set(columns):
         return distinct_rows(df).select(*columns)
-    cells = []
-    for name in df.columns:
-        value = F.col(name).cast("string")
-        cells.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
-    digest = F.sha2(F.concat(*cells), 256)
-    return df.select(*columns, digest.alias("__digest")).dropDuplicates().select(*columns)
+    digested = df.select(*columns, row_digest(df.columns).alias("__digest"))
+    return digested.dropDuplicates().select(*columns)
+
+
+def counted_projection(df: DataFrame, columns: Sequence[str], output: str) -> DataFrame:
+    """Distinct whole rows, projected, with the number of copies of each."""
+    digested = df.select(*columns, row_digest(df.columns).alias("__digest"))
+    return digested.groupBy(*columns, "__digest").agg(F.count("*").alias(output)).drop("__digest")
 
 
 def filter_valid_classes(df: DataFrame, column: str = domain.INTRUSION_TARGET) -> DataFrame:

@@ -41,7 +41,7 @@ def rank_cutoffs(
     sized = counted.withColumn("n", F.sum("here").over(whole)).withColumn("take", take.cast("bigint"))
     ranked = sized.withColumn("rank", F.when(F.col("take") < F.col("n"), F.col("take")))
     edges, rows = _edges(ranked, strata)
-    while length < 32 and _too_many(rows, length):
+    while length < 32 and _too_many(edges, rows):
         # Longer prefixes, counted only among the rows of the prefix found so far.
         scope = join_lookup(keyed, edges.where("prefix is not null"), strata, "inner").where(
             F.substring("digest", 1, length) == F.col("prefix")
@@ -78,17 +78,16 @@ def _edges(counted: DataFrame, strata: list[str]):
 
 
 def _lookup(df: DataFrame):
-    """The table as a broadcast of checked size with its rows, or as it is and None."""
+    """The table as a broadcast of checked size with its rows, or stored, and None."""
     rows = shared.collect_lookup(df)
     if rows is None:
-        return df, None
+        return shared.written_table(df, "edges"), None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
 
 
-def _too_many(rows: list | None, length: int) -> bool:
+def _too_many(edges: DataFrame, rows: list | None) -> bool:
     if rows is None:
-        # Sizes unknown: one more pass leaves a fraction of 16**6 of each stratum.
-        return length < 2 * _DIGITS
+        return (edges.agg(F.max("here")).first()[0] or 0) > _RANKED_ROWS
     return max((r["here"] or 0 for r in rows), default=0) > _RANKED_ROWS
 
 
@@ -171,9 +170,9 @@ def oversample(
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
-    counts = class_counts(df, label)
-    whole = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("classes")).alias("s")).scalar()
-    return counts.select("class", "n", (whole["rows"] / (whole["classes"] * F.col("n"))).alias("weight"))
+    whole = Window.partitionBy()  # of the class table, one row per class
+    weight = F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n"))
+    return class_counts(df, label).select("class", "n", weight.alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:

@@ -33,10 +33,7 @@ def first_positions(names: Sequence[str]) -> tuple[list[int], list[str]]:
 
 
 def duplicate_warning(names: Sequence[str]) -> str:
-    return (
-        f"Duplicate columns detected after normalization: {list(names)}. "
-        "Kept first occurrence of each."
-    )
+    return domain.DUPLICATE_COLUMNS.format(names=list(names))
 
 
 def dedupe_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:

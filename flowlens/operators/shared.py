@@ -86,7 +86,8 @@ def repeat_rows(df: DataFrame, copies: Column, index: str, row_id: str, most: in
     blocks = (
         counted.where(F.col("__copies") > COPIES_PER_BLOCK)
         .withColumn("__start", F.explode(starts))
-        .repartition(F.col(row_id), F.col("__start"))
+        # A stated number of partitions: by their bytes these few rows would be put into one.
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(row_id), F.col("__start"))
     )
     last = F.least(F.col("__start") + COPIES_PER_BLOCK, F.col("__copies")) - 1
     spread = blocks.withColumn(index, F.explode(F.sequence(F.col("__start"), last))).drop("__start")

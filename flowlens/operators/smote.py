@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import median
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain
 from flowlens.operators.neighbours import nearest_points, tile_points
 from flowlens.operators.sampling import with_cutoffs, rank_cutoffs
-from flowlens.operators.shared import collect_lookup, hash_fraction, hash_integer, hash_key, repeat_rows
+from flowlens.operators.shared import checked_lookup, hash_fraction, hash_integer, hash_key, repeat_rows
 from flowlens.operators.stats import class_counts
 
 LEAST_FLOOR = 2000
 MOST_NEIGHBOURS = 5
+_PARTS = 16
+
+
+def _class_facts(counts: DataFrame, floor: int | None) -> Row:
+    """Floor, and of the classes below it: number, rows, smallest size, and copies the most repeated needs."""
+    whole = Window.partitionBy()  # of the class table, one row per class
+    least = F.lit(floor) if floor is not None else F.greatest(F.floor(F.median("n").over(whole)), F.lit(LEAST_FLOOR))
+    floored = counts.withColumn("floor", least.cast("long"))
+    below = F.col("n") < F.col("floor")
+    return floored.agg(
+        F.max("floor").alias("floor"),
+        F.count_if(below).alias("classes"),
+        F.sum(F.when(below, F.col("n"))).alias("rows"),
+        F.min(F.when(below, F.col("n"))).alias("smallest"),
+        F.max(F.when(below, (F.floor(F.col("floor") / F.col("n")) + 1) * F.col("n"))).alias("most"),
+    ).first()
 
 
 def smote_settings(counts: dict[str, int], floor: int | None = None, k: int | None = None) -> tuple[int, int, dict]:
@@ -47,11 +63,10 @@ def smote(
     one-hot columns are (1-gap) and gap. Original rows have gap 0. Numbers must be imputed.
     """
     numbers, categories = list(numbers), list(categories)
-    rows = collect_lookup(class_counts(df, label))
-    if rows is None:
-        raise ValueError(f"{label} has too many values to be a class column")
-    counts = {r["class"]: r["n"] for r in rows}
-    floor, k, boosted = smote_settings(counts, floor, k)
+    facts = _class_facts(class_counts(df, label), floor)
+    # The smallest class decides for all, so however many classes there are, one row comes to the driver.
+    boosted = {"smallest": facts["smallest"]} if facts["classes"] else {}
+    floor, k, _ = smote_settings(boosted, facts["floor"], k)
     vector = [*numbers, *categories]
     originals = df.select(
         label,
@@ -61,10 +76,11 @@ def smote(
         F.lit(0.0).alias("gap"),
         F.lit(False).alias("synthetic"),
     )
-    if not boosted:
+    if not facts["classes"]:
         return originals
 
-    minority = df.where(F.col(label).isin(*boosted)).select(
+    small = checked_lookup(class_counts(df, label).where(F.col("n") < floor).select(F.col("class").alias("__small")))
+    minority = df.join(small, df[label] == F.col("__small"), "left_semi").select(
         label, row_id, *[F.col(c).cast("double").alias(c) for c in numbers], *categories
     )
     deficit = F.lit(floor) - F.col("n")
@@ -78,14 +94,14 @@ def smote(
     )
     # With more than k copies every neighbour is a copy, so nothing has to be searched.
     points = points.withColumn("asks", (F.col("wanted") > 0) & (F.col("copies") <= k))
-    tiled = tile_points(points, label, numbers, categories, sum(boosted.values()))
+    tiled = tile_points(points, label, numbers, categories, facts["rows"])
 
     entry = [F.col("distance"), *[F.col(f"nb_{c}") for c in vector], F.col("nb_copies")]
-    ranked = (
-        nearest_points(tiled, label, numbers, categories, k)
-        .groupBy("rep")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct(*entry))), 1, k).alias("near"))
-    )
+    # The k best of each part of what was found, then the k best of those: no list grows with the tiles asked.
+    found = nearest_points(tiled, label, numbers, categories, k).withColumn("__entry", F.struct(*entry))
+    part = F.pmod(F.xxhash64("__entry"), F.lit(_PARTS))
+    parts = found.groupBy("rep", part.alias("__part")).agg(_best(F.collect_list("__entry"), k).alias("best"))
+    ranked = parts.groupBy("rep").agg(_best(F.flatten(F.collect_list("best")), k).alias("near"))
     plain = lambda e: F.struct(*[e[f"nb_{c}"].alias(c) for c in vector])
     spread = F.flatten(
         F.transform("near", lambda e: F.array_repeat(plain(e), F.least(e["nb_copies"], F.lit(k)).cast("int")))
@@ -95,8 +111,7 @@ def smote(
     bases = tiled.where("wanted > 0").join(ranked, "rep", "left").select(
         label, "rep", "wanted", *vector, choices.alias("choices")
     )
-    most = max((floor // n + 1) * n for n in boosted.values())
-    drawn = repeat_rows(bases, F.col("wanted"), "draw", "rep", most)
+    drawn = repeat_rows(bases, F.col("wanted"), "draw", "rep", facts["most"])
     key = F.col("key")
     drawn = drawn.withColumn("key", hash_key(seed, "rep", "draw")).withColumn("gap", hash_fraction(key, 9))
     # k never exceeds the class size minus one, so there are k choices for every point.
@@ -113,6 +128,10 @@ def smote(
     return originals.unionByName(synthetic)
 
 
+def _best(entries: Column, k: int) -> Column:
+    return F.slice(F.array_sort(entries), 1, k)
+
+
 def _vector_array(df: DataFrame, vector: Sequence[str]) -> str:
     fields = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in vector)
     return f"array<struct<{fields}>>"

@@ -4,58 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain, numeric, threat
-from flowlens.operators.drift import drift_of_counts
+from flowlens.operators.drift import Baseline
 from flowlens.operators.schema import detect_schema
-from flowlens.operators.shared import written_table
 
 ATTACK = "predicted_attack"
 VPN = "predicted_vpn"
+KIND = "input_type"
 
 
-def _cube(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows per key and pair of predictions."""
-    sides = [
-        (F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in (ATTACK, VPN)
-    ]
-    return df.select(*by, *sides).groupBy(*by, ATTACK, VPN).agg(F.count("*").alias("n"))
+def _counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows, and rows seen as VPN, per key and attack prediction: a small table all metrics derive from."""
+    attack = F.col(ATTACK) if ATTACK in df.columns else F.lit(None).cast("string")
+    vpn = threat.is_vpn(F.col(VPN)) if VPN in df.columns else F.lit(False)
+    supported = F.col(KIND) != "unsupported" if KIND in df.columns else F.lit(True)
+    return df.groupBy(*by, attack.alias(ATTACK)).agg(
+        F.count("*").alias("n"), F.count_if(vpn).alias("vpn"), F.coalesce(F.max(supported), F.lit(False)).alias("supported")
+    )
 
 
 def _rows_where(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
 
-def percentages(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Share of rows with an attack prediction of any class, of a malicious class, and of VPN."""
-    return _percentages(_cube(df, by), by)
-
-
-def _percentages(cube: DataFrame, by: Sequence[str]) -> DataFrame:
+def _parts() -> list[Column]:
+    """Aggregates over the counts of a key."""
     attack = F.col(ATTACK)
-    totals = cube.groupBy(*by).agg(
+    return [
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
         _rows_where(attack.isNotNull()).alias("total_attacks"),
         _rows_where(threat.is_malicious(attack)).alias("malicious"),
-        _rows_where(threat.is_vpn(F.col(VPN))).alias("vpn"),
-    )
+        F.coalesce(F.sum("vpn"), F.lit(0)).alias("vpn"),
+    ]
+
+
+def _shares() -> dict[str, Column]:
     total = F.col("total_records")
-    return totals.select(
-        *by,
-        "total_records",
-        "total_attacks",
-        numeric.percent(F.col("total_attacks"), total).alias("attack_percentage"),
-        numeric.percent(F.col("malicious"), total).alias("malicious_percentage"),
-        numeric.percent(F.col("vpn"), total).alias("vpn_percentage"),
-    )
+    return {
+        "attack_percentage": numeric.percent(F.col("total_attacks"), total),
+        "malicious_percentage": numeric.percent(F.col("malicious"), total),
+        "vpn_percentage": numeric.percent(F.col("vpn"), total),
+    }
+
+
+def percentages(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Share of rows with an attack prediction of any class, of a malicious class, and of VPN."""
+    totals = _counts(df, by).groupBy(*by).agg(*_parts()).withColumns(_shares())
+    return totals.select(*by, "total_records", "total_attacks", *_shares())
+
+
+def _top(column: str) -> Column:
+    """Largest malicious class of a key's counts, else the largest class, else N/A; ties by name."""
+    order = F.struct(~threat.is_malicious(F.col(column)), -F.col("n"), F.col(column))
+    return F.coalesce(F.min_by(column, F.when(F.col(column).isNotNull(), order)), F.lit("N/A"))
 
 
 def top_attack(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Largest malicious class of (by..., class, n); else the largest class; else N/A."""
-    order = F.struct(~threat.is_malicious(F.col("class")), -F.col("n"), F.col("class"))
-    return counts.groupBy(*by).agg(F.coalesce(F.min_by("class", order), F.lit("N/A")).alias("top_attack"))
+    return counts.groupBy(*by).agg(_top("class").alias("top_attack"))
 
 
 def soc_metrics(
@@ -64,59 +73,43 @@ def soc_metrics(
     """All security metrics per key from one aggregation of the scored table.
 
     ``train`` is the stored (class, share) table; without it, or without attack predictions, the
-    drift part counts 0. ``input_type`` defaults to what the columns say.
+    drift part counts 0. A key is unsupported if all its rows are, by their ``input_type`` column or,
+    where the table has none, by ``input_type``, which defaults to what the columns say.
     """
     by = list(by)
-    kind = input_type or detect_schema(df.columns).input_type
-    unsupported = F.lit(kind == "unsupported")
-    # Percentages, top class and drift all read these counts: stored, so that the rows, and the
-    # models that score them, are gone through once.
-    cube = written_table(_cube(df, by), "cube")
-    counts = (
-        cube.where(F.col(ATTACK).isNotNull()).groupBy(*by, F.col(ATTACK).alias("class")).agg(F.sum("n").alias("n"))
+    kind = input_type or (None if KIND in df.columns else detect_schema(df.columns).input_type)
+    counts = _counts(df, by)
+    drifts = train is not None and ATTACK in df.columns
+    distance = F.lit(None).cast("double")
+    if drifts:
+        baseline = Baseline(train)
+        mass = F.sum(F.when(F.col(ATTACK).isNotNull(), F.col("n"))).over(Window.partitionBy(*by))
+        counts = baseline.attach(counts, ATTACK, mass)
+        distance = baseline.distance(ATTACK)
+    supported = F.coalesce(F.max("supported"), F.lit(True)) & F.lit(kind != "unsupported")
+    totals = counts.groupBy(*by).agg(
+        *_parts(), _top(ATTACK).alias("top_attack"), distance.alias("js_distance"), supported.alias("supported")
     )
-    base = _percentages(cube, by)
-    parts = [top_attack(counts, by)]
-    if train is not None and ATTACK in df.columns:
-        parts.append(drift_of_counts(train, counts, by=by).select(*by, "js_distance", "drift_detected"))
-    joined = base
-    for part in parts:
-        joined = _attach(joined, part, by)
-    if len(parts) == 1:
-        joined = joined.withColumns(
-            {"js_distance": F.lit(None).cast("double"), "drift_detected": F.lit(False)}
-        )
-
+    unsupported = ~F.col("supported")
+    detected = threat.drift_detected(F.col("js_distance"), domain.DRIFT_THRESHOLD) if drifts else F.lit(False)
     points = threat.risk_points(F.col("attack_percentage"), F.col("vpn_percentage"), F.col("js_distance"))
     risk = F.when(unsupported, F.lit(0.0)).otherwise(numeric.round_capped(points, domain.RISK_CEILING))
     level = threat.threat_level(F.col("risk_score"), F.col("drift_detected"), unsupported)
-    top = F.when(unsupported, F.lit("N/A")).otherwise(F.coalesce(F.col("top_attack"), F.lit("N/A")))
     return (
-        joined.withColumn("risk_score", risk)
+        totals.withColumns(_shares())
+        .withColumn("drift_detected", F.coalesce(detected, F.lit(False)))
+        .withColumn("risk_score", risk)
         .withColumn("threat_level", level)
         .select(
             *by,
             "total_records",
             "total_attacks",
-            F.round("attack_percentage", 2).alias("attack_percentage"),
-            F.round("malicious_percentage", 2).alias("malicious_percentage"),
-            F.round("vpn_percentage", 2).alias("vpn_percentage"),
-            top.alias("top_attack"),
+            *[F.round(c, 2).alias(c) for c in _shares()],
+            F.when(unsupported, F.lit("N/A")).otherwise(F.col("top_attack")).alias("top_attack"),
             "js_distance",
-            F.coalesce("drift_detected", F.lit(False)).alias("drift_detected"),
+            "drift_detected",
             "risk_score",
             "threat_level",
             threat.status_message(F.col("threat_level")).alias("status_message"),
         )
     )
-
-
-def _attach(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Join two per-key results; without keys both are a single row, taken as a scalar."""
-    extra = [c for c in right.columns if c not in by]
-    if by:
-        side = right.select(*[F.col(c).alias(f"__{c}") for c in by], *extra)
-        match = [left[c].eqNullSafe(side[f"__{c}"]) for c in by]
-        return left.join(side, match, "left").drop(*[f"__{c}" for c in by])
-    packed = right.select(F.struct(*extra).alias("r")).scalar()
-    return left.withColumns({c: packed[c] for c in extra})

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain, numeric
-from flowlens.operators.shared import collect_lookup, join_lookup
+from flowlens.operators.shared import collect_lookup, join_lookup, written_table
 
 # Buckets per power of two in the first median pass, and per value range in the second.
 _PER_OCTAVE = 256
 _PER_RANGE = 4096
+# Rows of a range whose values may be counted one by one.
+_RANGE_ROWS = 100_000
 
 
 def row_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -33,11 +35,8 @@ def chart_frame(counts: DataFrame) -> DataFrame:
 
 
 def shares(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Turn (by..., class, n) into (by..., class, share)."""
-    if by:
-        total = F.sum("n").over(Window.partitionBy(*by))
-    else:
-        total = counts.agg(F.sum("n")).scalar()
+    """Turn (by..., class, n) into (by..., class, share). The window sees one row per key and class."""
+    total = F.sum("n").over(Window.partitionBy(*by))
     return counts.select(*by, "class", (F.col("n") / total).alias("share"))
 
 
@@ -54,8 +53,9 @@ def column_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
     ``F.median`` would gather a histogram of every distinct value in one task. Here each pass
     counts value ranges, map side first, and keeps only the range that holds the middle ranks: a
-    fraction of a power of two, then a fraction of that, then single values. Passes rescan ``df``
-    and stop once all medians are known, so ``df`` should be a stored table.
+    fraction of a power of two, then fractions of that until at most ``_RANGE_ROWS`` rows are left,
+    then single values. Passes rescan ``df`` and stop once all medians are known, so ``df`` should
+    be a stored table.
     """
     by = list(by)
     keys = [*by, "column"]
@@ -66,19 +66,25 @@ def column_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     ]
     values = df.select(*by, F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
     value = F.col("value")
-    state = None
-    for bucket in (
-        F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * _PER_OCTAVE),
-        F.floor(F.coalesce(F.try_divide(value - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * _PER_RANGE),
-        value,
-    ):
+    state, bounds = None, None
+    bucket = F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * _PER_OCTAVE)
+    part = F.coalesce(F.try_divide(value - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    while True:
         state = _middle_ranges(values, keys, bucket, state)
         rows = collect_lookup(state)
         if rows is not None:
-            state = df.sparkSession.createDataFrame(rows, state.schema)
-            if all(r["below"] is not None for r in rows):
-                break
-            state = F.broadcast(state)
+            state = F.broadcast(df.sparkSession.createDataFrame(rows, state.schema))
+            open_ranges = [r for r in rows if r["below"] is None]
+            found, now = max((r["rows"] for r in open_ranges), default=0), {(r["lo"], r["hi"]) for r in open_ranges}
+        else:
+            state = written_table(state, "medians")
+            still = state.where("below is null")
+            found, *now = still.agg(F.coalesce(F.max("rows"), F.lit(0)), F.sum(F.col("hi") - F.col("lo"))).first()
+        if not found:
+            break
+        # Ranges shrink by a factor each pass; where they cannot, as between infinities, values are counted singly.
+        bucket = value if found <= _RANGE_ROWS or now == bounds else F.floor(part * _PER_RANGE)
+        bounds = now
     return state.select(*keys, ((F.col("below") + F.col("above")) / 2).alias("median"))
 
 
@@ -107,6 +113,7 @@ def _middle_ranges(values: DataFrame, keys: list[str], bucket: Column, state: Da
         "bucket",
         "lo",
         "hi",
+        "n",
         (F.sum("n").over(running) - F.col("n")).alias("before"),
         F.sum("n").over(running).alias("upto"),
         first.alias("first"),
@@ -125,6 +132,7 @@ def _middle_ranges(values: DataFrame, keys: list[str], bucket: Column, state: Da
         (F.first("second") - F.min("before")).alias("second"),
         low.alias("below"),
         high.alias("above"),
+        F.sum("n").alias("rows"),
     )
 
 
@@ -157,12 +165,12 @@ def class_count_stats(
     df: DataFrame, column: str, floor: int | Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """Largest non-benign class, median class size, and the smallest class below ``floor``."""
-    counts = class_counts(df, column)
-    # The class table is small: one row per class, so its median is taken in one aggregate.
-    facts = counts.agg(
+    # The class table is small, one row per class, so windows over all of it are cheap.
+    whole = Window.partitionBy()
+    counts = class_counts(df, column).withColumn("median_count", F.median("n").over(whole))
+    limit = F.greatest(F.floor("median_count"), F.lit(2000 if floor is None else floor))
+    return counts.agg(
         F.max(F.when(F.col("class") != domain.BENIGN_CLASS, F.col("n"))).alias("max_non_benign"),
-        F.median("n").alias("median_count"),
+        F.max("median_count").alias("median_count"),
+        F.min(F.when(F.col("n") < limit, F.col("n"))).alias("smallest_boosted"),
     )
-    limit = F.greatest(F.floor(facts.select("median_count").scalar()), F.lit(2000 if floor is None else floor))
-    smallest = counts.where(F.col("n") < limit).agg(F.min("n"))
-    return facts.withColumn("smallest_boosted", smallest.scalar())

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from flowlens.functions import domain
 from flowlens.operators.cleaning import clean_flows, typed_by_content
 from flowlens.operators.drift import drift
-from flowlens.operators.relational import distinct_rows, enrich_intelligence
+from flowlens.operators.relational import distinct_rows, enrich_intelligence, row_digest
 from flowlens.operators.schema import normalize_columns, require_columns
-from flowlens.operators.shared import repeat_rows
+from flowlens.operators.shared import repeat_rows, written_table
 from flowlens.plans.recipes import RECIPES, Trained, load_recipe, save_recipe, train
-from flowlens.plans.scoring import ScoreReport, score_auto
+from flowlens.plans.scoring import ScoreReport, score_captures
 from flowlens.sources import captures, sinks
 
 
@@ -42,12 +42,14 @@ def with_row_id(df: DataFrame, name: str = "flow_id") -> DataFrame:
     Equal rows are counted and emitted again, numbered, so the ids do not depend on how the table
     happens to be partitioned, and no row is lost.
     """
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in df.columns]
-    digest = F.md5(F.concat_ws("\u0001", *cells))
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    digested = df.select(row_digest(df.columns).alias(name), whole.alias("__row"))
+    copies = written_table(
+        digested.groupBy(name).agg(F.any_value("__row").alias("__row"), F.count("*").alias("__n")), "copies"
+    )
     most = copies.agg(F.max("__n").alias("m")).first()["m"] or 0
-    rows = repeat_rows(copies.withColumn(name, digest), F.col("__n"), "__copy", name, most)
-    return rows.select(*df.columns, F.concat_ws("-", F.col(name), F.col("__copy")).alias(name))
+    rows = repeat_rows(copies, F.col("__n"), "__copy", name, most)
+    return rows.select(*[F.col("__row")[c].alias(c) for c in df.columns], F.concat_ws("-", F.col(name), F.col("__copy")).alias(name))
 
 
 def train_recipe(corpus: DataFrame, recipe: str, path: str, row_id: str = "flow_id", **overrides) -> Trained:
@@ -70,18 +72,20 @@ def score_files(
 ) -> tuple[ScoreReport, DataFrame, DataFrame | None]:
     """Read captures, score them, write the predictions; returns report, metrics and attack facts.
 
-    Metrics and counts read the written predictions, so the models run once.
+    Files are told apart by header: each is scored by its own schema with its own medians, and the
+    metrics know which rows had a supported one. Metrics and counts read the written predictions, so
+    the models run once.
     """
-    table = captures.read_flows(spark, path, keep_source=bool(by))
+    found = captures.open_flows(spark, path, on_error="skip")
     loaded, notes = [], []
     for place in (intrusion_model, vpn_model):
         trained, missing = load_recipe(spark, place) if place else (None, [])
         loaded.append(trained)
         notes += missing
-    report = score_auto(table, *loaded)
+    report = score_captures(found, *loaded)
     report.warnings += notes
     if sinks.write_predictions(report.scored, output, "parquet"):
-        report.scored = spark.read.parquet(output)
+        report.scored, report.output = spark.read.parquet(output), output
     counts = report.attack_counts(by)
     facts = None if counts is None else enrich_intelligence(counts, "class")
     return report, report.soc(by), facts

@@ -152,15 +152,19 @@ def _resample(train: DataFrame, recipe: Recipe, spec: FeatureSpec, row_id: str)
 
 
 def _blend(rows: DataFrame, encoder: PipelineModel, spec: FeatureSpec) -> DataFrame:
-    """Feature vectors of interpolated rows: (1-gap) of one end's encoding plus gap of the other's."""
+    """Feature vectors of interpolated rows: (1-gap) of one end's encoding plus gap of the other's.
+
+    Original rows have no other end; they are encoded once and stay sparse.
+    """
     words = [PREFIX + c for c in spec.categories]
-    first = encoder.transform(rows).withColumn("__from", vector_to_array("features"))
-    kept = [c for c in rows.columns if c not in words]
+    ends = [f"{w}_nb" for w in words]
+    kept = [c for c in rows.columns if c not in (*words, *ends)]
+    plain = encoder.transform(rows.where(~F.col("synthetic"))).select(*kept, "features")
+    first = encoder.transform(rows.where("synthetic")).withColumn("__from", vector_to_array("features"))
     swapped = first.select(*kept, "__from", *[F.col(f"{c}_nb").alias(c) for c in words])
     second = encoder.transform(swapped).withColumn("__to", vector_to_array("features"))
     mixed = F.zip_with("__from", "__to", lambda a, b: a + F.col("gap") * (b - a))
-    ends = [f"{w}_nb" for w in words]
-    return second.select(*[c for c in kept if c not in ends], array_to_vector(mixed).alias("features"))
+    return plain.unionByName(second.select(*kept, array_to_vector(mixed).alias("features")))
 
 
 def _classifier(recipe: Recipe, params: Mapping, inputs: int, classes: int):
@@ -170,7 +174,7 @@ def _classifier(recipe: Recipe, params: Mapping, inputs: int, classes: int):
     if recipe.algorithm == "forest":
         return RandomForestClassifier(**common, **weight, seed=recipe.seed, **params)
     if recipe.algorithm == "boosted":
-        return OneVsRest(classifier=GBTClassifier(seed=recipe.seed, **params), **common)
+        return OneVsRest(classifier=GBTClassifier(seed=recipe.seed, **params), parallelism=classes, **common)
     if recipe.algorithm == "perceptron":
         hidden = params.pop("hidden")
         return MultilayerPerceptronClassifier(

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from flowlens.functions import domain
 from flowlens.operators import schema
 from flowlens.operators.drift import drift
 from flowlens.operators.encoding import PREFIX, prepare
-from flowlens.operators.soc import ATTACK, VPN, soc_metrics
-from flowlens.operators.stats import class_counts, fit_medians
+from flowlens.operators.relational import union_all
+from flowlens.operators.shared import checked_lookup, join_lookup, written_table
+from flowlens.operators.soc import ATTACK, KIND, VPN, soc_metrics
+from flowlens.operators.stats import class_counts, column_medians, fit_medians
 from flowlens.plans.recipes import Trained
+from flowlens.sources import sinks
+from flowlens.sources.captures import SOURCE, Captures
 
 # ---- fixed values: warnings ----------------------------------------------------------
 VPN_SKIPPED = "VPN module skipped — file matches IDS schema ({n}/5 IDS columns found)."
@@ -33,46 +39,74 @@ IDS_INCOMPLETE = "IDS prediction skipped: missing IDS columns {missing}."
 NO_MODEL = "{module} prediction skipped: no model given."
 
 
-def _apply(df: DataFrame, trained: Trained, source: DataFrame, impute_from: str) -> DataFrame:
+def _apply(df: DataFrame, trained: Trained, source: DataFrame, impute_from: str, by: Sequence[str] = ()) -> DataFrame:
     """Original columns plus the prediction. ``source`` is the model's view of the same rows."""
     medians = None
     present = [c for c in trained.spec.numbers if c in source.columns]
     if impute_from == "input" and present:
-        medians = fit_medians(source, present)
+        if by:
+            source, medians = _attach_medians(source, present, list(by))
+        else:
+            medians = fit_medians(source, present)
     prepared = prepare(source, trained.spec, trained.facts, trained.recipe.scoring_fill, medians)
     return trained.model.transform(prepared).select(*df.columns, trained.recipe.output)
 
 
-def score_intrusion(df: DataFrame, trained: Trained, impute_from: str = "input") -> DataFrame:
-    """Add ``predicted_attack``. Missing numbers take the median of the scored table itself, or
-    with ``impute_from="train"`` the stored one, which saves a pass."""
+def _attach_medians(df: DataFrame, columns: Sequence[str], by: list[str]) -> tuple[DataFrame, dict]:
+    """Rows with the medians of their key, found in a lookup of checked size."""
+    long = column_medians(df, columns, by)
+    wide = long.groupBy(*by).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"{PREFIX}median_{c}") for c in columns]
+    )
+    return join_lookup(df, checked_lookup(wide), by), {c: F.col(f"{PREFIX}median_{c}") for c in columns}
+
+
+def score_intrusion(
+    df: DataFrame, trained: Trained, impute_from: str = "input", by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``predicted_attack``. Missing numbers take the median of the scored table itself, per key
+    if ``by`` names one (as the source file), or with ``impute_from="train"`` the stored one, which
+    saves a pass."""
     schema.require_columns(df, domain.INTRUSION_COLUMNS, "intrusion scoring")
-    return _apply(df, trained, df, impute_from)
+    return _apply(df, trained, df, impute_from, by)
 
 
-def score_vpn(df: DataFrame, trained: Trained, impute_from: str = "input") -> DataFrame:
+def score_vpn(df: DataFrame, trained: Trained, impute_from: str = "input", by: Sequence[str] = ()) -> DataFrame:
     """Add ``predicted_vpn``; a feature the table lacks counts 0."""
-    return _apply(df, trained, df, impute_from)
+    return _apply(df, trained, df, impute_from, by)
 
 
 @dataclass
 class ScoreReport:
-    """Lazy results of scoring one table; nothing runs until a member is read by an action."""
+    """Lazy results of scoring; nothing runs until a member is read by an action.
+
+    ``input_type`` is "several" for captures of different schemas; ``detection`` is that of the first
+    header then, and the scored table tells the type of each row. ``output`` is where the predictions
+    were written.
+    """
 
     input_type: str
     detection: schema.Detection
     scored: DataFrame
     warnings: list[str] = field(default_factory=list)
     distribution: DataFrame | None = None
+    output: str | None = None
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.scored.columns if c not in (ATTACK, VPN)]
+        return [c for c in self.scored.columns if c not in (ATTACK, VPN, KIND)]
 
     @property
     def has_predictions(self) -> bool:
         return ATTACK in self.scored.columns or VPN in self.scored.columns
 
+    def total_records(self) -> int:
+        return self.scored.count()
+
+    def preview(self, order: str | Sequence[str], n: int = 10) -> DataFrame:
+        """First rows in key order."""
+        return sinks.preview(self.scored, order, n)
+
     def attack_counts(self, by=()) -> DataFrame | None:
         return class_counts(self.scored, ATTACK, by) if ATTACK in self.scored.columns else None
 
@@ -85,11 +119,16 @@ class ScoreReport:
         return drift(self.distribution, self.scored, ATTACK, by=by)
 
     def soc(self, by=()) -> DataFrame:
-        return soc_metrics(self.scored, self.distribution, by, self.input_type)
+        kind = None if KIND in self.scored.columns else self.input_type
+        return soc_metrics(self.scored, self.distribution, by, kind)
 
 
 def score_auto(
-    df: DataFrame, intrusion: Trained | None = None, vpn: Trained | None = None, impute_from: str = "input"
+    df: DataFrame,
+    intrusion: Trained | None = None,
+    vpn: Trained | None = None,
+    impute_from: str = "input",
+    by: Sequence[str] = (),
 ) -> ScoreReport:
     """Detect the schema, run the models it calls for, and collect the warnings.
 
@@ -115,14 +154,14 @@ def score_auto(
         elif intrusion is None:
             warnings.append(NO_MODEL.format(module="IDS"))
         else:
-            scored = score_intrusion(scored, intrusion, impute_from)
+            scored = score_intrusion(scored, intrusion, impute_from, by)
             report.distribution = intrusion.distribution
     if kind in ("vpn", "mixed"):
         if vpn is None:
             warnings.append(NO_MODEL.format(module="VPN"))
         else:
             source = schema.drop_foreign_columns(scored) if kind == "mixed" else scored
-            scored = _score_second(scored, source, vpn, impute_from)
+            scored = _score_second(scored, source, vpn, impute_from, by)
     if kind == "ids":
         warnings.append(VPN_SKIPPED.format(n=len(found.ids_matched)))
     if kind == "vpn":
@@ -131,12 +170,40 @@ def score_auto(
     return report
 
 
-def _score_second(scored: DataFrame, source: DataFrame, vpn: Trained, impute_from: str) -> DataFrame:
+def score_captures(
+    captures: Captures, intrusion: Trained | None = None, vpn: Trained | None = None, impute_from: str = "input"
+) -> ScoreReport:
+    """Score captures of any headers: each header's files by their own schema, medians per file.
+
+    The parsed rows are stored first, as medians, both models and the predictions read them. The
+    result has the columns of all files, those of ``captures.SOURCE`` and the type of each row.
+    """
+    reports = []
+    for table in captures.tables:
+        landed = written_table(table, "landed")
+        reports.append(score_auto(landed, intrusion, vpn, impute_from, [SOURCE]))
+    scored = [r.scored.withColumn(KIND, F.lit(r.input_type)) for r in reports]
+    kinds = {r.input_type for r in reports}
+    notes = captures.notes()
+    for report in reports:
+        notes += [w for w in report.warnings if w not in notes]
+    return ScoreReport(
+        kinds.pop() if len(kinds) == 1 else "several",
+        reports[0].detection,
+        union_all(scored),
+        notes,
+        next((r.distribution for r in reports if r.distribution is not None), None),
+    )
+
+
+def _score_second(
+    scored: DataFrame, source: DataFrame, vpn: Trained, impute_from: str, by: Sequence[str] = ()
+) -> DataFrame:
     """Score with columns hidden from the model but kept in the result."""
     hidden = [c for c in scored.columns if c not in source.columns]
     if not hidden:
-        return score_vpn(scored, vpn, impute_from)
+        return score_vpn(scored, vpn, impute_from, by)
     # Hidden columns only matter when the model has features of those names.
     clash = [c for c in hidden if c in (*vpn.spec.numbers, *vpn.spec.categories)]
     renamed = scored.withColumnsRenamed({c: f"{PREFIX}hidden_{c}" for c in clash})
-    return score_vpn(renamed, vpn, impute_from).withColumnsRenamed({f"{PREFIX}hidden_{c}": c for c in clash})
+    return score_vpn(renamed, vpn, impute_from, by).withColumnsRenamed({f"{PREFIX}hidden_{c}": c for c in clash})

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import csv
 import re
+import warnings as python_warnings
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
@@ -28,7 +30,6 @@ SOURCE = "source_file"
 _CORRUPT = "__corrupt"
 _LATIN = "ISO-8859-1"
 _HEADER_THREADS = 16
-_HEADERS_BY_DRIVER = 64
 
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
@@ -63,14 +64,12 @@ def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list
 def read_headers(
     spark: SparkSession, paths: Sequence[str], encodings: dict[str, str] | None = None
 ) -> dict[str, list[str] | None]:
-    """Header per file. Few files are asked one by one, many of them by tasks over the path list.
+    """Header per file, read by tasks over the path list; only the first block of each file is fetched.
 
-    Only the first line of each file is fetched, never the whole file.
+    Files in a store that the file system library cannot open are asked for through Spark.
     """
     encodings = encodings or {}
-    found: dict[str, list[str] | None] = {}
-    if len(paths) > _HEADERS_BY_DRIVER:
-        found = _headers_by_tasks(spark, paths, encodings)
+    found = _headers_by_tasks(spark, paths, encodings)
     rest = [p for p in paths if p not in found]
     with ThreadPoolExecutor(_HEADER_THREADS) as pool:
         found.update(zip(rest, pool.map(lambda p: read_header(spark, p, encodings.get(p, "UTF-8")), rest)))
@@ -113,23 +112,47 @@ def _head_line(stream, encoding: str) -> str:
     while True:
         block = stream.read(65_536)
         head += block
-        text_lines = head.splitlines()
-        # The last line may be cut off unless the file has ended.
+        # A cut-off last character or line only matters while the file goes on.
+        text_lines = head.decode(encoding, "replace").splitlines()
         whole = text_lines if not block else text_lines[:-1]
         for line in whole:
-            if line.strip():
-                return line.decode("latin-1" if encoding == _LATIN else "utf-8", "replace").lstrip("\ufeff")
+            if line.strip("\ufeff \t"):
+                return line.lstrip("\ufeff")
         if not block:
             return ""
 
 
-def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """UTF-8 where every line of the file decodes as such, else Latin-1. One scan of the text."""
+@dataclass(frozen=True)
+class Survey:
+    """What one scan of a file's lines tells before it is parsed."""
+
+    utf8: bool = True
+    fields: int = 0  # most fields of a line
+    open_quotes: bool = False  # some line has an odd number of quotes, as quoted line breaks do
+    balanced: bool = True  # the quotes of the whole file pair up
+
+
+def survey_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, Survey]:
+    """Encoding, line lengths and quotes of each file, in one scan of their text."""
     if not paths:
         return {}
-    lines = spark.read.text(list(paths)).where(~F.is_valid_utf8("value"))
-    broken = {r["path"] for r in lines.select(_source_path().alias("path")).distinct().collect()}
-    return {p: _LATIN if p in broken else "UTF-8" for p in paths}
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    facts = (
+        spark.read.text(list(paths))
+        .select(_source_path().alias("path"), F.is_valid_utf8("value").alias("utf8"), quotes.alias("q"), fields.alias("f"))
+        .groupBy("path")
+        .agg(
+            F.bool_and("utf8").alias("utf8"),
+            F.max("f").alias("fields"),
+            F.bool_or(F.col("q") % 2 == 1).alias("open_quotes"),
+            (F.sum("q") % 2 == 0).alias("balanced"),
+        )
+    )
+    found = {r["path"]: Survey(r["utf8"], r["fields"], r["open_quotes"], r["balanced"]) for r in facts.collect()}
+    return {p: found.get(p, Survey()) for p in paths}
 
 
 def _source_path() -> Column:
@@ -138,11 +161,17 @@ def _source_path() -> Column:
 
 
 def _scan(
-    spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str, checked: bool = True
+    spark: SparkSession,
+    paths: Sequence[str],
+    header: Sequence[str],
+    encoding: str,
+    checked: bool = False,
+    broken_lines: bool = False,
 ) -> DataFrame:
     """Files with one common header as text columns named c0, c1, ..., plus path and bad line.
 
-    To notice lines of the wrong length the reader's own column pruning has to be off.
+    To notice records of the wrong length the reader's own column pruning has to be off. Files with
+    quoted line breaks cannot be split, so only they are read record by record.
     """
     names = [f"c{i}" for i in range(len(header))]
     fields = [T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]
@@ -154,6 +183,8 @@ def _scan(
         .option("columnPruning", str(not checked).lower())
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("encoding", encoding)
+        .option("escape", '"')
+        .option("multiLine", str(broken_lines).lower())
         .csv(list(paths))
     )
     return rows.select(*names, _CORRUPT, _source_path().alias(SOURCE))
@@ -164,7 +195,9 @@ def _named(rows: DataFrame, header: Sequence[str], null_tokens: bool) -> tuple[D
     names = [normal_name(c) for c in header]
     keep, repeated = first_positions(names)
     value = text.null_on_read if null_tokens else (lambda c: c)
-    out = rows.select(*[value(F.col(f"c{i}")).alias(names[i]) for i in keep], SOURCE)
+    columns = [value(F.col(f"c{i}")).alias(names[i]) for i in keep]
+    # Written predictions carry the source of their rows already.
+    out = rows.select(*columns, *([] if SOURCE in names else [SOURCE]))
     return out, [duplicate_warning(repeated)] if repeated else []
 
 
@@ -185,15 +218,30 @@ def _checked(rows: DataFrame, width: int) -> DataFrame:
 
 
 class Captures:
-    """Tables read from files, one per header, with what was noticed on the way."""
+    """Tables read from files, one per header, with what was noticed on the way.
+
+    ``skipped`` names the files left out, ``reasons`` why. ``has_source`` says that files have a
+    column of the source's name themselves, which then stands for it.
+    """
 
-    def __init__(self, tables: list[DataFrame], warnings: list[str], skipped: list[str]):
-        self.tables, self.warnings, self.skipped = tables, warnings, skipped
+    def __init__(
+        self, tables: list[DataFrame], warnings: list[str], reasons: dict[str, str], has_source: bool = False
+    ):
+        self.tables, self.warnings, self.reasons, self.has_source = tables, warnings, reasons, has_source
+
+    @property
+    def skipped(self) -> list[str]:
+        return list(self.reasons)
+
+    def notes(self) -> list[str]:
+        return [*self.warnings, *[f"Skipped {path}: {reason}." for path, reason in self.reasons.items()]]
 
     def table(self, keep_source: bool = False) -> DataFrame:
-        """All rows as one table, stacked by column name."""
+        """All rows as one table, stacked by column name; what was noticed goes out as Python warnings."""
+        for note in self.notes():
+            python_warnings.warn(note, stacklevel=2)
         merged = union_all(self.tables)
-        return merged if keep_source else merged.drop(SOURCE)
+        return merged if keep_source or self.has_source else merged.drop(SOURCE)
 
 
 def read_captures(
@@ -203,51 +251,59 @@ def read_captures(
     on_error: str = "raise",
     null_tokens: bool = True,
 ) -> Captures:
-    """Read files of possibly different headers.
+    """Read files of possibly different headers, after one scan of their lines.
 
-    ``encoding="auto"`` checks each file and takes Latin-1 where UTF-8 fails. A file with a line
-    longer than its header is unreadable: ``on_error="skip"`` leaves that whole file out, at the
-    price of one more scan, and "raise" stops the scan. "ignore" drops the surplus fields and lets
-    the reader parse only the columns a query needs.
+    ``encoding="auto"`` takes Latin-1 for a file that is not UTF-8. Quotes inside quoted text are
+    doubled, and quoted text may hold line breaks. A file with a line longer than its header, or
+    with quotes that do not pair up, is unreadable: ``on_error="skip"`` leaves that whole file out,
+    "raise" fails, and "ignore" drops the surplus fields.
     """
     paths = list(paths)
-    encodings = detect_encodings(spark, paths) if encoding == "auto" else dict.fromkeys(paths, encoding)
+    surveys = survey_files(spark, paths)
+    encodings = {p: (encoding if encoding != "auto" else "UTF-8" if surveys[p].utf8 else _LATIN) for p in paths}
     headers = read_headers(spark, paths, encodings)
     groups: dict[tuple, list[str]] = {}
-    skipped = []
+    reasons = {}
     for path in paths:
-        if headers[path] is None:
-            skipped.append(path)
+        header, seen = headers[path], surveys[path]
+        if header is None:
+            reasons[path] = "no header"
+            continue
+        problem = None
+        if not seen.balanced:
+            problem = "Quotes that do not pair up"
+        elif seen.fields > len(header) and not seen.open_quotes:
+            problem = "Line longer than the header"
+        if problem and on_error == "raise":
+            raise ValueError(f"{problem} in {path}")
+        if problem and on_error == "skip":
+            reasons[path] = problem
         else:
-            groups.setdefault((tuple(headers[path]), encodings[path]), []).append(path)
+            groups.setdefault((tuple(header), encodings[path], seen.open_quotes), []).append(path)
     tables, warnings = [], []
-    for (header, charset), files in groups.items():
-        rows = _scan(spark, files, header, charset, checked=on_error != "ignore")
-        if on_error == "skip":
-            # As many rows as there are broken files: found in one scan, then left out whole.
+    for (header, charset, broken_lines), files in groups.items():
+        # Only where text runs over several lines does the length of a record show in parsing alone.
+        rows = _scan(spark, files, header, charset, broken_lines and on_error != "ignore", broken_lines)
+        if broken_lines and on_error == "skip":
             bad = rows.where(_too_long(len(header))).groupBy(SOURCE).agg(F.first("c0").alias("at"))
             broken = {r[SOURCE] for r in bad.collect()}
-            skipped += [f for f in files if f in broken]
+            reasons |= {f: "Line longer than the header" for f in files if f in broken}
             files = [f for f in files if f not in broken]
             if not files:
                 continue
-            rows = _scan(spark, files, header, charset, checked=False)
-        elif on_error == "raise":
+            rows = _scan(spark, files, header, charset, broken_lines=True)
+        elif broken_lines and on_error == "raise":
             rows = _checked(rows, len(header))
         table, noticed = _named(rows, header, null_tokens)
         warnings += [w for w in noticed if w not in warnings]
         tables.append(table)
-    return Captures(tables, warnings, skipped)
+    has_source = any(SOURCE in map(normal_name, header) for header, _, _ in groups)
+    return Captures(tables, warnings, reasons, has_source)
 
 
-def read_flows(
-    spark: SparkSession,
-    path: str,
-    encoding: str = "UTF-8",
-    null_tokens: bool = True,
-    keep_source: bool = False,
-    on_error: str = "raise",
-) -> DataFrame:
+def open_flows(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", null_tokens: bool = True, on_error: str = "raise"
+) -> Captures:
     """One file or folder of captures; fails when it is missing or holds no rows."""
     try:
         files = _listing(spark, path)
@@ -256,34 +312,67 @@ def read_flows(
     captures = read_captures(spark, files, encoding, on_error, null_tokens)
     if not captures.tables or all(t.isEmpty() for t in captures.tables):
         raise ValueError(f"{path} contains no data rows.")
-    return captures.table(keep_source)
+    return captures
 
 
-def read_many(
-    spark: SparkSession, paths: Iterable[str], missing: str = "skip", encoding: str = "auto", keep_source: bool = False
+def read_flows(
+    spark: SparkSession,
+    path: str,
+    encoding: str = "UTF-8",
+    null_tokens: bool = True,
+    keep_source: bool = False,
+    on_error: str = "raise",
 ) -> DataFrame:
+    """The rows of ``open_flows`` as one table."""
+    return open_flows(spark, path, encoding, null_tokens, on_error).table(keep_source)
+
+
+def open_many(
+    spark: SparkSession, paths: Iterable[str], missing: str = "skip", encoding: str = "auto", on_error: str = "raise"
+) -> Captures:
     """Named files; absent ones are skipped, or raise with ``missing="raise"``."""
-    found = []
+    found, absent = [], {}
     for path in paths:
         files = list_files(spark, path)
-        if not files and missing == "raise":
-            raise FileNotFoundError(f"Input file not found: {path}")
+        if not files:
+            if missing == "raise":
+                raise FileNotFoundError(f"Input file not found: {path}")
+            absent[path] = "not found"
         found += files
-    captures = read_captures(spark, found, encoding)
+    captures = read_captures(spark, found, encoding, on_error)
     if not captures.tables:
         raise ValueError("No files were loaded. Check the input paths.")
-    return captures.table(keep_source)
+    captures.reasons = absent | captures.reasons
+    return captures
 
 
-def read_dirs(
-    spark: SparkSession, folders: Iterable[str], on_error: str = "skip", keep_source: bool = False
+def read_many(
+    spark: SparkSession, paths: Iterable[str], missing: str = "skip", encoding: str = "auto", keep_source: bool = False
 ) -> DataFrame:
+    """The rows of ``open_many`` as one table."""
+    return open_many(spark, paths, missing, encoding).table(keep_source)
+
+
+def open_dirs(spark: SparkSession, folders: Iterable[str], on_error: str = "skip") -> Captures:
     """Every ``*.csv`` of the folders; missing folders and unreadable files are skipped."""
-    found = [f for folder in folders for f in list_files(spark, folder, "*.csv")]
+    found, absent = [], {}
+    for folder in folders:
+        files = list_files(spark, folder, "*.csv")
+        if not files:
+            absent[folder] = "no CSV files"
+        found += files
     captures = read_captures(spark, found, on_error=on_error)
     if not captures.tables:
         raise ValueError("No CSV files were loaded. Check the folder paths and file names.")
-    return captures.table(keep_source)
+    captures.reasons = absent | captures.reasons
+    return captures
+
+
+def read_dirs(
+    spark: SparkSession, folders: Iterable[str], on_error: str = "skip", keep_source: bool = False
+) -> DataFrame:
+    """The rows of ``open_dirs`` as one table."""
+    return open_dirs(spark, folders, on_error).table(keep_source)
 
 
 def read_by_type(spark: SparkSession, folders: Iterable[str]) -> dict[str, DataFrame]:

@@ -15,7 +15,10 @@ def _write(df: DataFrame, path: str, fmt: str, partition_by: Sequence[str] = ())
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         # By default the CSV writer would trim values.
-        writer = writer.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+        # Nor does it double quotes inside quoted text.
+        writer = writer.options(
+            header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", escape='"'
+        )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -16,9 +16,13 @@ from flowlens.plans.scoring import score_intrusion
 
 
 def captures_stream(spark: SparkSession, folder: str, header: Sequence[str]) -> DataFrame:
-    """New ``*.csv`` files of one header as a stream of text columns."""
+    """New ``*.csv`` files of one header as a stream of text columns.
+
+    A file whose header differs, be it in the order of its columns only, stops the stream.
+    """
     schema = ", ".join(f"`{name}` string" for name in header)
-    rows = spark.readStream.schema(schema).option("header", "true").option("pathGlobFilter", "*.csv").csv(folder)
+    options = {"header": "true", "enforceSchema": "false", "escape": '"', "pathGlobFilter": "*.csv"}
+    rows = spark.readStream.schema(schema).options(**options).csv(folder)
     named = normalize_columns(rows)
     return named.select(*[text.null_on_read(F.col(c)).alias(c) for c in named.columns])
 

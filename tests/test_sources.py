@@ -79,18 +79,60 @@ def test_nothing_loaded(spark, tmp_path):
         captures.read_many(spark, [str(tmp_path / "x.csv")], missing="raise")
 
 
-def test_headers_by_tasks_equal_headers_by_driver(spark, tmp_path, monkeypatch):
+def test_headers_by_tasks_equal_headers_by_spark(spark, tmp_path):
     names = [put(tmp_path / "many +files%41", f"f{i}.csv", f"\n A{i % 3} ,é\r\n1,2\n") for i in range(7)]
     names.append(put(tmp_path / "many +files%41", "blank.csv", "\n\n"))
     paths = captures.list_files(spark, str(tmp_path / "many +files%41"))
     assert len(paths) == len(names)
-    by_driver = captures.read_headers(spark, paths)
     assert len(captures._headers_by_tasks(spark, paths, {})) == len(paths)
-    monkeypatch.setattr(captures, "_HEADERS_BY_DRIVER", 1)
-    assert captures.read_headers(spark, paths) == by_driver
+    assert captures.read_headers(spark, paths) == {p: captures.read_header(spark, p) for p in paths}
     assert captures.read_flows(spark, str(tmp_path / "many +files%41")).count() == 7
 
 
+@pytest.mark.parametrize("count", [3, 70])
+@pytest.mark.parametrize("encoding", ["utf-8", "iso-8859-1", "ISO-8859-1"])
+def test_headers_do_not_depend_on_the_number_of_files(spark, tmp_path, count, encoding):
+    for i in range(count):
+        put(tmp_path / "in", f"f{i}.csv", "né,b\né,2\n", encoding)
+    df = captures.read_flows(spark, str(tmp_path / "in"), encoding=encoding)
+    assert df.columns == ["né", "b"] and df.where("b = '2'").count() == count
+    assert {r["né"] for r in df.collect()} == {"é"}
+
+
+def test_quotes_in_quoted_text(spark, tmp_path):
+    path = put(tmp_path, "q.csv", 'a,b\n"x ""y, z"" w",1\n"""",2\n')
+    assert [tuple(r) for r in captures.read_flows(spark, path).collect()] == [('x "y, z" w', "1"), ('"', "2")]
+    df = spark.createDataFrame([('x "y, z" w', "DoS")], "a string, predicted_attack string")
+    sinks.write_predictions(df, str(tmp_path / "p"))
+    assert tuple(captures.read_predictions(spark, str(tmp_path / "p")).first()) == ('x "y, z" w', "DoS")
+
+
+def test_line_breaks_in_quoted_text(spark, tmp_path):
+    path = put(tmp_path, "n.csv", 'a,b\n"x\ny",1\nz,2\n')
+    assert [tuple(r) for r in captures.read_flows(spark, path).collect()] == [("x\ny", "1"), ("z", "2")]
+    long = put(tmp_path, "l.csv", 'a,b\n"x\ny",1,2\nz,2\n')
+    with pytest.raises(Exception, match="Line longer than the header"):
+        captures.read_flows(spark, long).collect()
+    kept = captures.read_captures(spark, ["file:" + path, "file:" + long], on_error="skip")
+    assert kept.skipped == ["file:" + long] and kept.table().count() == 2
+    with pytest.raises(ValueError, match="do not pair up"):
+        captures.read_flows(spark, put(tmp_path, "open.csv", 'a,b\n"x,1\nz,2\n'))
+
+
+def test_what_is_left_out_is_reported(spark, tmp_path):
+    good = put(tmp_path / "d", "good.csv", "a,b\n1,2\n")
+    put(tmp_path / "d", "long.csv", "a,b\n1,2\n3,4,5\n")
+    put(tmp_path / "d", "blank.csv", "\n")
+    found = captures.open_dirs(spark, [str(tmp_path / "d"), str(tmp_path / "gone")])
+    assert {os.path.basename(p): why for p, why in found.reasons.items()} == {
+        "gone": "no CSV files", "long.csv": "Line longer than the header", "blank.csv": "no header",
+    }
+    with pytest.warns(UserWarning, match="gone: no CSV files"):
+        assert found.table().count() == 1
+    with pytest.warns(UserWarning, match="x.csv: not found"):
+        captures.read_many(spark, [good, str(tmp_path / "x.csv")])
+
+
 def test_predictions_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(" a ", "DoS")], "x string, predicted_attack string")
     assert sinks.write_predictions(df, str(tmp_path / "p"))

@@ -1,3 +1,5 @@
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain
@@ -29,3 +31,11 @@ def test_arrivals_are_scored_once(spark, tmp_path, tables):
     # Batch scoring of the same rows with stored medians gives the same predictions.
     batch = score_intrusion(rows, trained, impute_from="train").select(F.col("flow_id").cast("string"), "predicted_attack")
     assert batch.exceptAll(got.select("flow_id", "predicted_attack")).isEmpty()
+
+
+def test_columns_in_another_order_stop_the_stream(spark, tmp_path):
+    write_clean(spark.createDataFrame([("1", "2")], "b string, a string"), f"{tmp_path}/in", "csv")
+    rows = captures_stream(spark, f"{tmp_path}/in", ["a", "b"])
+    query = rows.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination(60)
