@@ -75,20 +75,36 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Byte positions at which a word starts; no word crosses the end of a text."""
+def word_starts(
+    data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, kinds: np.ndarray | None = None
+) -> np.ndarray:
+    """Byte positions at which a word starts; no word crosses the end of a text.
+
+    ``kinds`` numbers the bytes; a word also ends where kinds 1 and 2 meet.
+    """
     inside = codes[data] != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    if kinds is not None:
+        kind = kinds[data]
+        begins[1:] |= kind[1:] * kind[:-1] == 2
     edges = offsets[:-1]
     edges = edges[edges < len(data)]
     begins[edges] = inside[edges]
     return np.flatnonzero(begins)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, kinds: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word in order, and for each text the index of its first word (one more at the end)."""
-    starts = word_starts(data, offsets, codes)
+    return hashes_at(data, offsets, codes, word_starts(data, offsets, codes, kinds))
+
+
+def hashes_at(
+    data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, starts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words of known starts."""
     firsts = np.searchsorted(starts, offsets).astype(np.int64)
     if not len(starts):
         return np.zeros(0, np.uint64), firsts

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.hashing import WHITESPACE, byte_codes, pieces, string_parts, word_hashes, word_starts
+from flowlens.llm.hashing import WHITESPACE, byte_codes, hashes_at, pieces, string_parts, word_starts
 from flowlens.operators.shared import checkpoint_folder, ship_with_tasks, written_table
 
 for _module in (__name__, "flowlens.llm.hashing"):
     ship_with_tasks(_module)
 
 BATCH_SEQUENCES = 64
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 3_000_000
+SLOTS = 1 << 22
 MANIFEST = "part long, path string, n_documents long, n_ids long"
 
 
@@ -42,58 +43,114 @@ def _file(path: str):
 class WordEncoder:
     """Encodes texts word by word, each distinct word once, for tokenizers that never join words.
 
-    That holds where the tokenizer drops white space before anything else looks across it.
+    That holds where the tokenizer drops white space before anything else looks across it. Where
+    trials show that it also parts ASCII letters from punctuation, and takes capitals as small
+    letters, words are cut and told apart accordingly, which leaves far fewer of them.
     """
 
     def __init__(self, path: str):
+        import os
+        import string
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.codes = byte_codes(WHITESPACE)
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        marks = [p for p in string.punctuation if p != "'"]
+        parts = all(one(f"a{p}b") == one("a") + one(p) + one("b") for p in marks)
+        folds = all(one(f"a{c}") == one(f"a{c.lower()}") for c in string.ascii_uppercase)
+        self.codes, self.exact_codes = byte_codes(WHITESPACE, lower=folds), byte_codes(WHITESPACE)
+        # Texts that spell special tokens are cut at white space alone, capitals and all.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kinds = np.zeros(256, np.uint8)
+        if parts:
+            self.kinds[list(string.ascii_letters.encode())] = 1
+            self.kinds[list("".join(marks).encode())] = 2
+        # Ids that end a word, for tokenizers that mark them.
+        self.last = np.zeros(size, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes))))
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
-        self.lengths = np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, np.array([i for x in found for i in x], self.kind))
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        # A shortcut to most entries by the low bits of their hash; the last of equal ones has the slot.
+        self.slots, self.hashes = np.zeros(SLOTS, np.int32), np.zeros(0, np.uint64)
+        self.lengths, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Store the ids of new words, whose hashes ascend."""
+        plain = np.array([w.isalpha() for w in words], bool) & self.last.any()
+        ids, lengths = self._encode_plain([w for w, p in zip(words, plain) if p])
+        rest = [e.ids for e in self.tokenizer.encode_batch([w for w, p in zip(words, plain) if not p], add_special_tokens=False)]
+        found = np.concatenate([ids, np.array([i for x in rest for i in x], self.kind)])
+        sizes = np.concatenate([lengths, np.array([len(x) for x in rest], np.int64)])
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.known, hashes)
+        numbers = np.arange(len(self.starts), len(self.starts) + len(words), dtype=np.int32)
+        self.known, self.entry = np.insert(self.known, at, hashes), np.insert(self.entry, at, numbers)
+        self.hashes = np.append(self.hashes, hashes)
+        self.slots[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)] = numbers
+        self.starts = np.append(self.starts, starts[order])
+        self.lengths = np.append(self.lengths, sizes[order].astype(np.int32))
+        self.flat = np.append(self.flat, found)
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, encoded many at a time and parted behind the ids that end a word."""
+        ids, lengths = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            found = np.array(encoded.ids, self.kind)
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) != len(group):  # some word has several parts
+                each = [e.ids for e in self.tokenizer.encode_batch(group, add_special_tokens=False)]
+                found, ends = np.array([i for x in each for i in x], self.kind), np.cumsum([len(x) for x in each])
+            ids.append(found)
+            lengths.append(np.diff(np.append(0, ends)))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _entries(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word's entry, and the positions of words that have none yet."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int32), np.arange(len(hashes))
+        entry = self.slots[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+        rest = np.flatnonzero(self.hashes[entry] != hashes)
+        at = np.minimum(np.searchsorted(self.known, hashes[rest]), len(self.known) - 1)
+        entry[rest] = self.entry[at]
+        return entry, rest[self.known[at] != hashes[rest]]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, and the number of ids of each text."""
-        hashes, firsts = word_hashes(data, offsets, self.codes)
-        once, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        codes, kinds = self.codes, self.kinds
+        if any(token in raw for token in self.special):
+            codes, kinds = self.exact_codes, None
+        begin = word_starts(data, offsets, codes, kinds)
+        hashes, firsts = hashes_at(data, offsets, codes, begin)
         if len(self.known) > CACHED_WORDS:
             self._clear()
-        spelled = once.tolist()
-        new = [k for k, h in enumerate(spelled) if h not in self.known]
-        if new:
-            starts = word_starts(data, offsets, self.codes)
-            stops = np.append(starts[1:], len(data))
-            last = np.append(offsets[1:], len(data))
-            raw = data.tobytes()
-            words = []
-            for k in new:
-                i = at[k]
-                edge = last[np.searchsorted(offsets, starts[i], side="right") - 1]
-                words.append(raw[starts[i] : min(stops[i], edge)].rstrip(WHITESPACE).decode())
-            self._learn([spelled[k] for k in new], words)
-        entry = np.array([self.known[h] for h in spelled], np.int64)[back] if len(spelled) else np.zeros(0, np.int64)
-        lengths = self.lengths[entry]
-        total = np.append(0, np.cumsum(lengths))
-        counts = total[firsts[1:]] - total[firsts[:-1]] + 1
-        text = np.repeat(np.arange(len(counts)), np.diff(firsts))
-        out = np.full(int(counts.sum()), end, self.kind)
-        # A word's ids go behind all earlier ids and the end ids of earlier texts.
-        place = np.repeat(total[:-1] + text - np.append(0, total[1:])[:-1], lengths) + np.arange(total[-1])
-        out[place] = self.flat[np.repeat(self.starts[entry] - total[:-1], lengths) + np.arange(total[-1])]
-        return out, counts
+        entry, missing = self._entries(hashes)
+        if len(missing):
+            once, at = np.unique(hashes[missing], return_index=True)
+            at = missing[at]
+            size = np.add.reduceat(codes[data] != 0, begin)[at]
+            self._learn(once, [raw[a:b].decode() for a, b in zip(begin[at].tolist(), (begin[at] + size).tolist())])
+            entry[missing] = self._entries(hashes[missing])[0]
+        # The end of a text is an entry like a word: one id behind all others.
+        flat = np.append(self.flat, self.kind(end))
+        starts = np.insert(self.starts[entry], firsts[1:], len(flat) - 1)
+        lengths = np.insert(self.lengths[entry], firsts[1:], 1)
+        before = np.cumsum(lengths, dtype=np.int64) - lengths
+        out = flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        # Entry i of a text comes after one end for each earlier text.
+        closing = firsts[1:] + np.arange(len(firsts) - 1)
+        return out, np.diff(np.append(-1, before[closing]))
 
 
 def word_encoder(path: str) -> WordEncoder:
