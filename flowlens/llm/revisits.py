@@ -142,6 +142,9 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         .groupBy(F.col("record_id").cast("long").alias("body_of"))
         .agg(F.max("body").alias("body"))
     )
-    return judged.withColumn("taken", taken).join(bodies, F.col("taken") == F.col("body_of"), "left").select(
+    # Rows that take no body are spread by their own id instead of meeting under one empty key.
+    key = F.coalesce("taken", F.xxhash64("record_id", "canonical_url"))
+    wanted = (key == F.col("body_of")) & F.col("taken").isNotNull()
+    return judged.withColumn("taken", taken).join(bodies, wanted, "left").select(
         "record_id", "canonical_url", "response_id", "outcome", "headers", "body"
     )
