@@ -36,7 +36,45 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-@query("op1_ngram_jaccard_join")
+OP1_SQL = r"""
+with recursive words as (
+ select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') w from documents),
+starts as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) i from words where len(w) > 0),
+shingles as (select distinct doc_id, array_to_string(w[i : i + 2], ' ') t from starts),
+sizes as (select doc_id, count(*) n from shingles group by doc_id),
+shared as (
+ select a.doc_id a, b.doc_id b, count(*) n from shingles a join shingles b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+links as (
+ select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 90 * (x.n + y.n - shared.n)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select a, b from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+roots as (select a, min(b) b from reach group by a),
+degrees as (select a, count(*) n from edges group by a)
+select documents.doc_id, coalesce(sizes.n, 0) n_shingles, least(documents.doc_id, coalesce(roots.b, documents.doc_id)) component_id,
+ coalesce(degrees.n, 0) n_links
+from documents left join sizes on sizes.doc_id = documents.doc_id left join roots on roots.a = documents.doc_id
+ left join degrees on degrees.a = documents.doc_id
+"""
+
+OP9_SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 48)) i from words where len(w) >= 50),
+runs as (select doc_id, i, array_to_string(w[i : i + 49], ' ') t from starts),
+firsts as (select t, min(doc_id) d from runs group by t),
+gone as (
+ select distinct doc_id, unnest(range(i, i + 50)) j from (
+  select runs.doc_id, i from runs join firsts on runs.t = firsts.t where firsts.d < runs.doc_id)),
+spelled as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) j from words),
+kept as (
+ select spelled.doc_id, count(*) n_words, count(gone.j) n_removed, string_agg(word, ' ' order by spelled.j) filter (gone.j is null) t
+ from spelled left join gone on gone.doc_id = spelled.doc_id and gone.j = spelled.j group by spelled.doc_id)
+select documents.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(t, '')) kept_sha256
+from documents left join kept on kept.doc_id = documents.doc_id
+"""
+
+
+@query("op1_ngram_jaccard_join", OP1_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, folder), words=3, threshold=90).drop("text_key")
 
@@ -111,7 +149,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return PositionalIndex(documents(spark, folder), benchmark).report().drop("text_key")
 
 
-@query("op9_fixed_block_repeats")
+@query("op9_fixed_block_repeats", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(documents(spark, folder), window=50).drop("spans")
 

@@ -60,7 +60,7 @@ _ADDRESS = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(
     r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd)\b\s*[=:]\s*[\"']?([\w+/=.-]{8,})"
-    r"|(?<!\w)([0-9a-f]{32,}|(?=[A-Z0-9]*[A-Z])(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)"
+    r"|(?<!\w)((?=[0-9]*[a-f])[0-9a-f]{32,}|(?=[A-Z0-9]*[A-Z])(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)"
 )
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _LOCAL = re.compile(r"[\w.%+-]")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from flowlens.llm import components, jaccard
 from flowlens.llm.components import connected_components
-from flowlens.llm.jaccard import Ranges, ngram_jaccard_join
+from flowlens.llm.jaccard import frequency_class, ngram_jaccard_join, prefix
 
 
 def brute(rows, size, threshold):
@@ -69,18 +69,31 @@ def test_equals_brute_force(spark, monkeypatch, seed, size, threshold):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.integers(1, 4000), st.integers(50, 99), st.randoms(use_true_random=False))
-def test_linked_sets_share_a_signature(n, threshold, rng):
-    """However the differing shingles fall, sets that reach the threshold meet."""
+@given(st.integers(1, 300), st.integers(50, 99), st.randoms(use_true_random=False))
+def test_linked_sets_share_a_prefix_shingle(n, threshold, rng):
+    """Whatever the frequency classes, sets that reach the threshold meet."""
     space = np.random.default_rng(rng.randrange(1 << 30))
     base = np.unique(space.integers(0, 1 << 64, n, dtype=np.uint64))
-    a = rng.randint(0, max(0, len(base) * (100 - threshold) // 100))
-    b = rng.randint(0, max(0, len(base) * (100 - threshold) // 100))
-    left, right = base[a:], base[: len(base) - b]
+    classes = frequency_class(space.integers(2, 1 << rng.randint(2, 20), len(base)))
+    alone = np.zeros(len(base), bool)
+    a, b = (rng.randint(0, max(0, len(base) * (110 - threshold) // 100)) for _ in range(2))
+    drop = space.permutation(len(base))
+    left, right = np.sort(drop[a:]), np.sort(drop[: len(base) - b])
+    alone[np.setxor1d(left, right)] = True
+    classes = np.where(alone, 0, classes)
     shared = len(np.intersect1d(left, right))
     if len(left) and len(right) and 100 * shared >= threshold * (len(left) + len(right) - shared):
-        ranges = Ranges(threshold)
-        assert np.intersect1d(ranges.signatures(left), ranges.signatures(right)).size
+        one, two = (prefix(base[x], classes[x], threshold) for x in (left, right))
+        assert np.intersect1d(one, two).size
+
+
+def test_shared_passages_bring_nothing_together(spark):
+    """Documents that share half of their text are in no group, however many there are."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"u{rng.randrange(10**6)}" for _ in range(60)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(ngram_jaccard_join(df, 5, 80), "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute(rows, 5, 80), key=repr)
 
 
 def test_many_near_copies_of_one_text(spark, monkeypatch):

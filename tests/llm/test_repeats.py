@@ -5,7 +5,8 @@ import re
 import pytest
 from common import SPACES, empty, hard, rows_of
 
-from flowlens.llm.repeats import pack, remove_repeats, unpack
+from flowlens.llm.lists import pack, unpack
+from flowlens.llm.repeats import remove_repeats
 
 
 def brute(rows, window):
