@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -97,7 +99,8 @@ def repeat_rows(df: DataFrame, copies: Column, index: str, row_id: str, most: in
 def checkpoint_folder(spark) -> str:
     """Shared scratch folder of the cluster, as the session names it.
 
-    Only a local session without one gets a folder of its own.
+    Only a local session, which is its own cluster, gets a folder by itself if none is named; that one
+    goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
@@ -107,12 +110,29 @@ def checkpoint_folder(spark) -> str:
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="flowlens-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[application], ignore_errors=True)
     return _LOCAL_FOLDERS[application]
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new path in the shared folder, below this application's own part of it."""
+    return f"{checkpoint_folder(spark)}/flowlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark) -> None:
+    """Delete what this application has written to the shared folder: the last step of a job.
+
+    Tables that were read from there can no longer be used.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_folder(spark)}/flowlens/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: durable, columnar lineage cut."""
-    path = f"{checkpoint_folder(df.sparkSession)}/flowlens/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -87,7 +87,10 @@ _FACTS = "values " + ", ".join(
     "J1_enrich_intelligence",
     f"""with facts(class, {', '.join(domain.INTELLIGENCE_FIELDS)}) as ({_FACTS}),
     counts as (select trim(attack_cat) as class, count(*) as n from flows where attack_cat is not null group by 1)
-    select counts.class, n, {', '.join(f"coalesce({f}, {_text(domain.INTELLIGENCE_DEFAULT[f])}) as {f}" for f in domain.INTELLIGENCE_FIELDS)}
+    select counts.class, n, case when counts.class in ('Normal') then 'Low' when counts.class in ('Analysis','Fuzzers','Generic','Reconnaissance') then 'Medium'
+     when counts.class in ('Backdoor','DoS','Exploits','Shellcode') then 'High' when counts.class='Worms' then 'Critical' else 'Unknown' end as severity,
+     case when counts.class='Normal' then 'Safe' when counts.class in ('Analysis','Fuzzers','Reconnaissance') then 'Moderate' when counts.class='Generic' then 'Moderate to High'
+     when counts.class in ('Backdoor','DoS','Exploits','Shellcode') then 'High Risk' when counts.class='Worms' then 'Critical' else 'Unknown' end as danger_level, {', '.join(f"coalesce({f}, {_text(domain.INTELLIGENCE_DEFAULT[f])}) as {f}" for f in domain.INTELLIGENCE_FIELDS[2:])}
     from counts left join facts on counts.class = facts.class""",
     ("flows",),
 )
@@ -140,9 +143,20 @@ def _(t):
     return both.select("class", (F.col("a") > 0).alias("in_first"), (F.col("b") > 0).alias("in_second"))
 
 
-@query("N1_null_tokens_on_read", "select flow_id, case when proto in ('','nan','null','NA') then null else proto end as proto, nullif(state,'') as state, service from flows", ("flows",))
+# Spellings written out here, apart from those that the code under test knows.
+_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+_LOOKALIKES = ["-", "Na", "none", "na", " NA", "N/A ", "0"]
+_SPELLED = "case flow_id % 26 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate([*_TOKENS, *_LOOKALIKES])) + " end"
+
+
+@query(
+    "N1_null_tokens_on_read",
+    f"select flow_id, nullif(state,'') as state, service, case when flow_id % 26 >= {len(_TOKENS)} then {_SPELLED} end as spelled from flows",
+    ("flows",),
+)
 def _(t):
-    return t.flows.select("flow_id", *[text.null_on_read(F.col(c)).alias(c) for c in ("proto", "state", "service")])
+    rows = t.flows.withColumn("spelled", F.expr(_SPELLED))
+    return rows.select("flow_id", *[text.null_on_read(F.col(c)).alias(c) for c in ("state", "service", "spelled")])
 
 
 @query(
@@ -286,8 +300,9 @@ def _(t):
 
 @query(
     "B2_status_message",
-    f"""select flow_id, case {_LEVEL} when 'Low' then {_text(domain.STATUS_MESSAGES['Low'])}
-    when 'Medium' then {_text(domain.STATUS_MESSAGES['Medium'])} else {_text(domain.STATUS_MESSAGES['High'])} end as status_message
+    f"""select flow_id, case {_LEVEL} when 'Low' then 'Network Status: Secure'
+    when 'Medium' then 'Network Status: Suspicious Activity Detected'
+    else 'Network Status: High Risk — Immediate Investigation Required' end as status_message
     from (select flow_id, round(sbytes/100,2) as s, false as d from cleaned) x""",
 )
 def _(t):

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.cleaning import clean_flows
+from flowlens.functions import domain
+from flowlens.operators import schema
 from flowlens.operators.drift import drift
-from flowlens.operators.shared import checkpoint_folder
+from flowlens.operators.shared import scratch_path
 from flowlens.plans import jobs
+from flowlens.plans.recipes import evaluate
 from flowlens.plans.registry import query
 from flowlens.sources import captures, sinks
 
@@ -18,12 +18,14 @@ _READ = "nullif(proto,'') as proto, service, nullif(state,'') as state, sbytes,
 
 
 def _place(t, name: str) -> str:
-    return f"{checkpoint_folder(t.spark)}/flowlens/captures/{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, f"captures-{name}")
 
 
 def _export(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
     """Write a table as CSV captures, values untouched."""
-    options = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    options = {
+        "header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
     df.write.options(**options, encoding=encoding).csv(path)
     return path
 
@@ -33,6 +35,20 @@ def _(t):
     return captures.read_flows(t.spark, _export(t.flows, _place(t, "flows")))
 
 
+@query(
+    "S1_read_quoted",
+    """select cast(flow_id as varchar) as flow_id, service || ', "' || state || '"' as quoted,
+    case when flow_id%3=0 then service || chr(10) || 'next' else service end as lines from flows where state<>''""",
+    ("flows",),
+)
+def _(t):
+    """Text with commas, quotes and line breaks comes back as it was."""
+    quoted = F.concat("service", F.lit(', "'), "state", F.lit('"')).alias("quoted")
+    lines = F.when(F.col("flow_id") % 3 == 0, F.concat("service", F.lit("\nnext"))).otherwise(F.col("service"))
+    rows = t.flows.where("state <> ''").select("flow_id", quoted, lines.alias("lines"))
+    return captures.read_flows(t.spark, _export(rows, _place(t, "quoted")))
+
+
 @query(
     "S2_read_flows_encoding",
     "select cast(flow_id as varchar) as flow_id, replace(service,'s','é') as service, 'latin' as part from flows where flow_id%2=0 union all select cast(flow_id as varchar), replace(service,'s','é'), 'utf' from flows where flow_id%2=1",
@@ -51,36 +67,35 @@ def _(t):
 @query(
     "S3_read_many",
     """select cast(flow_id as varchar) as flow_id, nullif(proto,'') as proto, sbytes, cast(null as varchar) as service from flows where flow_id%3=0
-    union all select cast(flow_id as varchar), null, sbytes, service from flows where flow_id%3=1""",
+    union all select cast(flow_id as varchar), null, sbytes, service from flows where flow_id%3=1
+    union all select cast(flow_id as varchar), nullif(proto,''), null, service from flows where flow_id%3=2""",
     ("flows",),
 )
 def _(t):
     place = _place(t, "many")
-    first = t.flows.where("flow_id % 3 = 0").select("flow_id", F.col("proto").alias("Proto"), "sbytes")
-    second = t.flows.where("flow_id % 3 = 1").select(F.col("sbytes").alias(" SBYTES"), "service", "flow_id")
-    _export(first, f"{place}/a")
-    _export(second, f"{place}/b")
-    return captures.read_many(t.spark, [f"{place}/a", f"{place}/b", f"{place}/absent"])
+    parts = [t.flows.where(F.col("flow_id") % 3 == rest) for rest in range(3)]
+    _export(parts[0].select("flow_id", F.col("proto").alias("Proto"), "sbytes"), f"{place}/a")
+    _export(parts[1].select(F.col("sbytes").alias(" SBYTES"), "service", "flow_id"), f"{place}/b")
+    _export(parts[2].select("service", "proto", F.col("flow_id").alias("Flow_ID ")), f"{place}/c")
+    return captures.read_many(t.spark, [f"{place}/{x}" for x in ("a", "b", "c", "absent")])
 
 
 @query(
     "S4_read_dirs",
-    "select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, class1 from vpn where l_linenumber in (1,2)",
+    "select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, class1 from vpn",
     ("vpn",),
 )
 def _(t):
+    """All rows of two folders; a third holds copies with one line too long and is left out whole."""
     place = _place(t, "folders")
     rows = t.vpn.select("l_orderkey", "l_linenumber", "class1")
-    for number in (1, 2):
-        _export(rows.where(F.col("l_linenumber") == number), f"{place}/{number}")
-    # A capture whose rows have one field more than its header is unreadable and left out whole.
-    torn = rows.where("l_linenumber = 3").select(
-        F.concat_ws(",", F.col("l_orderkey"), F.col("l_linenumber"), F.col("class1"), F.lit("extra"))
-    )
-    head = t.spark.createDataFrame([("l_orderkey,l_linenumber,class1",)], "value string")
-    head.unionByName(torn.toDF("value")).coalesce(1).write.text(f"{place}/3")
-    _as_csv(t, f"{place}/3", f"{place}/torn")
-    return captures.read_dirs(t.spark, [f"{place}/1", f"{place}/2", f"{place}/torn", f"{place}/absent"])
+    for rest in (0, 1):
+        _export(rows.where(F.col("l_linenumber") % 2 == rest), f"{place}/{rest}")
+    good = rows.select(F.concat_ws(",", "l_orderkey", "l_linenumber", "class1").alias("value"))
+    lines = t.spark.createDataFrame([("l_orderkey,l_linenumber,class1",), ("1,2,3,4",)], "value string")
+    lines.unionByName(good).coalesce(1).write.text(f"{place}/lines")
+    _as_csv(t, f"{place}/lines", f"{place}/torn")
+    return captures.read_dirs(t.spark, [f"{place}/0", f"{place}/1", f"{place}/torn", f"{place}/absent"])
 
 
 def _as_csv(t, source: str, target: str) -> None:
@@ -140,14 +155,14 @@ def _(t):
 @query(
     "P3_detect_schema",
     """select 'ids' as input_type, count(*) as records from flows union all select 'vpn', count(*) from vpn
-    union all select 'mixed', count(*) from flows f join vpn v on v.l_orderkey=f.flow_id and v.l_linenumber=1
+    union all select 'mixed', count(*) from flows f join vpn v on v.l_orderkey=f.flow_id
     union all select 'unsupported', count(*) from flows""",
     ("flows", "vpn"),
 )
 def _(t):
     """Captures of four headers in one set of folders, told apart by their columns."""
     place = _place(t, "types")
-    both = t.flows.join(t.vpn.where("l_linenumber = 1"), F.col("flow_id") == F.col("l_orderkey"))
+    both = t.flows.join(t.vpn, F.col("flow_id") == F.col("l_orderkey"))
     tables = {
         "ids": t.flows.drop("dbytes"),
         "vpn": t.vpn.drop("total_biat", "min_flowiat", "max_flowiat", "mean_flowiat"),
@@ -165,6 +180,46 @@ def _(t):
     return out
 
 
+@query(
+    "P4_require_columns",
+    """select 'flows' as name, '' as missing, count(*) as records from flows union all select 'cleaned', '', count(*) from cleaned
+    union all select 'vpn', 'proto,service,state,sbytes,dbytes', count(*) from vpn""",
+    ("cleaned", "vpn"),
+)
+def _(t):
+    """Which of the intrusion columns each table lacks; requiring them fails where there are any."""
+    out = None
+    for name, df in (("flows", t.flows), ("cleaned", t.cleaned), ("vpn", t.vpn)):
+        missing = schema.missing_columns(df, domain.INTRUSION_COLUMNS)
+        if not missing:
+            df = schema.require_columns(df, domain.INTRUSION_COLUMNS)
+        row = df.agg(F.count("*").alias("records")).select(
+            F.lit(name).alias("name"), F.lit(",".join(missing)).alias("missing"), "records"
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "P8_split_by_type",
+    " union all ".join(
+        f"""select '{c}' as "column", 'number' as kind, count({c}) as present from cleaned""" for c in ("flow_id", "sbytes", "dbytes", "label")
+    )
+    + " union all "
+    + " union all ".join(f"select '{c}', 'text', count({c}) from cleaned" for c in ("proto", "service", "state", "attack_cat")),
+)
+def _(t):
+    """Number and text columns of the cleaned corpus, with the values each holds."""
+    numbers, words = schema.split_by_type(t.cleaned)
+    counted = t.cleaned.agg(*[F.count(c).alias(c) for c in (*numbers, *words)])
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(c).alias("present"))
+        for kind, columns in (("number", numbers), ("text", words))
+        for c in columns
+    ]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 @query("E2_build_corpus", "select attack_cat as class, service, count(*) as n, sum(sbytes) as sbytes from cleaned group by 1, 2")
 def _(t):
     """Captures with different headers, merged, cleaned, written and read again."""
@@ -172,25 +227,78 @@ def _(t):
     even, odd = t.flows.where("flow_id % 2 = 0"), t.flows.where("flow_id % 2 = 1")
     _export(even, f"{place}/even")
     _export(odd.select(*[F.col(c).alias(c.upper()) for c in reversed(odd.columns)]), f"{place}/odd")
-    raw = captures.read_many(t.spark, [f"{place}/even", f"{place}/odd"], encoding="UTF-8")
-    sinks.write_clean(clean_flows(raw), f"{place}/clean")
-    rows = t.spark.read.parquet(f"{place}/clean")
+    rows = jobs.build_intrusion_corpus(t.spark, [f"{place}/even", f"{place}/odd"], f"{place}/clean")
     return rows.groupBy(F.col("attack_cat").alias("class"), "service").agg(
         F.count("*").alias("n"), F.sum("sbytes").alias("sbytes")
     )
 
 
+_RULE = "case when state in ('CON','FIN','INT') then 'Normal' when service in ('http','dns') then 'DoS' when service in ('ssh','smtp') then 'Exploits' else 'Worms' end"
+
+
+@query(
+    "E2_corpus_to_scores",
+    f"""with t as (select {_RULE} as class, coalesce(state,'')<>'' as known from flows) select class, count(*) as scored, true as learned from t where known group by class""",
+    ("flows",),
+)
+def _(t):
+    """Captures, corpus, training, evaluation, scoring: the classes found in the captures, and that each was learned."""
+    place = _place(t, "chain")
+    named = t.flows.withColumn("attack_cat", F.expr(_RULE)).withColumn("label", F.lit("1"))
+    _export(named, f"{place}/captures")
+    corpus = jobs.build_intrusion_corpus(t.spark, [f"{place}/captures"], f"{place}/corpus")
+    trained = jobs.train_recipe(corpus, "forest_baseline", f"{place}/model")
+    recall = evaluate(trained)["per_class_recall"].select("class", (F.col("recall") >= 0.95).alias("learned"))
+    report, _, _ = jobs.score_files(t.spark, f"{place}/captures", f"{place}/out", f"{place}/model")
+    scored = report.scored.where("state <> ''").groupBy(F.col("predicted_attack").alias("class")).agg(F.count("*").alias("scored"))
+    return scored.join(recall, "class")
+
+
 @query(
     "E3_build_vpn_corpus",
-    "select class1, count(*) as n, round(sum(duration),2) as duration, round(sum(total_fiat),2) as total_fiat from (select distinct duration, total_fiat, class1 from vpn) x group by 1",
+    """select class1, count(*) as n, round(sum(duration),2) as duration, round(sum(total_fiat),2) as total_fiat, round(sum(flowbytespersecond),2) as rate
+    from (select distinct duration, total_fiat, total_biat, min_flowiat, max_flowiat, mean_flowiat, std_flowiat, flowbytespersecond, class1 from vpn) x group by 1""",
     ("vpn",),
 )
 def _(t):
     """Folders of captures, merged, typed, deduped, written and read again."""
     place = _place(t, "vpn")
-    columns = ["duration", "total_fiat", "class1"]
     for number, part in enumerate(("l_linenumber < 3", "l_linenumber >= 3")):
-        _export(t.vpn.where(part).select(*columns), f"{place}/{number}")
+        _export(t.vpn.where(part).select(*domain.VPN_COLUMNS, "class1"), f"{place}/{number}")
     corpus = jobs.build_vpn_corpus(t.spark, [f"{place}/0", f"{place}/1"], f"{place}/corpus")
-    sums = [F.round(F.sum(c), 2).alias(c) for c in columns[:2]]
-    return corpus.groupBy("class1").agg(F.count("*").alias("n"), *sums)
+    sums = {"duration": "duration", "total_fiat": "total_fiat", "flowbytespersecond": "rate"}
+    return corpus.groupBy("class1").agg(
+        F.count("*").alias("n"), *[F.round(F.sum(c), 2).alias(name) for c, name in sums.items()]
+    )
+
+
+@query(
+    "E3_corpus_to_scores",
+    "select case when max_flowiat > 0.04 then 'VPN' else 'Non-VPN' end as class, count(*) as scored, true as learned from vpn group by 1",
+    ("vpn",),
+)
+def _(t):
+    """VPN captures, corpus, training, evaluation, scoring."""
+    place = _place(t, "vpn-chain")
+    rows = t.vpn.withColumn("class1", F.expr("case when max_flowiat > 0.04 then 'VPN' else 'Non-VPN' end"))
+    _export(rows.select(*domain.VPN_COLUMNS, "class1"), f"{place}/captures")
+    corpus = jobs.build_vpn_corpus(t.spark, [f"{place}/captures"], f"{place}/corpus")
+    trained = jobs.train_recipe(corpus, "forest_vpn", f"{place}/model")
+    recall = evaluate(trained)["per_class_recall"].select("class", (F.col("recall") >= 0.95).alias("learned"))
+    report, _, _ = jobs.score_files(t.spark, f"{place}/captures", f"{place}/out", None, f"{place}/model")
+    scored = report.scored.groupBy(F.col("predicted_vpn").alias("class")).agg(F.count("*").alias("scored"))
+    return scored.join(recall, "class")
+
+
+@query(
+    "E4_offline_drift",
+    _DRIFT.replace("attack_cat as class, count(*)/sum", "predicted_attack as class, count(*)/sum").replace("from second_half", "from scored"),
+    ("baseline", "scored"),
+)
+def _(t):
+    """Written predictions read again, compared with the stored distribution, the verdict written and read."""
+    place = _place(t, "offline")
+    sinks.write_predictions(t.scored.select("flow_id", "predicted_attack"), f"{place}/predictions")
+    jobs.drift_of_predictions(t.spark, f"{place}/predictions", t.baseline, f"{place}/verdict")
+    back = captures.read_flows(t.spark, f"{place}/verdict")
+    return back.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in ("js_distance", "threshold")})

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.cleaning import clean_flows
-from flowlens.operators.shared import checked_lookup, checkpoint_folder, join_lookup
+from flowlens.operators.shared import checked_lookup, join_lookup, scratch_path
 from flowlens.operators.stats import class_distribution
 from flowlens.sources.sinks import write_clean
 
@@ -38,7 +37,19 @@ select l_orderkey, l_linenumber, l_quantity as duration, l_extendedprice as tota
  case when l_linestatus='F' then 'VPN' else 'Non-VPN' end as class1 from lineitem
 """
 
+# The cleaned corpus with classes that follow from the features, so that a model can be held to them.
+RULED = """
+select flow_id, proto, service, state, sbytes, dbytes, label,
+ case when state in ('CON','FIN','INT') then 'Normal' when service in ('http','dns') then 'DoS'
+  when service in ('ssh','smtp') then 'Exploits' else 'Worms' end as attack_cat from cleaned
+"""
 
+VPN_RULED = """
+select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-',
+  cast(cast(round(total_fiat * 100) as bigint) as varchar(20))) as flow_id, duration, total_fiat,
+ total_biat, min_flowiat, max_flowiat, mean_flowiat, std_flowiat, flowbytespersecond,
+ case when max_flowiat > 0.04 then 'VPN' else 'Non-VPN' end as class1 from vpn
+"""
 
 
 def majority_rule(df: DataFrame, keys: list[str], label: str, output: str) -> DataFrame:
@@ -80,11 +91,21 @@ class Tables:
         """The stored cleaned corpus."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _STORED:
-            path = f"{checkpoint_folder(self.spark)}/flowlens/corpus-{uuid.uuid4().hex}"
+            path = scratch_path(self.spark, "corpus")
             write_clean(self.clean(), path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
+    @cached_property
+    def ruled(self) -> DataFrame:
+        """The cleaned corpus, its classes a function of service and state."""
+        return self.spark.sql(RULED.replace("from cleaned", "from {cleaned}"), cleaned=self.cleaned)
+
+    @cached_property
+    def vpn_ruled(self) -> DataFrame:
+        """The VPN table with an id, its class a function of one measure."""
+        return self.spark.sql(VPN_RULED.replace("from vpn", "from {vpn}"), vpn=self.vpn)
+
     @cached_property
     def half(self):
         """Middle of the id range, as a scalar."""

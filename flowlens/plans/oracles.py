@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowlens.functions import domain
-from flowlens.plans.fixtures import FLOWS, VPN
+from flowlens.plans.fixtures import FLOWS, RULED, VPN, VPN_RULED
 
 _CLASSES = ", ".join(f"'{c}'" for c in domain.ATTACK_CLASSES)
 
@@ -41,6 +41,8 @@ _VIEWS = {
     "flows": (FLOWS, ()),
     "vpn": (VPN, ()),
     "cleaned": (CLEANED, ("flows",)),
+    "ruled": (RULED, ("cleaned",)),
+    "vpn_ruled": (VPN_RULED, ("vpn",)),
     "scored": (SCORED, ("cleaned",)),
     "half": (HALF, ("flows",)),
     "first_half": (FIRST, ("cleaned", "half")),

@@ -206,3 +206,40 @@ def test_row_ids_are_unique_and_partition_free(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), ("b", None), ("b", 2)], "x string, n int")
     ids = [sorted(r["id"] for r in jobs.with_row_id(df.repartition(p), "id").collect()) for p in (1, 5)]
     assert len(set(ids[0])) == 5 and ids[0] == ids[1]
+
+
+def test_folders_of_several_schemas(spark, tmp_path, flows, vpn_rows, baseline, vpn_model):
+    """Each file is scored by its own header, filled with its own medians, and judged by its own rows."""
+    from flowlens.sources import sinks
+
+    plain = flows.drop("attack_cat", "label")
+    tables = {
+        "ids": plain.limit(40),
+        "gaps": plain.where("proto = 'udp'").limit(30).withColumn("sbytes", F.when(F.col("flow_id") % 4 > 0, F.col("sbytes"))),
+        "vpn": vpn_rows.drop("class1").limit(60),
+        "mixed": plain.join(vpn_rows.drop("class1"), "flow_id").limit(20),
+        "other": plain.select("flow_id", "proto", "service", "state").limit(50),
+        "twice": plain.select("proto", "service", "state", "sbytes", "dbytes", F.lit("9").alias("SBYTES ")).limit(10),
+    }
+    for name, df in tables.items():
+        sinks.write_clean(df.coalesce(1), f"{tmp_path}/in/{name}", "csv")
+    with open(f"{tmp_path}/in/broken.csv", "w") as f:
+        f.write("a,b\n1,2\n1,2,3\n")
+    recipes.save_recipe(baseline, f"{tmp_path}/ids-model")
+    recipes.save_recipe(vpn_model, f"{tmp_path}/vpn-model")
+    report, metrics, facts = jobs.score_files(
+        spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/ids-model", f"{tmp_path}/vpn-model", by=["source_file"]
+    )
+    got = {r["source_file"].split("/")[-2]: r for r in metrics.collect()}
+    counts = {name: (r["total_records"], r["total_attacks"]) for name, r in got.items()}
+    assert counts == {"ids": (40, 40), "gaps": (30, 30), "vpn": (60, 0), "mixed": (20, 20), "other": (50, 0), "twice": (10, 10)}
+    assert got["vpn"]["js_distance"] is None and not got["vpn"]["drift_detected"] and got["vpn"]["risk_score"] <= 20
+    assert (got["other"]["threat_level"], got["other"]["risk_score"], got["other"]["top_attack"]) == ("N/A", 0.0, "N/A")
+    assert got["mixed"]["vpn_percentage"] > 0 and got["ids"]["vpn_percentage"] == 0
+    assert report.input_type == "several" and report.total_records() == 210 and report.output == f"{tmp_path}/out"
+    assert report.preview("flow_id", 3).count() == 3 and not facts.where("class is null").count()
+    for note in ("Duplicate columns detected", "broken.csv: Line longer", "VPN module skipped", "IDS module skipped", "Mixed schema", "Unsupported dataset"):
+        assert any(note in w for w in report.warnings), note
+    # The udp file's missing numbers take its own median, which is that of its class.
+    gaps = report.scored.where("source_file like '%gaps%' and sbytes is null").select("predicted_attack").distinct().collect()
+    assert [r["predicted_attack"] for r in gaps] == ["Worms"]

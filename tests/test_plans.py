@@ -6,6 +6,9 @@ import __spark_entry__ as entry_point
 from conftest import SMALL
 from flowlens.operators import relational, sampling, stats
 from flowlens.operators.cleaning import REQUIRED
+from flowlens.operators.drift import drift
+from flowlens.operators.shared import written_table
+from flowlens.operators.soc import soc_metrics
 
 CHECKED = [
     "A2_class_counts_by",
@@ -52,3 +55,20 @@ def test_dedupe_shuffles_digest_and_kept_columns_only(spark, tables, tmp_path):
     text = plan(relational.distinct_projection(wide, list(REQUIRED)))
     exchange = text[text.index("Exchange hashpartitioning") :].split("\n")[0]
     assert "__digest" in exchange and "extra" not in exchange
+
+
+@pytest.mark.parametrize("by", [[], ["service"]])
+def test_metrics_and_drift_read_each_input_once(spark, tables, by):
+    scored, baseline = written_table(tables.scored, "scored"), written_table(tables.baseline, "shares")
+    for df in (soc_metrics(scored, baseline, by, "mixed"), drift(baseline, scored, "attack_cat", by=by)):
+        text = plan(df)
+        assert text.count("FileScan") == 1 and "Subquery" not in text
+
+
+def test_class_tables_are_counted_once(spark, tables):
+    for df in (
+        stats.class_distribution(tables.cleaned, "attack_cat"),
+        stats.class_count_stats(tables.cleaned, "attack_cat"),
+        sampling.class_weights(tables.cleaned, "attack_cat"),
+    ):
+        assert plan(df).count("FileScan") == 1

@@ -164,6 +164,20 @@ def test_smote_does_not_depend_on_tiles_or_partitions(spark, monkeypatch):
     expected = sorted(map(repr, run_smote(cloud(spark)).select(columns).collect()))
     monkeypatch.setattr(neighbours, "_TILE_BITS", 3)
     assert sorted(map(repr, run_smote(cloud(spark, parts=17)).select(columns).collect())) == expected
+    # Groups of several tiles, and tiles with more visitors than a block takes.
+    monkeypatch.setattr(neighbours, "_GROUPS", 4)
+    monkeypatch.setattr(neighbours, "_VISITORS", 2)
+    assert sorted(map(repr, run_smote(cloud(spark, parts=17)).select(columns).collect())) == expected
+
+
+def test_smote_takes_any_number_of_classes(spark, monkeypatch):
+    from flowlens.operators import shared
+
+    monkeypatch.setattr(shared, "LOOKUP_ROWS", 3)
+    monkeypatch.setattr(shared.collect_lookup, "__defaults__", (3,))
+    df = spark.createDataFrame([(i, f"y{i % 8}", float(i), 0.0, "tcp") for i in range(48)], "id int, y string, a double, b double, c string")
+    got = smote(df, "y", "id", ["a", "b"], ["c"], floor=10)
+    assert {r["count"] for r in got.groupBy("y").count().collect()} == {10}
 
 
 def test_smote_leaves_large_classes_alone(spark):

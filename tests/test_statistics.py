@@ -154,3 +154,18 @@ def test_soc_benign_only_and_unsupported(spark):
 def test_top_attack_ties_by_name(spark):
     counts = spark.createDataFrame([("Normal", 9), ("Worms", 2), ("DoS", 2)], "class string, n int")
     assert top_attack(counts).first()["top_attack"] == "DoS"
+
+
+def test_medians_of_clumped_values(spark, monkeypatch):
+    """Tiny values beside one that is huge: ranges narrow until the values left are few."""
+    import random
+    import statistics
+
+    monkeypatch.setattr(stats, "_RANGE_ROWS", 20)
+    rng = random.Random(2)
+    values = [10 ** rng.uniform(-9, -3) for _ in range(4000)] + [1e9, -1e300, float("inf")]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "x double, k int").repartition(3)
+    got = stats.column_medians(df, ["x"]).first()["median"]
+    assert got == pytest.approx(statistics.median(values), rel=1e-12)
+    for r in stats.column_medians(df, ["x"], ["k"]).collect():
+        assert r["median"] == pytest.approx(statistics.median(values[r["k"] :: 2]), rel=1e-12)
