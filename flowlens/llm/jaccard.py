@@ -1,13 +1,13 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets overlap enough.
 
-The document by n-gram incidence matrix is multiplied with its transpose block by block. Size
-bounds say which blocks matter: sets of sizes a and b reach the threshold t only if they differ in
-at most d = (a + b)(100 - t) / (100 + t) shingles. Cutting the hash space of shingles into d + 1
-ranges (and some spare ones) leaves at least one range in which both sets are equal, so documents
-that share no equal, non-empty range need never be multiplied. Documents are grouped by shared
-ranges; each group's rows are cut into blocks of bounded size, every pair of blocks is one dense
-product over the columns that at least two rows have, and overlap counts below the bound that the
-two sizes give are dropped.
+The document by n-gram incidence matrix is multiplied with its transpose block by block. Columns are
+counted first: how many distinct sets have each shingle. Sets that reach the threshold share at least
+that part of either one, so one of the rarest shingles of a set, as many as may differ and one more,
+is in every set linked with it; and a set too few of whose shingles are in other sets has no link at
+all. Sets that share such a shingle form groups, so passages that very many documents share bring
+none together unless a document consists of little else. Each group's rows are cut into blocks of
+bounded size, every pair of blocks is one dense product over the columns that at least two rows have,
+and overlap counts below the bound that the two sizes give are dropped.
 """
 
 from __future__ import annotations
@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.components import connected_components, smallest_labels
 from flowlens.llm.hashing import WHITESPACE, byte_codes, mix, pieces, string_parts, window_hashes, word_hashes
-from flowlens.operators.shared import ship_with_tasks, written_table
+from flowlens.llm.lists import CHUNK_CHARS, QUESTION, QUESTION_SQL, RANGE_CHARS, Distinct, merged, pack, slices
+from flowlens.operators.shared import checked_lookup, ship_with_tasks, written_table
 
-for _module in (__name__, "flowlens.llm.hashing"):
+for _module in (__name__, "flowlens.llm.hashing", "flowlens.llm.lists"):
     ship_with_tasks(_module)
 
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 1 << 19
 COLUMNS = 4096
-SPARE = 2  # ranges beyond those that the bound needs, so that empty ranges cost no link
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -49,58 +49,19 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-class Ranges:
-    """Size classes, and for each the ranges of hashes in which near sets must agree somewhere."""
-
-    def __init__(self, threshold: int):
-        self.threshold = threshold
-        self.lows = [1, 2]
-        self.cuts: dict[int, np.ndarray] = {}
-
-    def of(self, size: int) -> list[int]:
-        """Classes in which a set of this size is entered: its own, and the next if a partner may be there."""
-        while self.lows[-1] <= size:
-            self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 7 // 5, -(-self.lows[-1] * 100 // self.threshold)))
-        k = next(i for i in range(len(self.lows) - 1, -1, -1) if self.lows[i] <= size)
-        if k + 1 == len(self.lows):
-            self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 7 // 5, -(-self.lows[-1] * 100 // self.threshold)))
-        return [k, k + 1] if size * 100 >= self.threshold * self.lows[k + 1] else [k]
-
-    def bounds(self, k: int) -> np.ndarray:
-        if k not in self.cuts:
-            while len(self.lows) < k + 2:
-                low = self.lows[-1]
-                self.lows.append(max(low + 1, low * 7 // 5, -(-low * 100 // self.threshold)))
-            largest = self.lows[k + 1] - 1
-            differ = 2 * largest * (100 - self.threshold) // (100 + self.threshold)
-            n = 1 if differ == 0 else differ + 1 + SPARE
-            self.cuts[k] = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
-        return self.cuts[k]
-
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        out = []
-        sums = np.append(np.uint64(0), np.cumsum(mix(shingles)))
-        for k in self.of(len(shingles)):
-            cuts = np.searchsorted(shingles, self.bounds(k))
-            ends = np.append(cuts, len(shingles))
-            starts = np.append(0, cuts)
-            which = np.arange(len(ends), dtype=np.uint64) + np.uint64(k << 40)
-            found = mix(sums[ends] - sums[starts] + mix(which + np.uint64(1)))
-            empty = ends == starts
-            # With few empty ranges, an equal range that is not empty remains; else empty ones count too.
-            out.append(found if empty.sum() > (SPARE if len(ends) > 1 else 0) else found[~empty])
-        return np.concatenate(out)
+def set_key(shingles: np.ndarray) -> bytes:
+    import hashlib
 
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
-def _describe(size: int):
-    import hashlib
 
+def _describe(size: int):
     def run(batches):
         for batch in batches:
             counts, keys = [], []
             for shingles in shingle_sets(batch.column(1), size):
                 counts.append(len(shingles))
-                keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                keys.append(set_key(shingles))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())],
                 ["doc_id", "text_key", "n_shingles", "set_key"],
@@ -109,44 +70,112 @@ def _describe(size: int):
     return run
 
 
-FLUSH_SIGNATURES = 2_000_000
+FLUSH_TOKENS = 2_000_000
+ANSWER = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("classes", pa.binary())])
+MEETING = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("peer", pa.int64())])
+
+
+def _chosen(table: pa.Table, nodes: set, size: int) -> tuple[list[int], list[np.ndarray]]:
+    """Documents of a chunk that stand for a class, with their shingles."""
+    ids = table.column("doc_id").to_pylist()
+    mine = np.flatnonzero(np.fromiter((i in nodes for i in ids), bool, len(ids)))
+    rows = table.take(pa.array(mine))
+    return rows.column("doc_id").to_pylist(), list(shingle_sets(rows.column("text"), size))
+
+
+def _listed(sets: list[np.ndarray]) -> Distinct:
+    """All shingles of a chunk by the upper 48 bits of their hash."""
+    values = np.concatenate(sets) >> np.uint64(16) if sets else np.zeros(0, np.uint64)
+    return Distinct(values, np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+
+
+def _ask(size: int, ranges: int):
+    """Every distinct shingle of a chunk; marks: how many of its sets have it."""
+
+    def run(table: pa.Table, members: pa.Table) -> pa.Table:
+        if not table.num_rows or not members.num_rows:
+            return QUESTION.empty_table()
+        _, sets = _chosen(table, set(members.column("node").to_pylist()), size)
+        found = _listed(sets)
+        rows = [
+            (i, pack(found.values[a:b]), np.minimum(found.counts[a:b], 65_535).astype(np.uint16).tobytes())
+            for i, a, b in slices(found.values, ranges, 48)
+        ]
+        number = table.column("chunk")[0].as_py()
+        parts = [[r[0] for r in rows], [number] * len(rows), [r[1] for r in rows], [r[2] for r in rows]]
+        return pa.table(parts, schema=QUESTION)
+
+    return run
+
+
+def frequency_class(counts: np.ndarray) -> np.ndarray:
+    """0 for a shingle of one set; else four classes for each doubling of the number of sets."""
+    return np.where(counts < 2, 0, np.minimum(1 + np.floor(4 * np.log2(np.maximum(counts, 1))), 255)).astype(np.uint8)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Frequency class of each shingle in each chunk's list, in the list's order."""
+    chunks, lists, order, starts, sizes = merged(table)
+    counts = np.concatenate([np.frombuffer(raw, np.uint16) for raw in table.column("marks").to_pylist()]).astype(np.int64)
+    classes = np.empty(len(order), np.uint8)
+    classes[order] = np.repeat(frequency_class(np.add.reduceat(counts[order], starts)), sizes)
+    ends = np.cumsum([len(x) for x in lists])
+    parts = [classes[e - len(x) : e].tobytes() for e, x in zip(ends, lists)]
+    return pa.table([chunks, table.column("range").to_pylist(), parts], schema=ANSWER)
+
+
+def prefix(shingles: np.ndarray, classes: np.ndarray, threshold: int) -> np.ndarray:
+    """The rarest shingles of a set, of which every set that reaches the threshold with it has one too.
+
+    Shingles are ordered by frequency class and hash. Linked sets share at least threshold % of each,
+    so their first common shingle lies that early in both. Shingles of no other set are left out.
+    """
+    need = -(-threshold * len(shingles) // 100)
+    if np.count_nonzero(classes) < need:
+        return shingles[:0]
+    first = np.lexsort((shingles, classes))[: len(shingles) - need + 1]
+    return shingles[first[classes[first] > 0]]
 
 
 def _meet(size: int, threshold: int):
-    """Rows (signature, peer): each signature once with the smallest document that reaches it here;
+    """Rows (token, peer): each prefix shingle once with the smallest document that reaches it here;
     rows (node, peer): documents that already met here."""
 
-    def run(batches):
-        ranges, held, ids = Ranges(threshold), [], []
-
-        def flush():
-            nodes, place = np.unique(np.array(ids, np.int64), return_inverse=True)
-            lengths = [len(x) for x in held]
-            owner, marks = np.repeat(place, lengths), np.concatenate(held)
-            label = smallest_labels(len(nodes), owner, marks)
-            once, at = np.unique(marks, return_index=True)
-            moved = np.flatnonzero(label != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(once.view(np.int64)), pa.nulls(len(moved), pa.int64())]),
-                    pa.concat_arrays([pa.nulls(len(once), pa.int64()), pa.array(nodes[moved])]),
-                    pa.concat_arrays([pa.array(nodes[label[owner[at]]]), pa.array(nodes[label[moved]])]),
-                ],
-                ["signature", "node", "peer"],
-            )
-
-        count = 0
-        for batch in batches:
-            for node, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
-                if node is not None and len(shingles):
-                    held.append(ranges.signatures(shingles))
-                    ids.append(node)
-                    count += len(held[-1])
-                if count >= FLUSH_SIGNATURES:
-                    yield from flush()
-                    held, ids, count = [], [], 0
-        if held:
-            yield from flush()
+    def flush(ids: list[int], held: list[np.ndarray]) -> list[np.ndarray]:
+        nodes, place = np.unique(np.array(ids, np.int64), return_inverse=True)
+        owner, marks = np.repeat(place, [len(x) for x in held]), np.concatenate(held)
+        label = smallest_labels(len(nodes), owner, marks)
+        once, at = np.unique(marks, return_index=True)
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        token = pa.concat_arrays([pa.array(once.view(np.int64)), pa.nulls(len(moved), pa.int64())])
+        node = pa.concat_arrays([pa.nulls(len(once), pa.int64()), pa.array(nodes[moved])])
+        return [token, node, pa.concat_arrays([pa.array(nodes[label[owner[at]]]), pa.array(nodes[label[moved]])])]
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows or not told.num_rows:
+            return MEETING.empty_table()
+        members = {n: k for n, k in zip(told.column("node").to_pylist(), told.column("set_key").to_pylist()) if n is not None}
+        answers = [(r, c) for r, c in zip(told.column("range").to_pylist(), told.column("classes").to_pylist()) if c is not None]
+        ids, sets = _chosen(table, set(members), size)
+        found = _listed(sets)
+        classes = np.frombuffer(b"".join(c for _, c in sorted(answers)), np.uint8)
+        of = np.empty(len(found.order), np.uint8)
+        of[found.order] = np.repeat(classes, found.counts)
+        held, out, count, at = ([], []), [], 0, 0
+        for node, shingles in zip(ids, sets):
+            mine = of[at : at + len(shingles)]
+            at += len(shingles)
+            tokens = prefix(shingles, mine, threshold)
+            if len(tokens) and set_key(shingles) == members[node]:
+                held[0].append(node)
+                held[1].append(tokens)
+                count += len(tokens)
+            if count >= FLUSH_TOKENS:
+                out.append(pa.table(flush(*held), schema=MEETING))
+                held, count = ([], []), 0
+        if held[0]:
+            out.append(pa.table(flush(*held), schema=MEETING))
+        return pa.concat_tables(out) if out else MEETING.empty_table()
 
     return run
 
@@ -172,15 +201,13 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 
 def _multiply(size: int, threshold: int):
-    import hashlib
-
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("linked", pa.int64())])
 
     def run(table):
         seen, sets, nodes, copies, blocks = set(), [], [], [], []
         rows = zip(*(table.column(c).to_pylist() for c in ("node", "set_key", "copies", "block")))
         for (node, key, count, block), shingles in zip(rows, shingle_sets(table.column("text"), size)):
-            if key in seen or hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() != key:
+            if key in seen or set_key(shingles) != key:
                 continue  # a repeated row, or another text under the same doc_id
             seen.add(key)
             sets.append(shingles), nodes.append(node), copies.append(count), blocks.append(block)
@@ -235,17 +262,31 @@ def ngram_jaccard_join(
         ),
         "shingle-sets",
     )
-    classes = (
+    classes = written_table(
         sets.where("doc_id is not null and n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
+        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")),
+        "set-classes",
+    )
+    spark = docs.sparkSession
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    chunks, ranges = max(least_parts, chars // CHUNK_CHARS), max(least_parts, chars // RANGE_CHARS)
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks).cast("long")).alias("chunk")
+    # One shuffle of the texts by chunk serves both the counts and the prefixes.
+    dealt = base.where("doc_id is not null").select("doc_id", "text", chunk("doc_id"))
+    known = classes.select(chunk("node"), "node", "set_key")
+    asked = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(words, ranges), QUESTION_SQL)
+    counted = asked.groupBy("range").applyInArrow(_count, "chunk long, range int, classes binary")
+    told = known.unionByName(counted, allowMissingColumns=True)
+    met = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
+        _meet(words, threshold), "token long, node long, peer long"
     )
-    met = base.mapInArrow(_meet(words, threshold), "signature long, node long, peer long")
-    least = F.min("peer").over(Window.partitionBy("signature", "node"))
+    least = F.min("peer").over(Window.partitionBy("token", "node"))
     edges = met.withColumn("least", least).select(
         F.coalesce("node", "peer").alias("a"), F.col("least").alias("b")
     ).where("a <> b")
-    groups = connected_components(edges.distinct())
+    groups = connected_components(written_table(edges.distinct(), "candidates"))
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     rows = members.withColumnRenamed("root", "bunch").join(classes, "node")
     sizes = rows.groupBy(F.col("bunch").alias("whole")).agg(
@@ -259,6 +300,8 @@ def ngram_jaccard_join(
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
         .select("node", "bunch", "set_key", "copies", "block", "n_blocks")
     )
+    # Few documents are in a group: a checked broadcast spares the shuffle of all texts where they fit.
+    blocks = checked_lookup(blocks)
     pairs = (
         base.join(blocks, base["doc_id"] == blocks["node"])
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))

@@ -6,11 +6,8 @@ the index; every rolling run of block length probes it, and only windows around
 Around hits, windows are compared whole: one that also starts in an earlier document is a repeat,
 and overlapping repeats join to maximal ones.
 
-Documents are dealt into chunks by hash. A chunk sends each distinct run once, in sorted lists per
-range of the hash space, so a passage that very many documents share costs one entry per chunk. A
-range's task merges the lists of all chunks and answers each chunk with the runs that matter to it.
-Runs are compared by hash, 48 bits for probes and 64 bits for whole windows. For inputs beyond some
-ten TB, ``chunk_chars`` should grow with the executors' memory, so that lists stay long.
+Documents are dealt into chunks by hash, which ask by sorted hash lists (``lists``). Runs are
+compared by hash, 48 bits for probes and 64 bits for whole windows.
 """
 
 from __future__ import annotations
@@ -21,38 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.hashing import WHITESPACE, byte_codes, pieces, string_parts, window_hashes, word_hashes
+from flowlens.llm.lists import CHUNK_CHARS, QUESTION, QUESTION_SQL, RANGE_CHARS, Distinct, merged, pack, slices, unpack
 from flowlens.operators.shared import ship_with_tasks
 
-for _module in (__name__, "flowlens.llm.hashing"):
+for _module in (__name__, "flowlens.llm.hashing", "flowlens.llm.lists"):
     ship_with_tasks(_module)
 
-CHUNK_CHARS = 8_000_000
-RANGE_CHARS = 4_000_000
 LAST = (1 << 63) - 1  # place of rows without id
-QUESTION = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("runs", pa.binary()), ("marks", pa.binary())])
 ANSWER = pa.schema([("chunk", pa.int64()), ("runs", pa.binary()), ("own", pa.binary())])
-QUESTION_SQL = "range int, chunk long, runs binary, marks binary"
 ANSWER_SQL = "chunk long, runs binary, own binary"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values, as 32-bit steps from the first where all steps are small enough."""
-    if len(values) > 1:
-        steps = np.diff(values)
-        if int(steps.max()) < 1 << 32:
-            return b"\1" + values[:1].tobytes() + steps.astype(np.uint32).tobytes()
-    return b"\0" + values.tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"\0":
-        return np.frombuffer(raw, np.uint64, offset=1)
-    values = np.zeros((len(raw) - 5) // 4, np.uint64)
-    values[0] = np.frombuffer(raw, np.uint64, 1, offset=1)[0]
-    values[1:] = np.frombuffer(raw, np.uint32, offset=9)
-    return np.cumsum(values, dtype=np.uint64)
-
-
 class Chunk:
     """Words of a chunk's documents in order of their ids."""
 
@@ -83,30 +59,6 @@ class Chunk:
         return hashes[start] if len(start) else np.zeros(0, np.uint64), start, document
 
 
-class Distinct:
-    """Distinct values in ascending order: first document of each, and whether several documents have it."""
-
-    def __init__(self, values: np.ndarray, place: np.ndarray):
-        self.order = np.argsort(values, kind="stable")
-        ranked = values[self.order]
-        self.starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
-        self.values = ranked[self.starts]
-        ranked_place = place[self.order]
-        ends = np.append(self.starts[1:], len(ranked))[: len(self.starts)] - 1
-        self.first = ranked_place[self.starts]
-        self.several = self.first != ranked_place[ends]
-
-    def any(self, marked: np.ndarray) -> np.ndarray:
-        return np.logical_or.reduceat(marked[self.order], self.starts) if len(self.starts) else np.zeros(0, bool)
-
-
-def _slices(values: np.ndarray, ranges: int, bits: int) -> list[tuple[int, int, int]]:
-    """Range number, begin and end of each range of the hash space that has values."""
-    cuts = np.array([((i << bits) + ranges - 1) // ranges for i in range(1, ranges)], dtype=np.uint64)
-    at = np.concatenate([[0], np.searchsorted(values, cuts), [len(values)]]).tolist()
-    return [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
-
-
 def _ask_blocks(block: int, ranges: int):
     """Every distinct run of block length; marks: starts a block somewhere, lies in several documents."""
 
@@ -117,7 +69,7 @@ def _ask_blocks(block: int, ranges: int):
         anchored = found.any((start - chunk.firsts[document]) % block == 0)
         rows = [
             (i, pack(found.values[a:b]), np.packbits(np.stack([anchored[a:b], found.several[a:b]])).tobytes())
-            for i, a, b in _slices(found.values, ranges, 48)
+            for i, a, b in slices(found.values, ranges, 48)
         ]
         number = table.column("chunk")[0].as_py()
         parts = [[r[0] for r in rows], [number] * len(rows), [r[1] for r in rows], [r[2] for r in rows]]
@@ -126,20 +78,9 @@ def _ask_blocks(block: int, ranges: int):
     return run
 
 
-def _merged(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """All lists of a range: chunks, lists, the order that sorts their values, and the run of each sorted value."""
-    chunks = table.column("chunk").to_pylist()
-    lists = [unpack(raw) for raw in table.column("runs").to_pylist()]
-    values = np.concatenate(lists)
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    return chunks, lists, order, starts, np.diff(np.append(starts, len(ranked)))
-
-
 def _find(table: pa.Table) -> pa.Table:
     """Runs that start a block of one document and lie in another one, for every chunk that has them."""
-    chunks, lists, order, starts, sizes = _merged(table)
+    chunks, lists, order, starts, sizes = merged(table)
     marks = np.concatenate(
         [
             np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * len(x)).reshape(2, -1)
@@ -189,7 +130,7 @@ def _ask_windows(window: int, block: int, ranges: int):
         found = Distinct(values[near], chunk.place[document[near]])
         rows = [
             (i, pack(found.values[a:b]), _pack_places(found.first[a:b], found.several[a:b]))
-            for i, a, b in _slices(found.values, ranges, 64)
+            for i, a, b in slices(found.values, ranges, 64)
         ]
         number = table.column("chunk")[0].as_py()
         parts = [[r[0] for r in rows], [number] * len(rows), [r[1] for r in rows], [r[2] for r in rows]]
@@ -217,7 +158,7 @@ def _unpack_places(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _judge(table: pa.Table) -> pa.Table:
     """Per chunk: windows that an earlier document of another chunk has (runs), and windows of which
     the chunk itself has the earliest and further documents (own)."""
-    chunks, lists, order, starts, sizes = _merged(table)
+    chunks, lists, order, starts, sizes = merged(table)
     marks = [_unpack_places(raw, len(x)) for raw, x in zip(table.column("marks").to_pylist(), lists)]
     first = np.concatenate([m[0] for m in marks])
     earliest = np.zeros(len(order), np.int64)
