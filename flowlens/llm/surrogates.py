@@ -48,7 +48,7 @@ ADDRESS = {
 
 _GENDER = {form: gender for gender, forms in ADDRESS.items() for form in forms}
 _NAME = re.compile(
-    r"\b(%s)\.?[ \t]+([^\W\d_]+(?:-[^\W\d_]+)?(?:[ \t]+[^\W\d_a-zа-яα-ω][^\W\d_]+)?)" % "|".join(sorted(_GENDER, key=len, reverse=True))
+    r"\b(%s)\.?[ \t]+([^\W\d_]+(?:-[^\W\d_]+)*(?:[ \t]+[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)*)?)" % "|".join(sorted(_GENDER, key=len, reverse=True))
 )
 _PHONE = re.compile(
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"
