@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.shared import checked_lookup, join_lookup, repeat_rows, written_table
+from flowlens.operators.shared import checked_lookup, join_lookup, written_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 12
 CELL_ROWS = 20_000
+SLOTS_PER_ROW = 4096
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -107,8 +108,14 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """The mix: shard, position (in the mix), rank (of the source), turn (0 the first use) and block."""
-        given = self.sources.where("n_slots > 0")
-        each = repeat_rows(given, F.col("n_slots"), "slot", "rank", self.n_slots)
+        given = self.sources.where("n_slots > 0").select("rank", "n_blocks", "n_slots", "first_slot")
+        starts = F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOTS_PER_ROW).cast("long"))
+        # Stretches of slots are dealt out first. A stated number of partitions: by bytes they would be one.
+        dealt = given.withColumn("from", F.explode(starts)).repartition(
+            int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "from"
+        )
+        last = F.least(F.col("from") + SLOTS_PER_ROW, F.col("n_slots")) - 1
+        each = dealt.withColumn("slot", F.explode(F.sequence(F.col("from"), last)))
         turn = F.floor(F.col("slot") / F.col("n_blocks"))
         block = permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), self.seed, F.col("rank"), F.col("turn"))
         place = permuted(F.col("first_slot") + F.col("slot"), F.lit(max(1, self.n_slots)).cast("long"), self.seed)
