@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from flowlens.llm.mixing import Mix
 from flowlens.llm.queries import END_ID, WORD_TOKENIZER, clean_labels
 from flowlens.llm.resampling import importance_resample
 from flowlens.llm.tokenfiles import read_token_files, write_token_files
-from flowlens.operators.shared import checkpoint_folder
+from flowlens.operators.shared import scratch_path
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -69,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{checkpoint_folder(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

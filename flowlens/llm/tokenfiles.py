@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.hashing import WHITESPACE, byte_codes, hashes_at, pieces, string_parts, word_starts
-from flowlens.operators.shared import checkpoint_folder, ship_with_tasks, written_table
+from flowlens.operators.shared import scratch_path, ship_with_tasks, written_table
 
 for _module in (__name__, "flowlens.llm.hashing"):
     ship_with_tasks(_module)
@@ -256,10 +256,8 @@ def write_token_files(
     id alone. Null ids come first; equal ids follow each other in order of their texts. Other columns
     are ignored. An empty table writes no file.
     """
-    import uuid
-
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_folder(spark)}/flowlens/tokens-{uuid.uuid4().hex}"
+    folder = folder or scratch_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(
         int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"
