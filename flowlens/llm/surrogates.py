@@ -5,13 +5,15 @@ key and that form, so all mentions of an entity in all documents get the same su
 addresses and tokens go through a keyed permutation of the strings of their shape; names are drawn
 from lists by gender and script. A distributed check of the distinct entities makes sure that no
 two entities of a type share a surrogate and that no surrogate is itself an entity of the corpus;
-those that fail are drawn again.
+those that fail are drawn again, from a space that grows with every draw: names get more syllables,
+other surrogates become longer than what they stand for, so every entity settles at any size.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,9 @@ FAMILY = {
     "cyrillic": "Белов Волков Громов Зайцев Карпов Лебедев Орлов Соколов",
     "greek": "Ιωάννου Κώστα Μάρκου Νικολάου Παύλου",
 }
+# Consonants and vowels of further family names by script.
+SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρτ", "αεηιο")}
+SAME_SHAPE = 3  # draws of the entity's own length
 # Forms of address by gender.
 ADDRESS = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"],
@@ -140,12 +145,28 @@ class Keyed:
 
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _HEX = ["0123456789abcdef", "0123456789ABCDEF"]
+_SYMBOLS = "+/=.-_"
 
 
-def _reshaped(keyed: Keyed, text: str, *tweak: object, hexadecimal: bool = False) -> str:
-    """Permute digits, small and capital letters among their like; all else stays."""
-    alphabets = _HEX[:1] if hexadecimal else _ALPHABETS
-    kinds = [next((a for a in alphabets if c in a), None) for c in text]
+@lru_cache(4096)
+def _alphabet(c: str) -> str | None:
+    """The like of a letter or digit: of other scripts than ASCII, its category within 128 code points."""
+    import unicodedata
+
+    if c.isascii() or not c.isalnum():
+        return next((a for a in _ALPHABETS if c in a), None)
+    block, category = ord(c) & ~127, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(block, block + 128)) if unicodedata.category(x) == category)
+
+
+def _reshaped(keyed: Keyed, text: str, *tweak: object, hexadecimal: bool = False, symbols: bool = False) -> str:
+    """Permute digits, small and capital letters among their like; all else stays.
+
+    With ``symbols``, a text without letters and digits has its other symbols permuted.
+    """
+    kinds = [_HEX[0] if hexadecimal else _alphabet(c) for c in text]
+    if symbols and not any(kinds):
+        kinds = [_SYMBOLS if c in _SYMBOLS else None for c in text]
     at = [i for i, a in enumerate(kinds) if a]
     new = keyed.permuted([kinds[i].index(text[i]) for i in at], [len(kinds[i]) for i in at], *tweak)
     out = list(text)
@@ -174,42 +195,53 @@ def _script(text: str) -> str:
     return "cyrillic" if first.startswith("CYRILLIC") else "greek" if first.startswith("GREEK") else "latin"
 
 
+def _drawn(keyed: Keyed, symbols: str, n: int, *tweak: object) -> str:
+    noise = keyed.digits(n, *tweak)
+    return "".join(symbols[int.from_bytes(noise[2 * i : 2 * i + 2], "big") % len(symbols)] for i in range(n))
+
+
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """Stand-in for an entity in normal form."""
+    """Stand-in for an entity in normal form: another for each attempt, from more and more that there are."""
     keyed, tweak = Keyed(key), (kind, attempt)
+    longer = max(0, attempt - SAME_SHAPE + 1)
+    digits = _drawn(keyed, _ALPHABETS[0], longer, *tweak, "longer", norm)
+    letters = _drawn(keyed, _ALPHABETS[1], longer, *tweak, "longer", norm)
     if kind == "email":
         local, _, host = norm.rpartition("@")
         labels, _, top = host.rpartition(".")
-        return f"{_reshaped(keyed, local, *tweak, 'local', host)}@{_reshaped(keyed, labels, *tweak, 'host', top)}.{top}"
+        local = _reshaped(keyed, local, *tweak, "local", host) + letters
+        return f"{local}@{_reshaped(keyed, labels, *tweak, 'host', top)}.{top}"
     if kind == "address":
         parts = [int(p) for p in norm.split(".")]
         home = _network(parts)
         while True:
             parts = keyed.permuted(parts, [256] * 4, *tweak)
             if _network(parts) == home:
-                return ".".join(map(str, parts))
+                return ".".join([*map(str, parts), *digits])
     if kind == "card":
         body, offset = norm[:-1], (int(norm[-1]) - _luhn(norm[:-1])) % 10
-        body = _reshaped(keyed, body, *tweak, len(norm))
+        body = _reshaped(keyed, body, *tweak, len(norm)) + digits
         return body + str((_luhn(body) + offset) % 10)
     if kind.startswith("name"):
         script, gender = _script(norm), kind[-1]
         given, family = GIVEN[script, gender].split(), FAMILY[script].split()
-        noise = keyed.digits(4, *tweak, norm)
-        pick = [int.from_bytes(noise[2 * i : 2 * i + 2], "big") for i in range(4)]
+        noise = keyed.digits(2, *tweak, norm)
+        pick = [int.from_bytes(noise[2 * i : 2 * i + 2], "big") for i in range(2)]
         second = family[pick[1] % len(family)]
-        if attempt:  # the lists are short; further draws join two family names
-            second += "-" + family[pick[2] % len(family)] * (attempt < 3) + (family[pick[2] % len(family)] + family[pick[3] % len(family)].lower()) * (attempt >= 3)
+        if attempt:  # the lists are short; further draws join a name of as many syllables
+            parts = zip(*(_drawn(keyed, x, attempt, *tweak, i, norm) for i, x in enumerate(SYLLABLES[script])))
+            second += "-" + "".join(map("".join, parts)).capitalize()
         return f"{given[pick[0] % len(given)]} {second}" if " " in norm else second
     hexadecimal = re.fullmatch(r"[0-9a-f]+", norm) is not None and kind == "secret"
-    return _reshaped(keyed, norm, *tweak, len(norm), hexadecimal=hexadecimal)
+    tail = digits if kind in ("phone", "identity", "iban") else letters
+    return _reshaped(keyed, norm, *tweak, len(norm), hexadecimal=hexadecimal, symbols=kind == "secret") + tail
 
 
 def fitted(kind: str, stand_in: str, raw: str) -> str:
     """A surrogate in the writing of one mention: its separators, its case."""
     if kind in ("phone", "card", "iban", "identity"):
         rest = iter(stand_in)
-        return "".join(c if re.match(r"[\s().-]", c) else next(rest) for c in raw)
+        return "".join(c if re.match(r"[\s().-]", c) else next(rest) for c in raw) + "".join(rest)
     if kind.startswith("name"):
         return stand_in.upper() if raw.isupper() else stand_in
     if kind == "email" or re.fullmatch(r"[0-9a-fA-F]+", raw):
@@ -236,8 +268,9 @@ def _draw(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "norm", "attempt")))
-            drawn = [surrogate(key, kind, norm, attempt) for kind, norm, attempt in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], [*batch.schema.names, "drawn"])
+            drawn = [(kind, surrogate(key, kind, norm, attempt)) for kind, norm, attempt in rows]
+            new = [pa.array([x for _, x in drawn], pa.string()), pa.array([normal_form(*x) for x in drawn], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "drawn", "plain"])
 
     return run
 
@@ -263,7 +296,9 @@ def entity_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """Surrogate of each distinct entity (kind, norm): kind, norm, drawn.
 
     Entities whose draw another entity of the type has, or that is an entity itself, draw again until
-    every draw is new. Every round is a few equi-joins over what is still open.
+    every draw is new; draws count as equal if their normal forms are. As the number of possible draws
+    multiplies from one to the next, few rounds do. Every round is a few equi-joins over what is still
+    open.
     """
     entities = written_table(entities.select("kind", "norm").distinct(), "entities")
     family = F.split_part("kind", F.lit("-"), F.lit(1))
@@ -271,24 +306,22 @@ def entity_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     open_, done, attempt = entities.withColumn("attempt", F.lit(0)), None, 0
     while True:
         drawn = written_table(
-            open_.mapInArrow(_draw(key), "kind string, norm string, attempt int, drawn string"), "draws"
-        )
-        plain = F.when(family == "name", F.lower("drawn")).otherwise(F.col("drawn"))
-        free = drawn.withColumns({"family": family, "plain": plain}).join(
-            real, (F.col("family") == F.col("of")) & (F.col("plain") == F.col("known")), "left_anti"
+            open_.mapInArrow(_draw(key), "kind string, norm string, attempt int, drawn string, plain string"), "draws"
         )
+        is_known = (F.col("family") == F.col("of")) & (F.col("plain") == F.col("known"))
+        free = drawn.withColumn("family", family).join(real, is_known, "left_anti")
         if done is not None:
-            used = done.select(family.alias("of"), F.col("drawn").alias("known"))
-            free = free.join(used, (F.col("family") == F.col("of")) & (F.col("drawn") == F.col("known")), "left_anti")
-        first = free.groupBy("family", "drawn").agg(F.min(F.struct("norm", "kind")).alias("owner"))
-        settled = first.select(F.col("owner.kind").alias("kind"), F.col("owner.norm").alias("norm"), "drawn")
+            used = done.select(family.alias("of"), F.col("plain").alias("known"))
+            free = free.join(used, is_known, "left_anti")
+        first = free.groupBy("family", "plain").agg(F.min(F.struct("norm", "kind", "drawn")).alias("owner"))
+        settled = first.select("owner.kind", "owner.norm", "owner.drawn", "plain")
         settled = written_table(settled, "surrogates")
         done = settled if done is None else done.unionByName(settled)
         rest = drawn.join(settled.select("kind", "norm"), ["kind", "norm"], "left_anti")
         attempt += 1
         open_ = written_table(rest.select("kind", "norm", F.lit(attempt).alias("attempt")), "open")
         if open_.isEmpty():
-            return done
+            return done.drop("plain")
 
 
 def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

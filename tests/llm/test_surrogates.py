@@ -100,6 +100,30 @@ def test_draws_are_repeated_until_new(spark):
     assert len(set(drawn)) == len(rows) and not {n for _, n in rows} & set(drawn)
 
 
+def test_every_entity_settles(spark):
+    """Secrets without ASCII letters or digits, names beyond the Greek lists, more entities than their shape has strings."""
+    secrets = ["_" * 16, "........", "--------", "абвгдежз", "パスワード漢字です", "+_" * 4]
+    rows = [("secret", s) for s in secrets] + [("name-m", f"άλφα{chr(945 + i // 20)}{chr(945 + i % 20)}") for i in range(300)]
+    rows += [("email", f"{a}@{b}.com") for a in "0123456789_" for b in "0123456789-"] + [("card", f"{i:013}") for i in range(50)]
+    rows += [("address", f"10.0.0.{i}") for i in range(200)] + [("email", "ж@-.de"), ("name-f", "γιώργος")]
+    got = entity_surrogates(spark.createDataFrame(rows, "kind string, norm string").repartition(4), KEY).collect()
+    assert {(r["kind"], r["norm"]) for r in got} == set(rows) and len(got) == len(rows)
+    drawn = {(r["kind"].split("-")[0], normal_form(r["kind"], r["drawn"])) for r in got}
+    assert len(drawn) == len(rows) and not drawn & {(k.split("-")[0], n) for k, n in rows}
+    texts = [(i, f"Password: {s}") for i, s in enumerate(secrets)]
+    got = replace_personal_data(spark.createDataFrame(texts, "doc_id long, text string"), KEY).collect()
+    assert all(r["n_entities"] == 1 and secrets[r["doc_id"]] not in r["text"] for r in got)
+
+
+@pytest.mark.parametrize("kind,norm", [("card", "4111111111111111"), ("address", "10.0.0.7"), ("phone", "+10175557713"), ("email", "_@-.com"), ("secret", "....")])
+def test_draws_get_longer(kind, norm):
+    draws = [surrogate(KEY, kind, norm, i) for i in range(12)]
+    assert len(draws[11]) > len(draws[6]) > len(norm) and len(set(draws[3:])) == 9
+    assert fitted("phone", draws[11], "+1 (017) 555-7713").replace(" ", "").endswith(draws[11][-4:])
+    if kind == "card":
+        assert all(int(d[-1]) == _luhn(d[:-1]) for d in draws)
+
+
 def test_hard_rows(spark):
     got = replace_personal_data(hard(spark), KEY).collect()
     before = {r["doc_id"]: r["text"] for r in hard(spark).collect() if r["doc_id"] is not None}
