@@ -2,8 +2,8 @@
 
 Entities are found in whole texts, reduced to a normal form, and replaced by a function of a secret
 key and that form, so all mentions of an entity in all documents get the same surrogate. Numbers,
-addresses and tokens go through a keyed permutation of the strings of their shape; names are drawn
-from lists by gender and script. A distributed check of the distinct entities makes sure that no
+addresses and tokens go through a keyed permutation of the strings of their shape; given and family
+names are drawn each from lists by gender and script, so full and short mentions agree. A distributed check of the distinct entities makes sure that no
 two entities of a type share a surrogate and that no surrogate is itself an entity of the corpus;
 those that fail are drawn again, from a space that grows with every draw: names get more syllables,
 other surrogates become longer than what they stand for, so every entity settles at any size.
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.shared import ship_with_tasks, written_table
@@ -52,9 +52,12 @@ ADDRESS = {
 }
 
 _GENDER = {form: gender for gender, forms in ADDRESS.items() for form in forms}
+_FORMS = "|".join(sorted(_GENDER, key=len, reverse=True))
 _NAME = re.compile(
-    r"\b(%s)\.?[ \t]+([^\W\d_]+(?:-[^\W\d_]+)*(?:[ \t]+[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)*)?)" % "|".join(sorted(_GENDER, key=len, reverse=True))
+    r"\b({0})\.?[ \t]+(?:(?:{0})\.?[ \t]+)*(?!(?:{0})\b)([^\W\d_]+(?:-[^\W\d_]+)*"
+    r"(?:[ \t]+(?!(?:{0})\b)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)*)?)".format(_FORMS)
 )
+_CAPITALISED = re.compile(r"(?<!\w)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
 _PHONE = re.compile(
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"
     r"|(?<![\w.])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?!\d)"
@@ -107,6 +110,66 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return taken
 
 
+def find_mentions(text: str) -> list[tuple[int, int, str, str]]:
+    """Entities as (start, end, type, normal form), with all further mentions of the names found.
+
+    A name behind a form of address, its given and its family name are mentions wherever else the text
+    has them as words with a capital. Type name-g with a name of one word stands for a family name, and
+    name-g-given with a whole name for its given name alone. A person's gender is what the forms of
+    address before the whole name say; those before a family name may be of others who share it.
+    """
+    found = [(a, b, kind, normal_form(kind, text[a:b])) for a, b, kind in find_entities(text)]
+    names = [x for x in found if x[2].startswith("name")]
+    if not names:
+        return found
+    told: dict[str, set[str]] = {}
+    for _, _, kind, norm in names:
+        told.setdefault(norm, set()).update({kind[-1]} - {"n"})
+    people = [norm for norm in told if " " in norm]
+    gender = {norm: min(told[norm]) if len(told[norm]) == 1 else "n" for norm in people}
+    given: dict[str, str] = {}
+    for norm in people:
+        given.setdefault(norm.split(" ", 1)[0], norm)
+    families = {norm.split(" ", 1)[1] for norm in people} | {norm for norm in told if " " not in norm and norm not in given}
+
+    def short(word: str, own: str = "n") -> tuple[str, str] | None:
+        if word in families:
+            return f"name-{own}", word
+        return (f"name-{gender[given[word]]}-given", given[word]) if word in given else None
+
+    mentions = []
+    for a, b, kind, norm in found:
+        if norm in gender and kind == "name-n":
+            kind = f"name-{gender[norm]}"
+        elif kind.startswith("name") and norm not in gender:
+            kind, norm = short(norm, kind[-1])
+        mentions.append((a, b, kind, norm))
+    words, at = [], 0
+    for m in _CAPITALISED.finditer(text):
+        while at < len(found) and found[at][1] <= m.start():
+            at += 1
+        if at == len(found) or m.end() <= found[at][0]:
+            words.append((*m.span(), m.group().casefold()))
+    skip = False
+    for i, (a, b, word) in enumerate(words):
+        if skip:
+            skip = False
+            continue
+        if word in given and i + 1 < len(words) and text[b : words[i + 1][0]].isspace():
+            whole = f"{word} {words[i + 1][2]}"
+            if whole in gender:
+                mentions.append((a, words[i + 1][1], f"name-{gender[whole]}", whole))
+                skip = True
+                continue
+        if short(word):
+            mentions.append((a, b, *short(word)))
+        elif "-" in word:
+            for m in re.finditer(r"[^-]+", text[a:b]):
+                if m.group()[0].isupper() and short(m.group().casefold()):
+                    mentions.append((a + m.start(), a + m.end(), *short(m.group().casefold())))
+    return sorted(mentions)
+
+
 def normal_form(kind: str, raw: str) -> str:
     """What mentions of one entity have in common: no separators in numbers, no case where it means nothing."""
     if kind in ("phone", "card", "iban", "identity"):
@@ -223,15 +286,18 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         body = _reshaped(keyed, body, *tweak, len(norm)) + digits
         return body + str((_luhn(body) + offset) % 10)
     if kind.startswith("name"):
-        script, gender = _script(norm), kind[-1]
-        given, family = GIVEN[script, gender].split(), FAMILY[script].split()
-        noise = keyed.digits(2, *tweak, norm)
-        pick = [int.from_bytes(noise[2 * i : 2 * i + 2], "big") for i in range(2)]
-        second = family[pick[1] % len(family)]
+        role = kind.split("-")[1]
+        if role not in ("given", "family"):
+            first, _, rest = norm.partition(" ")
+            second = surrogate(key, "name-family", rest or first, attempt)
+            return f"{surrogate(key, f'name-given-{role}', first, attempt)} {second}" if rest else second
+        script = _script(norm)
+        pool = (GIVEN[script, kind[-1]] if role == "given" else FAMILY[script]).split()
+        name = pool[int.from_bytes(keyed.digits(1, *tweak, norm)[:2], "big") % len(pool)]
         if attempt:  # the lists are short; further draws join a name of as many syllables
             parts = zip(*(_drawn(keyed, x, attempt, *tweak, i, norm) for i, x in enumerate(SYLLABLES[script])))
-            second += "-" + "".join(map("".join, parts)).capitalize()
-        return f"{given[pick[0] % len(given)]} {second}" if " " in norm else second
+            name += "-" + "".join(map("".join, parts)).capitalize()
+        return name
     hexadecimal = re.fullmatch(r"[0-9a-f]+", norm) is not None and kind == "secret"
     tail = digits if kind in ("phone", "identity", "iban") else letters
     return _reshaped(keyed, norm, *tweak, len(norm), hexadecimal=hexadecimal, symbols=kind == "secret") + tail
@@ -258,8 +324,7 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for a, b, kind in find_entities(text or ""):
-                rows.append((doc, key, a, b, kind, normal_form(kind, text[a:b])))
+            rows += [(doc, key, *mention) for mention in find_mentions(text or "")]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
@@ -295,12 +360,43 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def entity_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """Surrogate of each distinct entity (kind, norm): kind, norm, drawn.
 
+    Names are joined from the surrogates of their parts: of the family name, and of the given name and
+    the gender. Where one gender alone is told for a whole name anywhere, mentions that tell none have it.
+    """
+    entities = written_table(entities.select("kind", "norm").distinct(), "entities")
+    is_name = F.col("kind").startswith("name-")
+    own, two = F.split_part("kind", F.lit("-"), F.lit(2)), F.contains("norm", F.lit(" "))
+    told = F.collect_set(F.when(own != "n", own)).over(Window.partitionBy("norm"))
+    gender = F.when((own == "n") & (F.size(told) == 1), F.element_at(told, 1)).otherwise(own)
+    first = F.substring_index("norm", " ", 1)
+    names = entities.where(is_name).select(
+        "kind",
+        "norm",
+        F.when(two, F.concat(F.lit("name-given-"), gender)).alias("role"),
+        F.when(two, first).alias("first"),
+        F.when(two, F.expr("substr(norm, length(substring_index(norm, ' ', 1)) + 2)")).otherwise(F.col("norm")).alias("last"),
+    )
+    of_parts = names.where("first is not null").select(F.col("role").alias("kind"), F.col("first").alias("norm"))
+    of_parts = of_parts.unionByName(names.select(F.lit("name-family").alias("kind"), F.col("last").alias("norm")))
+    drawn = _settled(entities.where(~is_name).unionByName(of_parts), key)
+    given = drawn.where("kind like 'name-given-%'").select(
+        F.col("kind").alias("role"), F.col("norm").alias("first"), F.col("drawn").alias("given")
+    )
+    family = drawn.where("kind = 'name-family'").select(F.col("norm").alias("last"), F.col("drawn").alias("family"))
+    whole = F.when(F.col("kind").endswith("-given"), F.col("given")).otherwise(F.concat_ws(" ", "given", "family"))
+    joined = names.join(given, ["role", "first"], "left").join(family, "last").select("kind", "norm", whole.alias("drawn"))
+    return drawn.where(~is_name).unionByName(joined)
+
+
+def _settled(entities: DataFrame, key: bytes) -> DataFrame:
+    """Surrogate of each distinct part of a name or other entity: kind, norm, drawn.
+
     Entities whose draw another entity of the type has, or that is an entity itself, draw again until
     every draw is new; draws count as equal if their normal forms are. As the number of possible draws
     multiplies from one to the next, few rounds do. Every round is a few equi-joins over what is still
     open.
     """
-    entities = written_table(entities.select("kind", "norm").distinct(), "entities")
+    entities = written_table(entities.select("kind", "norm").distinct(), "parts")
     family = F.split_part("kind", F.lit("-"), F.lit(1))
     real = entities.select(family.alias("of"), F.col("norm").alias("known")).distinct()
     open_, done, attempt = entities.withColumn("attempt", F.lit(0)), None, 0
@@ -328,7 +424,10 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", t
     """Every whole text with its entities replaced: doc_id, text, n_entities and kinds (sorted, distinct).
 
     Types are e-mail, network address, phone, card, bank account, identity number, secret, and names
-    behind a form of address, which tells the gender. Formats are kept: separators, capitals, digits
+    behind a form of address, which tells the gender. Further mentions of such a name, of its given and
+    of its family name are replaced in the same text wherever they are words with a capital, also where
+    the word means something else there (Mr Young, Young people); a name in no form of address in a
+    text stays. Formats are kept: separators, capitals, digits
     and letters in place, card checksums, private and public networks, top-level domains.
 
     A null text stays null, an empty one empty. Rows without id and repeated rows are treated like

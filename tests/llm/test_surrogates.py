@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from flowlens.llm import surrogates
 from flowlens.llm.surrogates import (
-    Keyed, _luhn, entity_surrogates, find_entities, fitted, normal_form, replace_personal_data, surrogate,
+    Keyed, _luhn, entity_surrogates, find_entities, find_mentions, fitted, normal_form, replace_personal_data, surrogate,
 )
 
 KEY = b"secret"
@@ -100,6 +100,42 @@ def test_draws_are_repeated_until_new(spark):
     assert len(set(drawn)) == len(rows) and not {n for _, n in rows} & set(drawn)
 
 
+def test_all_mentions_of_a_name_agree(spark):
+    rows = [
+        (1, "Mr John Smith came. John Smith spoke; JOHN paid, Smith's son and a smith left. Smith-led, Smith2, a.Smith@x.org"),
+        (2, "Mr Smith met Dr John Smith and Prof. Dr. Smith. Smith, John\nSmith."),
+        (3, "Dr John Smith and Mrs Smith"),
+        (4, "Mr John and Mr John Smith Mrs Anna Young: Young Anna, John"),
+        (5, "John Smith without address"),
+    ]
+    got = {r["doc_id"]: r for r in replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), KEY).collect()}
+    john, smith = got[1]["text"].split()[1:3]
+    mail = got[1]["text"].split()[-1]
+    assert mail != "a.Smith@x.org" and len({john, smith, "John", "Smith"}) == 4
+    assert got[1]["text"] == f"Mr {john} {smith} came. {john} {smith} spoke; {john.upper()} paid, {smith}'s son and a smith left. {smith}-led, Smith2, {mail}"
+    assert got[2]["text"] == f"Mr {smith} met Dr {john} {smith} and Prof. Dr. {smith}. {smith}, {john} {smith}."
+    assert got[3]["text"] == f"Dr {john} {smith} and Mrs {smith}"
+    anna, young = got[4]["text"].split(":")[0].split()[-2:]
+    assert got[4]["text"] == f"Mr {john} and Mr {john} {smith} Mrs {anna} {young}: {young} {anna}, {john}"
+    assert got[5]["text"] == rows[4][1] and got[5]["n_entities"] == 0
+    assert got[1]["n_entities"] == 6 and got[1]["kinds"] == ["email", "name"] and got[3]["kinds"] == ["name"]
+
+
+def test_gender_is_decided_per_person(spark):
+    rows = [("name-n", "kim lee"), ("name-f", "kim lee"), ("name-n-given", "kim lee"), ("name-m", "lee"), ("name-n", "lee")]
+    rows += [("name-m", "kim moss"), ("name-n", "sam moss")]
+    got = {(r["kind"], r["norm"]): r["drawn"] for r in entity_surrogates(spark.createDataFrame(rows, "kind string, norm string"), KEY).collect()}
+    assert set(got) == set(rows)
+    given, family = got["name-f", "kim lee"].split()
+    assert given.split("-")[0] in surrogates.GIVEN["latin", "f"].split()
+    assert got["name-n", "kim lee"] == f"{given} {family}" and got["name-n-given", "kim lee"] == given
+    assert got["name-m", "lee"] == got["name-n", "lee"] == family
+    assert got["name-m", "kim moss"].split()[0] != given and got["name-m", "kim moss"].split()[1] == got["name-n", "sam moss"].split()[1]
+    assert [x[2:] for x in find_mentions("Dr Kim Lee, Mr Lee and Ms Kim Lee: Kim")] == [
+        ("name-f", "kim lee"), ("name-m", "lee"), ("name-f", "kim lee"), ("name-f-given", "kim lee")
+    ]
+
+
 def test_every_entity_settles(spark):
     """Secrets without ASCII letters or digits, names beyond the Greek lists, more entities than their shape has strings."""
     secrets = ["_" * 16, "........", "--------", "абвгдежз", "パスワード漢字です", "+_" * 4]
