@@ -75,10 +75,10 @@ ANSWER = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("classes", pa
 MEETING = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("peer", pa.int64())])
 
 
-def _chosen(table: pa.Table, nodes: set, size: int) -> tuple[list[int], list[np.ndarray]]:
-    """Documents of a chunk that stand for a class, with their shingles."""
+def _chosen(table: pa.Table, docs: set, size: int) -> tuple[list[int], list[np.ndarray]]:
+    """Rows of a chunk under the id of a document that stands for a class, with their shingles."""
     ids = table.column("doc_id").to_pylist()
-    mine = np.flatnonzero(np.fromiter((i in nodes for i in ids), bool, len(ids)))
+    mine = np.flatnonzero(np.fromiter((i in docs for i in ids), bool, len(ids)))
     rows = table.take(pa.array(mine))
     return rows.column("doc_id").to_pylist(), list(shingle_sets(rows.column("text"), size))
 
@@ -95,7 +95,7 @@ def _ask(size: int, ranges: int):
     def run(table: pa.Table, members: pa.Table) -> pa.Table:
         if not table.num_rows or not members.num_rows:
             return QUESTION.empty_table()
-        _, sets = _chosen(table, set(members.column("node").to_pylist()), size)
+        _, sets = _chosen(table, set(members.column("doc_id").to_pylist()), size)
         found = _listed(sets)
         rows = [
             (i, pack(found.values[a:b]), np.minimum(found.counts[a:b], 65_535).astype(np.uint16).tobytes())
@@ -138,8 +138,8 @@ def prefix(shingles: np.ndarray, classes: np.ndarray, threshold: int) -> np.ndar
 
 
 def _meet(size: int, threshold: int):
-    """Rows (token, peer): each prefix shingle once with the smallest document that reaches it here;
-    rows (node, peer): documents that already met here."""
+    """Rows (token, peer): each prefix shingle once with the smallest class that reaches it here;
+    rows (node, peer): classes that already met here."""
 
     def flush(ids: list[int], held: list[np.ndarray]) -> list[np.ndarray]:
         nodes, place = np.unique(np.array(ids, np.int64), return_inverse=True)
@@ -154,19 +154,21 @@ def _meet(size: int, threshold: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return MEETING.empty_table()
-        members = {n: k for n, k in zip(told.column("node").to_pylist(), told.column("set_key").to_pylist()) if n is not None}
+        rows = zip(*(told.column(c).to_pylist() for c in ("doc_id", "set_key", "node")))
+        members = {(doc, key): node for doc, key, node in rows if node is not None}
         answers = [(r, c) for r, c in zip(told.column("range").to_pylist(), told.column("classes").to_pylist()) if c is not None]
-        ids, sets = _chosen(table, set(members), size)
+        ids, sets = _chosen(table, {doc for doc, _ in members}, size)
         found = _listed(sets)
         classes = np.frombuffer(b"".join(c for _, c in sorted(answers)), np.uint8)
         of = np.empty(len(found.order), np.uint8)
         of[found.order] = np.repeat(classes, found.counts)
         held, out, count, at = ([], []), [], 0, 0
-        for node, shingles in zip(ids, sets):
+        for doc, shingles in zip(ids, sets):
             mine = of[at : at + len(shingles)]
             at += len(shingles)
             tokens = prefix(shingles, mine, threshold)
-            if len(tokens) and set_key(shingles) == members[node]:
+            node = members.get((doc, set_key(shingles))) if len(tokens) else None
+            if node is not None:  # else another text under the same doc_id
                 held[0].append(node)
                 held[1].append(tokens)
                 count += len(tokens)
@@ -262,10 +264,12 @@ def ngram_jaccard_join(
         ),
         "shingle-sets",
     )
+    # A class of equal sets is a node under a number of its own, as several may have one doc_id.
     classes = written_table(
         sets.where("doc_id is not null and n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")),
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "set-classes",
     )
     spark = docs.sparkSession
@@ -275,7 +279,7 @@ def ngram_jaccard_join(
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks).cast("long")).alias("chunk")
     # One shuffle of the texts by chunk serves both the counts and the prefixes.
     dealt = base.where("doc_id is not null").select("doc_id", "text", chunk("doc_id"))
-    known = classes.select(chunk("node"), "node", "set_key")
+    known = classes.select(chunk("doc_id"), "doc_id", "node", "set_key")
     asked = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(words, ranges), QUESTION_SQL)
     counted = asked.groupBy("range").applyInArrow(_count, "chunk long, range int, classes binary")
     told = known.unionByName(counted, allowMissingColumns=True)
@@ -298,12 +302,12 @@ def ngram_jaccard_join(
     blocks = (
         rows.join(sizes, rows["bunch"] == sizes["whole"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
-        .select("node", "bunch", "set_key", "copies", "block", "n_blocks")
+        .select("node", F.col("doc_id").alias("of_doc"), "bunch", "set_key", "copies", "block", "n_blocks")
     )
     # Few documents are in a group: a checked broadcast spares the shuffle of all texts where they fit.
     blocks = checked_lookup(blocks)
     pairs = (
-        base.join(blocks, base["doc_id"] == blocks["node"])
+        base.join(blocks, base["doc_id"] == blocks["of_doc"])
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
         .select(
             "node", "set_key", "copies", "block", "text", "bunch",
@@ -317,13 +321,16 @@ def ngram_jaccard_join(
         "jaccard-links",
     )
     roots = connected_components(found.select("node", "root"))
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = whole.join(classes, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
+    component = whole.join(least, "root").select("node", "least")
     linked = found.groupBy(F.col("node").alias("of")).agg(F.sum("linked").alias("linked"))
     named = (
-        classes.join(roots, "node", "left")
+        classes.join(component, "node", "left")
         .join(linked, F.col("node") == F.col("of"), "left")
         .select(
             "set_key",
-            F.coalesce("root", "node").alias("root"),
+            F.coalesce("least", "doc_id").alias("root"),
             (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"),
         )
     )

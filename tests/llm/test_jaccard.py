@@ -7,7 +7,9 @@ import pytest
 from common import SPACES, ascii_lower, empty, hard, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from corpus_pipeline import drop_near_duplicates
 from flowlens.llm import components, jaccard
 from flowlens.llm.components import connected_components
 from flowlens.llm.jaccard import frequency_class, ngram_jaccard_join, prefix
@@ -115,6 +117,26 @@ def test_hard_rows(spark):
     assert ngram_jaccard_join(empty(spark), 3, 90).collect() == []
 
 
+def test_texts_under_one_id_are_apart(spark):
+    """Each text links and is dropped for itself, whatever else its id names."""
+    texts = {c: [f"{c}{i}" for i in range(60)] for c in "xyz"}
+    near = {c: " ".join([*w[:-1], "other"]) for c, w in texts.items()}
+    rows = [(5, " ".join(texts[c])) for c in "xyz"] + [(3, near["y"]), (9, near["x"]), (9, near["z"]), (7, near["x"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = rows_of(ngram_jaccard_join(df, 5, 80).join(df.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"]), "doc_id", "text", "component_id", "n_links")
+    component = {"x": 5, "y": 3, "z": 5}
+    assert got == sorted(((d, t, component[t[0]], 2 if t[0] == "x" else 1) for d, t in rows), key=repr)
+    kept = rows_of(drop_near_duplicates(spark, df, ""), "doc_id", "text")
+    assert kept == sorted([(5, rows[0][1]), (5, rows[2][1]), (3, near["y"])], key=repr)
+
+
+def test_shared_ids_equal_brute_force(spark):
+    rows = [((i // 3, i), text) for i, text in copies(4)]
+    df = spark.createDataFrame([(doc, text) for (doc, _), text in rows], "doc_id long, text string").repartition(5)
+    wanted = [(doc, n, root[0], links) for (doc, _), n, root, links in brute(rows, 3, 90)]
+    assert rows_of(ngram_jaccard_join(df, 3, 90), "doc_id", "n_shingles", "component_id", "n_links") == sorted(wanted, key=repr)
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     monkeypatch.setattr(components, "FLUSH_ROWS", 3)
     rng = random.Random(5)
