@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.components import connected_components, smallest_labels
 from flowlens.llm.hashing import WHITESPACE, byte_codes, mix, pieces, string_parts, window_hashes, word_hashes
 from flowlens.llm.lists import CHUNK_CHARS, QUESTION, QUESTION_SQL, RANGE_CHARS, Distinct, merged, pack, slices
-from flowlens.operators.shared import checked_lookup, ship_with_tasks, written_table
+from flowlens.operators.shared import LOOKUP_ROWS, ship_with_tasks, written_table
 
 for _module in (__name__, "flowlens.llm.hashing", "flowlens.llm.lists"):
     ship_with_tasks(_module)
@@ -304,8 +304,10 @@ def ngram_jaccard_join(
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
         .select("node", F.col("doc_id").alias("of_doc"), "bunch", "set_key", "copies", "block", "n_blocks")
     )
-    # Few documents are in a group: a checked broadcast spares the shuffle of all texts where they fit.
-    blocks = checked_lookup(blocks)
+    # Few documents are in a group: a broadcast of counted size spares the shuffle of all texts where they fit.
+    blocks = written_table(blocks, "blocks")
+    if blocks.count() <= LOOKUP_ROWS:
+        blocks = F.broadcast(blocks)
     pairs = (
         base.join(blocks, base["doc_id"] == blocks["of_doc"])
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))

@@ -137,6 +137,19 @@ def test_shared_ids_equal_brute_force(spark):
     assert rows_of(ngram_jaccard_join(df, 3, 90), "doc_id", "n_shingles", "component_id", "n_links") == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_no_documents_are_collected(spark, monkeypatch, most):
+    rows = copies(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    collected, collect = [], type(df).collect
+    with monkeypatch.context() as patch:
+        patch.setattr(jaccard, "LOOKUP_ROWS", most)
+        patch.setattr(type(df), "collect", lambda self: collected.append(collect(self)) or collected[-1])
+        linked = ngram_jaccard_join(df, 3, 90)
+    assert max(map(len, collected), default=0) <= 1
+    assert rows_of(linked, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute(rows, 3, 90), key=repr)
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     monkeypatch.setattr(components, "FLUSH_ROWS", 3)
     rng = random.Random(5)
