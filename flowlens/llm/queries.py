@@ -11,6 +11,7 @@ from flowlens.llm.decontamination import PositionalIndex
 from flowlens.llm.jaccard import ngram_jaccard_join
 from flowlens.llm.merkle import fingerprints
 from flowlens.llm.mixing import Mix
+from flowlens.llm.periodic import collapse_periodic_runs, with_planted_runs
 from flowlens.llm.repeats import remove_repeats
 from flowlens.llm.resampling import importance_resample
 from flowlens.llm.revisits import TRACKING, resolve_revisits
@@ -253,3 +254,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(F.sort_array(lines), "; ").alias("headers"),
         F.md5(F.col("body").cast("binary")).alias("body_md5"),
     )
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collapse_periodic_runs(with_planted_runs(documents(spark, folder))).drop("runs")
