@@ -16,6 +16,7 @@ from flowlens.llm.repeats import remove_repeats
 from flowlens.llm.resampling import importance_resample
 from flowlens.llm.revisits import TRACKING, resolve_revisits
 from flowlens.llm.sharding import shard_documents
+from flowlens.llm.spelling import count_words, spelling_variants
 from flowlens.llm.surrogates import replace_personal_data
 from flowlens.llm.tokenfiles import read_token_files, write_token_files
 
@@ -259,3 +260,46 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_periodic_runs(with_planted_runs(documents(spark, folder))).drop("runs")
+
+
+# The checksum is spelled out: DuckDB has none. One row per distinct run of a document.
+OP11_SQL = r"""
+with recursive bits as (
+ select i, i c, 0 k from (select cast(unnest(range(256)) as bigint) i)
+ union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+steps as (select list(c order by i) t from bits where k = 8),
+runs as (
+ select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w
+ from documents),
+distinct_runs as (select doc_id, w, count(*) n from runs group by doc_id, w),
+spelled as (select *, hex(encode(doc_id || ':' || w)) x from distinct_runs),
+summed as (
+ select w, n, xor(4294967295, list_reduce(
+  list_transform(range(length(x) // 2), lambda i : cast('0x' || substr(x, 2 * i + 1, 2) as bigint)),
+  lambda a, b : xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) h from spelled, steps),
+words as (
+ select word, cast(sum(n) as bigint) n from (
+  select case when h % 199 = 0 then left(w, h % length(w)) || substr(w, h % length(w) + 2) else w end word, n from summed)
+ where length(word) >= 6 group by word having sum(n) >= 5),
+holes as (
+ select word, n, i, left(word, i) || substr(word, i + 2) hole from (select *, unnest(range(length(word))) i from words)),
+near as (
+ select distinct a.word, b.word other, b.n other_n from holes a join holes b on a.hole = b.hole and a.i = b.i and a.word <> b.word
+ union select a.word, b.word, b.n from holes a join words b on a.hole = b.word
+ union select b.word, a.word, a.n from holes a join words b on a.hole = b.word),
+best as (
+ select word, count(*) n_near, first(other order by other_n desc, other) other, max(other_n) other_n from near group by word),
+judged as (
+ select words.word, n, coalesce(n_near, 0) n_near, case when other_n >= 5 * n then other end form,
+  case when other_n >= 5 * n then other_n end form_n from words left join best on words.word = best.word),
+chains as (
+ select word, word r, 0 k from judged
+ union all select chains.word, form, k + 1 from chains join judged on chains.r = judged.word where form is not null)
+select judged.word, n, form, ends.root, n_near, form_n
+from judged join (select word, max_by(r, k) root from chains group by word) ends on ends.word = judged.word
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(count_words(documents(spark, folder), slip_every=199))
