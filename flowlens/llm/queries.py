@@ -11,6 +11,7 @@ from flowlens.llm.decontamination import PositionalIndex
 from flowlens.llm.jaccard import ngram_jaccard_join
 from flowlens.llm.merkle import fingerprints
 from flowlens.llm.mixing import Mix
+from flowlens.llm.multiprobe import nearest_neighbours
 from flowlens.llm.periodic import collapse_periodic_runs, with_planted_runs
 from flowlens.llm.repeats import remove_repeats
 from flowlens.llm.resampling import importance_resample
@@ -303,3 +304,8 @@ from judged join (select word, max_by(r, k) root from chains group by word) ends
 @query("op11_spelling_variants", OP11_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(count_words(documents(spark, folder), slip_every=199))
+
+
+@query("op12_multiprobe_neighbours")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{folder}/embeddings.parquet"), k=20, query_modulus=20)
