@@ -243,8 +243,10 @@ def _merged(hits: DataFrame, keep: int) -> DataFrame:
     """One list of (-score, id) per query: the nearest of all lists, each id once."""
     pairs = F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("ids").alias("i"))
     lists = hits.select("query", pairs.alias("near"))
-    near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, keep)
-    return lists.groupBy("query").agg(near.alias("near"))
+    merged = lists.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("all"))
+    # array_distinct compares all pairs of structs; in a sorted list the neighbour before tells.
+    once = F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1)))
+    return merged.select("query", F.slice(once, 1, keep).alias("near"))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
