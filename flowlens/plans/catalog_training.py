@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain
-from flowlens.operators import encoding, sampling
+from flowlens.operators import encoding, ensembles, sampling
 from flowlens.operators.shared import scratch_path
 from flowlens.operators.smote import smote
 from flowlens.operators.stats import class_counts
@@ -196,6 +196,49 @@ def _(t):
     return sampling.class_weights(t.cleaned, _LABEL).withColumn("weight", F.round("weight", 9))
 
 
+_BAGS = recipes.RECIPES["forest_fast_balanced"].params["numTrees"]
+_DRAWN = " + ".join(f"cast(x >= {mark} as bigint)" for mark in ensembles.poisson_marks())
+
+
+@query(
+    "R5_bag_class_weights",
+    f"""with keyed as (select {_LABEL} as class, cast('0x' || substr(md5('42:' || cast(flow_id as varchar)),1,15) as bigint) % {ensembles.MODULUS - 1} + 1 as key from cleaned),
+    bags as (select cast(unnest(range({_BAGS})) as int) as bag, unnest({ensembles.multipliers(_BAGS).tolist()}) as f),
+    draws as (select bag, class, key*f % {ensembles.MODULUS} as x from keyed, bags),
+    counts as (select bag, class, cast(sum({_DRAWN}) as bigint) as n from draws group by 1,2),
+    whole as (select bag, sum(n) as total, count(*) as classes from counts where n>0 group by 1)
+    select bag, class, n, round(case when n>0 then total/(classes*n) else 0 end,9) as weight from counts join whole using (bag)""",
+)
+def _(t):
+    """Draws of each class in each bag of the fast balanced forest, and the weight the bag gives it."""
+    coded, classes = encoding.encode_label(t.cleaned, _LABEL, "code")
+    rows = coded.select(ensembles.bag_key(42, _ID).alias("key"), F.col("code").cast("int").alias("label"))
+    counts = ensembles.bag_weights(ensembles.bag_class_counts(rows, _BAGS, len(classes)))
+    named = encoding.decode_label(counts, "label", classes, "class")
+    return named.select("bag", "class", "n", F.round("weight", 9).alias("weight"))
+
+
+def _edges_sql() -> str:
+    shares = ", ".join(f"{i / ensembles.BINS!r}" for i in range(1, ensembles.BINS))
+    parts = [
+        f"""select '{c}' as feature, unnest(case when count(distinct {c}) <= {ensembles.BINS} then list(distinct {c})
+         else list_distinct(quantile_disc({c}, [{shares}])) end) as edge, min({c}) as low from {table}"""
+        for table, names in (("cleaned", domain.INTRUSION_NUMERIC), ("vpn", domain.VPN_COLUMNS))
+        for c in names
+    ]
+    return f"select feature, cast(edge as double) as edge from ({' union all '.join(parts)}) x where edge <> low"
+
+
+@query("F6_number_bins", _edges_sql(), ("cleaned", "vpn"))
+def _(t):
+    """Where the trees' bins of each number begin: at quantiles, or at every value where there are few."""
+    rows = []
+    for df, names in ((t.cleaned, domain.INTRUSION_NUMERIC), (t.vpn, domain.VPN_COLUMNS)):
+        edges = ensembles.quantile_edges(df, names)
+        rows += [(c, e) for c in names for e in edges[c]]
+    return t.spark.createDataFrame(rows, "feature string, edge double")
+
+
 @query(
     "R6_resampling_report",
     f"with {_UNDER} select 'before' as stage, {_LABEL} as class, count(*) as n from cleaned group by 2 union all select 'after', {_LABEL}, count(*) from under group by 2",

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +18,20 @@ from pyspark.sql import functions as F
 from flowlens.functions import domain, text
 from flowlens.operators import evaluation, sampling
 from flowlens.operators.encoding import PREFIX, FeatureSpec, NumberFacts, feature_columns, fit_facts, fit_one_hot, prepare
+from flowlens.operators.ensembles import TreeModel, bag_key, bin_columns, bin_values, fit_bins, fit_boosted, fit_forest
 from flowlens.operators.schema import drop_target, require_columns, split_by_type
 from flowlens.operators.shared import written_table
 from flowlens.operators.smote import smote
 from flowlens.operators.stats import class_distribution
+from flowlens.operators.trees import Growth
 
 # ---- fixed values: sampling caps -----------------------------------------------------
 BENIGN_CAP = 250_000
 MINORITY_TARGET = 30_000
 
+# Interpolated rows hold shares of categories, which only vectors can say; their forest bins each slot.
+MIXED_BINS = 128
+
 _PRED = "predicted_attack"
 
 
@@ -40,7 +41,8 @@ class Recipe:
     algorithm: str
     params: dict = field(default_factory=dict)
     resampling: str = "none"
-    weighted: bool = False
+    # Class weights: "all" by the counts of all training rows, "per_bag" by those of each tree's bag.
+    weighted: str | None = None
     target: str = domain.INTRUSION_TARGET
     output: str = _PRED
     # None takes every column of the training table but the targets.
@@ -60,16 +62,16 @@ _FOREST = {"numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 2}
 RECIPES = {
     r.name: r
     for r in (
-        Recipe("forest_smote", "forest", _FOREST, resampling="under_smote", weighted=True),
-        Recipe("forest_oversampled", "forest", _FOREST, resampling="oversample", weighted=True),
+        Recipe("forest_smote", "forest", _FOREST, resampling="under_smote", weighted="all"),
+        Recipe("forest_oversampled", "forest", _FOREST, resampling="oversample", weighted="all"),
         Recipe(
             "forest_fast_balanced",
             "forest",
             {"numTrees": 120, "maxDepth": 20},
             resampling="fast_balanced",
-            weighted=True,
+            weighted="per_bag",
         ),
-        Recipe("forest_baseline", "forest", _FOREST, weighted=True),
+        Recipe("forest_baseline", "forest", _FOREST, weighted="all"),
         Recipe(
             "forest_vpn",
             "forest",
@@ -82,7 +84,7 @@ RECIPES = {
         Recipe(
             "boosted",
             "boosted",
-            {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+            {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "columnShare": 0.8},
             fill=None,
             lower=False,
             scoring_fill=None,
@@ -108,7 +110,7 @@ class Trained:
     spec: FeatureSpec
     facts: NumberFacts
     classes: list[str]
-    model: PipelineModel
+    model: PipelineModel | TreeModel
     distribution: DataFrame
     test: DataFrame | None = None
 
@@ -172,9 +174,7 @@ def _classifier(recipe: Recipe, params: Mapping, inputs: int, classes: int):
     params = dict(params)
     weight = {"weightCol": "weight"} if recipe.weighted else {}
     if recipe.algorithm == "forest":
-        return RandomForestClassifier(**common, **weight, seed=recipe.seed, **params)
-    if recipe.algorithm == "boosted":
-        return OneVsRest(classifier=GBTClassifier(seed=recipe.seed, **params), parallelism=classes, **common)
+        return RandomForestClassifier(**common, **weight, seed=recipe.seed, maxBins=MIXED_BINS, **params)
     if recipe.algorithm == "perceptron":
         hidden = params.pop("hidden")
         return MultilayerPerceptronClassifier(
@@ -183,6 +183,29 @@ def _classifier(recipe: Recipe, params: Mapping, inputs: int, classes: int):
     raise ValueError(f"unknown algorithm {recipe.algorithm!r}")
 
 
+def _fit_trees(
+    recipe: Recipe, params: Mapping, rows: DataFrame, fitting: DataFrame, spec: FeatureSpec, indexer, row_id: str
+) -> TreeModel:
+    """The recipe's forest or boosted trees over binned columns; ``rows`` are prepared and rebalanced."""
+    encoder = fit_bins(fitting, spec)
+    drawn = [row_id, *(["copy"] if "copy" in rows.columns else [])]
+    bins = F.array(*[F.col(c).cast("smallint") for c in bin_columns(spec)]).alias("bins")
+    coded = indexer.transform(encoder.transform(rows))
+    table = written_table(
+        coded.select(bag_key(recipe.seed, *drawn).alias("key"), F.col("__label").cast("int").alias("label"), bins), "binned"
+    )
+    classes = list(indexer.labels)
+    growth = Growth(bin_values(encoder, spec), params["maxDepth"], recipe.seed)
+    if recipe.algorithm == "boosted":
+        growth = replace(growth, boosting=True, per_tree=params["columnShare"], step=params["stepSize"])
+        found = fit_boosted(table, growth, len(classes), params["maxIter"], params["subsamplingRate"])
+    else:
+        tried = max(1, int(math.sqrt(growth.offsets[-1])))
+        growth = replace(growth, per_node=tried, least_rows=params.get("minInstancesPerNode", 1))
+        found = fit_forest(table, growth, len(classes), params["numTrees"], recipe.weighted)
+    return TreeModel(encoder, spec, growth, classes, found, recipe.output)
+
+
 def train(recipe: Recipe, df: DataFrame, row_id: str = "flow_id", test: float = 0.2, **overrides) -> Trained:
     """Split, fit the encoder, rebalance the training side, fit the classifier.
 
@@ -201,38 +224,37 @@ def train(recipe: Recipe, df: DataFrame, row_id: str = "flow_id", test: float =
 
     fitting = split.drop("split") if recipe.fit_on == "all" else train_rows
     facts = fit_facts(fitting, spec)
-    encoder = fit_one_hot(prepare(fitting, spec, facts), spec)
     indexer = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc").fit(fitting)
+    params = {**recipe.params, **overrides}
 
     prepared = prepare(train_rows, spec, facts)
     inputs = [PREFIX + c for c in (*spec.numbers, *spec.categories)]
     resampled = _resample(prepared.select(label, row_id, *inputs), recipe, spec, row_id)
-    if recipe.weighted:
-        # The resampled rows feed the class weights and then every pass of the tree learner.
-        resampled = written_table(resampled, "resampled")
-        resampled = sampling.with_class_weights(resampled, label)
-    if "gap" in resampled.columns:
-        features = _blend(resampled, encoder, spec)
+    if recipe.algorithm == "boosted" or (recipe.algorithm == "forest" and "gap" not in resampled.columns):
+        model = _fit_trees(recipe, params, resampled, prepare(fitting, spec, facts), spec, indexer, row_id)
     else:
-        features = encoder.transform(resampled)
+        model = _fit_vectors(recipe, params, resampled, prepare(fitting, spec, facts), spec, indexer)
+    # The distribution is that of the split's training side, before any rebalancing.
+    distribution = class_distribution(train_rows, label)
+    return Trained(replace(recipe, params=params), spec, facts, list(indexer.labels), model, distribution, test_rows)
+
+
+def _fit_vectors(
+    recipe: Recipe, params: Mapping, rows: DataFrame, fitting: DataFrame, spec: FeatureSpec, indexer
+) -> PipelineModel:
+    """The recipe's classifier over one-hot vectors; ``rows`` are prepared and rebalanced."""
+    encoder = fit_one_hot(fitting, spec)
+    if recipe.weighted:
+        # The resampled rows feed the class weights and then every pass of the learner.
+        rows = written_table(rows, "resampled")
+        rows = sampling.with_class_weights(rows, recipe.target)
+    features = _blend(rows, encoder, spec) if "gap" in rows.columns else encoder.transform(rows)
     keep = ["features", "__label", *(["weight"] if recipe.weighted else [])]
     ready = indexer.transform(features).select(*keep)
-
     width = len(feature_columns(encoder, spec))
-    params = {**recipe.params, **overrides}
     fitted = _classifier(recipe, params, width, len(indexer.labels)).fit(ready)
     decode = IndexToString(inputCol="prediction", outputCol=recipe.output, labels=list(indexer.labels))
-    # The distribution is that of the split's training side, before any rebalancing.
-    distribution = class_distribution(train_rows, label)
-    return Trained(
-        replace(recipe, params=params),
-        spec,
-        facts,
-        list(indexer.labels),
-        PipelineModel(stages=[*encoder.stages, fitted, decode]),
-        distribution,
-        test_rows,
-    )
+    return PipelineModel(stages=[*encoder.stages, fitted, decode])
 
 
 def evaluate(trained: Trained, test: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -256,13 +278,17 @@ _PARTS = ("model", "distribution", "metadata")
 def save_recipe(trained: Trained, path: str) -> None:
     path = path.rstrip("/")
     spark = trained.distribution.sparkSession
-    trained.model.write().overwrite().save(f"{path}/model")
+    if isinstance(trained.model, TreeModel):
+        trained.model.save(f"{path}/model")
+    else:
+        trained.model.write().overwrite().save(f"{path}/model")
     trained.distribution.coalesce(1).write.mode("overwrite").parquet(f"{path}/distribution")
     facts = {
         "recipe": asdict(replace(trained.recipe, features=None)),
         "spec": asdict(trained.spec),
         "facts": asdict(trained.facts),
         "classes": trained.classes,
+        "trees": isinstance(trained.model, TreeModel),
     }
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/metadata"
@@ -283,7 +309,7 @@ def load_recipe(spark: SparkSession, path: str) -> tuple[Trained | None, list[st
         spec,
         NumberFacts(**stored["facts"]),
         stored["classes"],
-        PipelineModel.load(f"{path}/model"),
+        TreeModel.load(spark, f"{path}/model") if stored["trees"] else PipelineModel.load(f"{path}/model"),
         spark.read.parquet(f"{path}/distribution"),
     )
     return trained, []
