@@ -15,6 +15,8 @@ _PER_OCTAVE = 256
 _PER_RANGE = 4096
 # Rows of a range whose values may be counted one by one.
 _RANGE_ROWS = 100_000
+# The quantile sketch's ranks are off by one in so many rows at most.
+_SKETCHED = 100_000
 
 
 def row_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -48,14 +50,18 @@ def distinct_classes(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("class")).where("class is not null").distinct().orderBy("class")
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Exact medians as rows (by..., column, median), the middle two values averaged.
+def column_medians(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), approx: bool = False
+) -> DataFrame:
+    """Medians as rows (by..., column, median), the middle two values averaged.
+
+    ``F.median`` would gather a histogram of every distinct value in one task. Here a first scan counts each
+    column's values and brackets its middle ranks by a mergeable quantile sketch; a second one counts what
+    lies below the bracket and each value inside, a few of 100,000 rows. So two scans give exact medians. Where
+    that is still too much for a task (some billions of values of one key), or the sketch's bracket should not
+    hold, value ranges are counted in further passes instead. ``df`` should be a stored table.
 
-    ``F.median`` would gather a histogram of every distinct value in one task. Here each pass
-    counts value ranges, map side first, and keeps only the range that holds the middle ranks: a
-    fraction of a power of two, then fractions of that until at most ``_RANGE_ROWS`` rows are left,
-    then single values. Passes rescan ``df`` and stop once all medians are known, so ``df`` should
-    be a stored table.
+    ``approx`` stops after the first scan: a value whose rank is off by one in 100,000 rows at most.
     """
     by = list(by)
     keys = [*by, "column"]
@@ -65,6 +71,66 @@ def column_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
         for c in columns
     ]
     values = df.select(*by, F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    if approx:
+        middle = F.percentile_approx("value", 0.5, F.lit(_SKETCHED)).alias("median")
+        return values.groupBy(*keys).agg(middle)
+    state, rows = _kept(_brackets(values, keys), "brackets")
+    largest = state.agg(F.max("n")).first()[0] if rows is None else max((r["n"] for r in rows), default=0)
+    if (largest or 0) * 4 / _SKETCHED <= _RANGE_ROWS:
+        found, rows = _kept(_middle_values(values, keys, state), "medians")
+        if found.where("not held").isEmpty() if rows is None else all(r["held"] for r in rows):
+            return found.select(*keys, ((F.col("below") + F.col("above")) / 2).alias("median"))
+    return _medians_by_ranges(values, keys)
+
+
+def _kept(state: DataFrame, name: str) -> tuple[DataFrame, list | None]:
+    """A table of one row per key as a broadcast of checked size, with its rows; or stored, and None."""
+    rows = collect_lookup(state)
+    if rows is None:
+        return written_table(state, name), None
+    return F.broadcast(state.sparkSession.createDataFrame(rows, state.schema)), rows
+
+
+def _brackets(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: number of values, middle ranks, and a range that holds them, by the sketch's error twice over."""
+    shares = [0.5 - 2 / _SKETCHED, 0.5 + 2 / _SKETCHED]
+    marks = F.percentile_approx("value", shares, F.lit(_SKETCHED))
+    ranges = values.groupBy(*keys).agg(F.count("*").alias("n"), marks.alias("marks"))
+    return ranges.select(
+        *keys,
+        "n",
+        F.floor((F.col("n") + 1) / 2).alias("first"),
+        F.floor((F.col("n") + 2) / 2).alias("second"),
+        F.col("marks")[0].alias("lo"),
+        F.col("marks")[1].alias("hi"),
+    )
+
+
+def _middle_values(values: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    """Both middle values per key, from the counts below its bracket and of each value in it."""
+    scope = join_lookup(values, brackets.drop("n"), keys, "inner").where(F.col("value") <= F.col("hi"))
+    inside = F.when(F.col("value") >= F.col("lo"), F.col("value"))
+    counts = scope.groupBy(*keys, "first", "second", inside.alias("inside")).agg(F.count("*").alias("n"))
+    running = Window.partitionBy(*keys).orderBy(F.col("inside").asc_nulls_first())
+    ranked = counts.withColumn("upto", F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def value_at(rank: str) -> Column:
+        return F.min(F.when(F.col("upto") >= F.col(rank), F.col("inside")))
+
+    out_of_range = F.max(F.col("inside").isNull() & (F.col("upto") >= F.col("first")))
+    held = ~out_of_range & (F.max("upto") >= F.first("second"))
+    return ranked.groupBy(*keys).agg(
+        value_at("first").alias("below"), value_at("second").alias("above"), held.alias("held")
+    )
+
+
+def _medians_by_ranges(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact medians by passes over ever smaller ranges of values.
+
+    Each pass counts value ranges, map side first, and keeps only the range that holds the middle ranks: a
+    fraction of a power of two, then fractions of that until at most ``_RANGE_ROWS`` rows are left, then
+    single values.
+    """
     value = F.col("value")
     state, bounds = None, None
     bucket = F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * _PER_OCTAVE)
@@ -73,7 +139,7 @@ def column_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
         state = _middle_ranges(values, keys, bucket, state)
         rows = collect_lookup(state)
         if rows is not None:
-            state = F.broadcast(df.sparkSession.createDataFrame(rows, state.schema))
+            state = F.broadcast(values.sparkSession.createDataFrame(rows, state.schema))
             open_ranges = [r for r in rows if r["below"] is None]
             found, now = max((r["rows"] for r in open_ranges), default=0), {(r["lo"], r["hi"]) for r in open_ranges}
         else:

@@ -169,3 +169,43 @@ def test_medians_of_clumped_values(spark, monkeypatch):
     assert got == pytest.approx(statistics.median(values), rel=1e-12)
     for r in stats.column_medians(df, ["x"], ["k"]).collect():
         assert r["median"] == pytest.approx(statistics.median(values[r["k"] :: 2]), rel=1e-12)
+
+
+CLUMPED = [10 ** random.Random(i).uniform(-9, -3) for i in range(2000)] + [5.0] * 700 + [1e9, -1e300, math.inf]
+
+
+def test_medians_by_ranges_where_brackets_hold_too_much(spark, monkeypatch):
+    monkeypatch.setattr(stats, "_SKETCHED", 4)
+    monkeypatch.setattr(stats, "_RANGE_ROWS", 20)
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(CLUMPED)], "x double, k int").repartition(3)
+    assert stats.column_medians(df, ["x"]).first()["median"] == median(CLUMPED)
+    for r in stats.column_medians(df, ["x"], ["k"]).collect():
+        assert r["median"] == median(CLUMPED[r["k"] :: 3])
+
+
+@pytest.mark.parametrize("lo, hi", [(6.0, 7.0), (-2.0, -1.0), (0.0, 1e-9)])
+def test_a_bracket_that_does_not_hold_is_noticed(spark, monkeypatch, lo, hi):
+    whole = stats._brackets
+    monkeypatch.setattr(stats, "_brackets", lambda *a: whole(*a).withColumns({"lo": F.lit(lo), "hi": F.lit(hi)}))
+    assert medians(spark, CLUMPED) == median(CLUMPED)
+
+
+def test_medians_take_two_scans(spark, monkeypatch, tmp_path):
+    """One for the brackets, one for the values inside; results are exact for every key."""
+    monkeypatch.setattr(stats, "_SKETCHED", 50)
+    df = spark.createDataFrame([(v, -v, i % 3) for i, v in enumerate(CLUMPED)], "x double, y double, k int")
+    df.repartition(4).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    plans = []
+    kept = stats._kept
+    monkeypatch.setattr(stats, "_kept", lambda d, n: plans.append(d._jdf.queryExecution().executedPlan().toString()) or kept(d, n))
+    monkeypatch.setattr(stats, "_medians_by_ranges", None)
+    got = {(r["column"], r["k"]): r["median"] for r in stats.column_medians(stored, ["x", "y"], ["k"]).collect()}
+    assert [p.count("FileScan") for p in plans] == [1, 1]
+    assert got == {(c, k): s * median(CLUMPED[k::3]) for c, s in (("x", 1), ("y", -1)) for k in range(3)}
+
+
+def test_approximate_medians(spark):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(999)] + [(None, 0)], "x double, k int")
+    got = {r["k"]: r["median"] for r in stats.column_medians(df, ["x"], ["k"], approx=True).collect()}
+    assert got == {0: 498.0, 1: 499.0}
