@@ -22,6 +22,8 @@ from flowlens.operators.shared import ship_with_tasks
 ship_with_tasks(__name__)
 
 LONG_SENTENCE = 200  # characters from which a sentence is cut every 16 words
+# Characters that decide on a cut where there is no white space, and the distance of cuts on average.
+CUT_CONTEXT, CUT_EVERY = 8, 24
 BUCKETS_PER_PARTITION = 4
 
 
@@ -34,13 +36,45 @@ class Node(NamedTuple):
 
 
 def _pieces(paragraph: str) -> Iterator[str]:
+    """Sentences; long ones cut every 16 words, and what is long without white space cut by its content."""
     import re
 
-    for sentence in re.findall(r"(?s).*?[.!?]+\s+|.+", paragraph):
+    begin = 0
+    # Only the first of a run of marks begins a match, so junk of marks is scanned once.
+    ends = [m.end() for m in re.finditer(r"(?<![.!?])[.!?]++\s++", paragraph)]
+    for end in [*ends, len(paragraph)]:
+        sentence = paragraph[begin:end]
+        begin = end
         if len(sentence) <= LONG_SENTENCE:
-            yield sentence
-        else:
-            yield from re.findall(r"\s*(?:\S+\s*){1,16}|\s+", sentence)
+            if sentence:
+                yield sentence
+            continue
+        for piece in re.findall(r"\s*+(?:\S++\s*+){1,16}|\s++", sentence):
+            if len(piece) <= LONG_SENTENCE:
+                yield piece
+            else:
+                yield from _cut_by_content(piece)
+
+
+def _cut_by_content(piece: str) -> Iterator[str]:
+    """Cuts behind places where a hash of the last few characters says so, some distance apart.
+
+    An edit moves the cuts around it only, so the pieces before and behind stay the same.
+    """
+    import numpy as np
+
+    codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mixed = np.zeros(len(codes), np.uint64)
+    for back in range(CUT_CONTEXT):
+        mixed[back:] += codes[: len(codes) - back] * np.uint64(pow(0x9E3779B97F4A7C15, back + 1, 1 << 64))
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    begin = 0
+    for at in (np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(CUT_EVERY) == 0) + 1).tolist():
+        if at - begin >= CUT_CONTEXT and at < len(piece):
+            yield piece[begin:at]
+            begin = at
+    yield piece[begin:]
 
 
 def _inner(kind: bytes, children: list[Node]) -> Node:

@@ -53,9 +53,10 @@ ADDRESS = {
 
 _GENDER = {form: gender for gender, forms in ADDRESS.items() for form in forms}
 _FORMS = "|".join(sorted(_GENDER, key=len, reverse=True))
+# All forms of address in a row are one match, with or without a name behind them, and are scanned once.
 _NAME = re.compile(
-    r"\b({0})\.?[ \t]+(?:(?:{0})\.?[ \t]+)*(?!(?:{0})\b)([^\W\d_]+(?:-[^\W\d_]+)*"
-    r"(?:[ \t]+(?!(?:{0})\b)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)*)?)".format(_FORMS)
+    r"\b({0})\.?[ \t]++(?:(?:{0})\.?[ \t]++)*+(?:(?!(?:{0})\b)([^\W\d_]+(?:-[^\W\d_]+)*"
+    r"(?:[ \t]+(?!(?:{0})\b)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)*)?))?".format(_FORMS)
 )
 _CAPITALISED = re.compile(r"(?<!\w)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
 _PHONE = re.compile(
@@ -72,16 +73,16 @@ _SECRET = re.compile(
 )
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _LOCAL = re.compile(r"[\w.%+-]")
-LONGEST_LOCAL = 64
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses of any length; parts before and behind an @ hold none, so each is looked at once."""
     at = text.find("@")
     while at >= 0:
         begin = at
-        while begin > 0 and at - begin < LONGEST_LOCAL and _LOCAL.match(text[begin - 1]):
+        while begin > 0 and _LOCAL.match(text[begin - 1]):
             begin -= 1
-        host = _HOST.match(text, at + 1, at + 254)
+        host = _HOST.match(text, at + 1)
         if begin < at and host:
             yield begin, host.end()
         at = text.find("@", at + 1)
@@ -99,7 +100,7 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         for pattern, kind in kinds:
             found += [(*m.span(), kind) for m in pattern.finditer(text)]
     for m in _NAME.finditer(text):
-        if m.group(2)[0].isupper():
+        if m.group(2) and m.group(2)[0].isupper():
             found.append((*m.span(2), f"name-{_GENDER[m.group(1)]}"))
     taken: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):

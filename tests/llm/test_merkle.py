@@ -78,3 +78,42 @@ def test_hard_rows(spark):
     alone = fingerprints(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["near_next"]) for r in alone] == [(5, 1.0)]
     assert alone[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
+
+
+JUNK = ["!", ".", "?", "-", "Mr ", "Dr ", "@", "0", "a", "。", "! ", "Mr! Dr. @0a-? ", ".a", "a. \n"]
+
+
+@pytest.mark.parametrize("unit", JUNK)
+def test_a_megabyte_of_anything_takes_little_time(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    begin = time.perf_counter()
+    tree = merkle_tree(text)
+    assert time.perf_counter() - begin < 8 and tree.length == len(text)
+
+
+def test_sentences_end_at_marks_before_white_space():
+    from flowlens.llm.merkle import _pieces
+
+    text = "One!? Two.three... four.\tfive ?! six. "
+    assert list(_pieces(text)) == ["One!? ", "Two.three... ", "four.\t", "five ?! ", "six. "]
+    assert list(_pieces("!!!")) == ["!!!"] and list(_pieces("")) == []
+
+
+@pytest.mark.parametrize("mark", ["", "。"])
+def test_texts_without_spaces_are_compared_in_parts(mark):
+    import random
+
+    rng = random.Random(3)
+
+    def prose(n):
+        return "".join(mark if mark and rng.random() < 0.03 else chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+
+    text, other = prose(3000), prose(3000)
+    edited = text[:1500] + other[:1500]
+    same, spans = compare(merkle_tree(edited), merkle_tree(text))
+    assert 1400 <= same <= 1500 and spans[-1][0] + spans[-1][1] == 3000
+    assert compare(merkle_tree(text), merkle_tree(other))[0] == 0
+    middle = text[:1000] + "字" + text[1000:]
+    assert compare(merkle_tree(middle), merkle_tree(text))[0] > 2850

@@ -170,3 +170,33 @@ def test_hard_rows(spark):
     new = {re.findall(r"[\d.]{7,}", r["text"])[0] for r in got if r["text"]}
     assert len(got) == 4 and len(new) == 1 and "1.2.3.4" not in new
     assert sorted(r["n_entities"] for r in got) == [0, 1, 2, 2]
+
+
+JUNK = ["!", ".", "?", "-", "Mr ", "Dr ", "Mr. Dr. ", "@", "0", "a", "a@", "a.", "key ", "token=", "Mr! Dr. @0a-? ", "12.", "A B ", "Mr A "]
+
+
+@pytest.mark.parametrize("unit", JUNK)
+def test_a_megabyte_of_anything_takes_little_time(unit):
+    import time
+
+    from flowlens.llm.surrogates import find_mentions
+
+    text = unit * (1_000_000 // len(unit))
+    begin = time.perf_counter()
+    find_mentions(text)
+    assert time.perf_counter() - begin < 8
+
+
+def test_long_addresses_are_replaced_whole():
+    from flowlens.llm.surrogates import find_entities
+
+    for local, host in (("a" * 70, "b.org"), ("x.y" * 100, "m." * 200 + "example.com")):
+        text = f"write to {local}@{host} now"
+        assert [text[a:b] for a, b, kind in find_entities(text) if kind == "email"] == [f"{local}@{host}"]
+
+
+def test_rows_of_forms_of_address():
+    from flowlens.llm.surrogates import find_entities
+
+    text = "Mr Mr Dr Smith met Mrs. Prof. Jane Doe, Dr 5, Mr Miss, Mr"
+    assert [(text[a:b], kind) for a, b, kind in find_entities(text)] == [("Smith", "name-m"), ("Jane Doe", "name-f")]
