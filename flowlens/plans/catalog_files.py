@@ -12,7 +12,7 @@ from flowlens.operators.shared import scratch_path
 from flowlens.plans import jobs
 from flowlens.plans.recipes import evaluate
 from flowlens.plans.registry import query
-from flowlens.sources import captures, sinks
+from flowlens.sources import captures, quarantine, sinks
 
 _READ = "nullif(proto,'') as proto, service, nullif(state,'') as state, sbytes, dbytes, attack_cat, label"
 
@@ -86,22 +86,75 @@ def _(t):
     ("vpn",),
 )
 def _(t):
-    """All rows of two folders; a third holds copies with one line too long and is left out whole."""
+    """All rows of two folders; a third holds copies in files with lines too long and is left out whole."""
     place = _place(t, "folders")
     rows = t.vpn.select("l_orderkey", "l_linenumber", "class1")
     for rest in (0, 1):
         _export(rows.where(F.col("l_linenumber") % 2 == rest), f"{place}/{rest}")
-    good = rows.select(F.concat_ws(",", "l_orderkey", "l_linenumber", "class1").alias("value"))
-    lines = t.spark.createDataFrame([("l_orderkey,l_linenumber,class1",), ("1,2,3,4",)], "value string")
-    lines.unionByName(good).coalesce(1).write.text(f"{place}/lines")
-    _as_csv(t, f"{place}/lines", f"{place}/torn")
+    torn = rows.select(F.concat_ws(",", "l_orderkey", "l_linenumber", "class1", F.lit("4")).alias("line"))
+    _export_lines(torn, "l_orderkey,l_linenumber,class1", f"{place}/torn")
     return captures.read_dirs(t.spark, [f"{place}/0", f"{place}/1", f"{place}/torn", f"{place}/absent"])
 
 
-def _as_csv(t, source: str, target: str) -> None:
-    """Rewrite text parts under a folder of CSV parts, line for line."""
-    lines = t.spark.read.text(source)
-    lines.coalesce(1).write.option("quote", "").option("sep", "\u0001").csv(target)
+def _export_lines(df: DataFrame, header: str, path: str) -> None:
+    """Write the column ``line`` as it stands, below a header, as CSV captures."""
+    options = {
+        "header": "true", "quote": "", "sep": "\u0001", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
+    df.select(F.col("line").alias(header)).write.options(**options).csv(path)
+
+
+def _landed(t):
+    """All flows in captures of two headers; a field too many in every thirteenth row's line."""
+    place = _place(t, "quarantine")
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in (F.col("flow_id").cast("string"), F.col("service"), F.col("proto"))])
+    for rest, header in ((0, "flow_id,service,proto"), (1, " Flow_ID,SERVICE,proto ")):
+        part = t.flows.where(F.col("flow_id") % 2 == rest)
+        torn = F.when(F.col("flow_id") % 13 == 0, F.concat(line, F.lit(",stray"))).otherwise(line)
+        _export_lines(part.select(torn.alias("line")), header, f"{place}/{rest}")
+    return quarantine.land_captures(t.spark, [f"{place}/0", f"{place}/1", f"{place}/absent"])
+
+
+@query(
+    "S4_quarantine",
+    f"""select cast(flow_id as varchar) as flow_id, case when flow_id%13<>0 then service end as service,
+    case when flow_id%13=0 then '{quarantine.TOO_LONG}' end as reason from flows""",
+    ("flows",),
+)
+def _(t):
+    """Every line of the captures, as a row or in quarantine with its reason."""
+    landing = _landed(t)
+    rows = landing.captures.table().select("flow_id", "service", F.lit(None).cast("string").alias("reason"))
+    lines = landing.rejected.where("line_number > 1")
+    lines = lines.select(F.split("raw", ",")[0].alias("flow_id"), F.lit(None).cast("string").alias("service"), "reason")
+    return rows.unionByName(lines)
+
+
+@query(
+    "S4_taken_back",
+    "select cast(flow_id as varchar) as flow_id, service, nullif(proto,'') as proto, flow_id%13=0 as was_rejected from flows",
+    ("flows",),
+)
+def _(t):
+    """Quarantined lines without their stray field are taken back: with the rows kept at once, all flows."""
+    landing = _landed(t)
+    mended = landing.rejected.withColumn("raw", F.regexp_replace("raw", ",stray$", ""))
+    back = quarantine.take_back(landing, mended)
+    sides = ((landing.captures, False), (back.captures, True))
+    parts = [c.table().select("flow_id", "service", "proto", F.lit(late).alias("was_rejected")) for c, late in sides]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "S1_file_ledger",
+    """select 'flow_id,service,proto' as header, count(*) as rows, max(case when flow_id%13=0 then 4 else 3 end) as longest from flows where flow_id%2=0
+    union all select ' Flow_ID,SERVICE,proto ', count(*), max(case when flow_id%13=0 then 4 else 3 end) from flows where flow_id%2=1""",
+    ("flows",),
+)
+def _(t):
+    """What the ledger of files says, added up per header."""
+    ledger = _landed(t).ledger
+    return ledger.groupBy("header").agg(F.sum("rows").alias("rows"), F.max("longest").alias("longest"))
 
 
 @query("S5_write_predictions", "select cast(flow_id as varchar) as flow_id, service, predicted_attack, predicted_vpn from scored", ("scored",))
