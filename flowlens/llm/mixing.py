@@ -21,15 +21,16 @@ CELL_ROWS = 20_000
 SLOTS_PER_ROW = 4096
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """Image of x under a keyed permutation of 0 .. n-1 (swap-or-not rounds, any n)."""
+def permuted(x: Column, n: Column, *key: Column, inverse: bool = False) -> Column:
+    """Image of x under a keyed permutation of 0 .. n-1 (swap-or-not rounds, any n), or what has x as its image."""
 
     def swap(at: Column, turn: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(*key, turn), n) - at, n)
         chosen = F.xxhash64(*key, turn, F.greatest(at, partner), F.lit("swap"))
         return F.when(chosen < 0, partner).otherwise(at)
 
-    turns = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    ends = (F.lit(0), F.lit(ROUNDS - 1))
+    turns = F.sequence(*(reversed(ends) if inverse else ends))
     return F.coalesce(F.aggregate(turns, x.cast("long"), swap), F.lit(0))
 
 
@@ -88,27 +89,38 @@ class Mix:
             ),
             "mix-sizes",
         )
-        n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-        n_slots = F.when(
-            F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))
-        ).cast("long")
+        length, size = F.lit(block_words), F.col("source_size")
+        wanted = F.when(size > 0, F.round("target").cast("long")).otherwise(F.lit(0).cast("long"))
+        full = F.when(size > 0, F.floor(F.col("wanted") / size)).otherwise(F.lit(0)).cast("long")
+        short = size - (F.col("n_blocks") - 1) * length
+        # Slots that cover what whole turns leave, even if the short last block is among them.
+        partial = F.when(F.col("rest") > 0, F.least("n_blocks", F.ceil((F.col("rest") + length - F.col("short")) / length)))
+        last_at = permuted(F.col("n_blocks") - 1, F.col("n_blocks"), self.seed, F.col("rank"), F.col("full"), inverse=True)
         counted = (
             source_targets(self.sizes, weights, share, most)
-            .withColumn("n_blocks", n_blocks)
-            .withColumn("n_slots", F.coalesce(n_slots, F.lit(0)))
+            .withColumn("n_blocks", F.ceil(size / length).cast("long"))
+            .withColumn("wanted", wanted)
+            .withColumn("full", full)
+            .withColumn("rest", F.col("wanted") - F.col("full") * size)
+            .withColumn("short", short)
+            .withColumn("short_at", F.when(size > 0, last_at))
+            .withColumn("n_slots", (F.col("full") * F.col("n_blocks") + F.coalesce(partial, F.lit(0))).cast("long"))
         )
         first = F.sum("n_slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-        self.sources = written_table(
-            counted.withColumn("first_slot", F.coalesce(first, F.lit(0))), "mix-sources"
-        )
+        self.sources = written_table(counted.withColumn("first_slot", F.coalesce(first, F.lit(0))), "mix-sources")
         self.n_slots, self._rows = (
             self.sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0],
             self.sizes.count(),
         )
+        self.counts = written_table(self._draw(), "mix-counts")
 
-    def slots(self) -> DataFrame:
-        """The mix: shard, position (in the mix), rank (of the source), turn (0 the first use) and block."""
-        given = self.sources.where("n_slots > 0").select("rank", "n_blocks", "n_slots", "first_slot")
+    def _draw(self) -> DataFrame:
+        """How many slots of each shard go to each source: shard, rank, n.
+
+        All slots of the mix are dealt to its places by one keyed permutation, and counted per shard. That
+        draws the counts as a multinomial would, given that the sources' totals are their targets.
+        """
+        given = self.sources.where("n_slots > 0").select("rank", "n_slots", "first_slot")
         starts = F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOTS_PER_ROW).cast("long"))
         # Stretches of slots are dealt out first. A stated number of partitions: by bytes they would be one.
         dealt = given.withColumn("from", F.explode(starts)).repartition(
@@ -116,15 +128,56 @@ class Mix:
         )
         last = F.least(F.col("from") + SLOTS_PER_ROW, F.col("n_slots")) - 1
         each = dealt.withColumn("slot", F.explode(F.sequence(F.col("from"), last)))
-        turn = F.floor(F.col("slot") / F.col("n_blocks"))
-        block = permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), self.seed, F.col("rank"), F.col("turn"))
         place = permuted(F.col("first_slot") + F.col("slot"), F.lit(max(1, self.n_slots)).cast("long"), self.seed)
+        shard = F.floor(place / self.shard_blocks).cast("long").alias("shard")
+        return each.groupBy(shard, "rank").agg(F.count("*").alias("n"))
+
+    def slots(self) -> DataFrame:
+        """The mix: shard, position (in the mix), rank (of the source), turn (0 the first use), block, and how
+        many of the block's words are used.
+
+        A source's slots are numbered through its shards; a turn of its slots goes through all its blocks in
+        the order of a permutation. The slots of the last, partial turn give the words still missing.
+        """
+        before = Window.rowsBetween(Window.unboundedPreceding, -1)
+        of_source = F.sum("n").over(before.partitionBy("rank").orderBy("shard"))
+        of_shard = F.sum("n").over(before.partitionBy("shard").orderBy("rank"))
+        whole = F.sum("n").over(Window.partitionBy("shard"))
+        drawn = self.counts.select(
+            "shard",
+            "rank",
+            "n",
+            F.coalesce(of_source, F.lit(0)).alias("first"),
+            F.coalesce(of_shard, F.lit(0)).alias("from"),
+            whole.alias("in_shard"),
+        )
+        given = checked_lookup(
+            self.sources.where("n_slots > 0").select("rank", "n_blocks", "source_size", "full", "rest", "short", "short_at")
+        )
+        # A stated number of partitions: the counts are few, the slots many.
+        dealt = drawn.join(given, "rank").repartition(
+            int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "rank"
+        )
+        each = dealt.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        slot, length = F.col("first") + F.col("i"), F.lit(self.block_words)
+        turn, at = F.floor(slot / F.col("n_blocks")), F.pmod(slot, F.col("n_blocks"))
+        block = permuted(F.col("at"), F.col("n_blocks"), self.seed, F.col("rank"), F.col("turn"))
+        holds = F.when(F.col("block") == F.col("n_blocks") - 1, F.col("short")).otherwise(length)
+        earlier = F.col("at") * length - F.when(F.col("short_at") < F.col("at"), length - F.col("short")).otherwise(0)
+        missing = F.greatest(F.col("rest") - earlier, F.lit(0))
+        use = F.when(F.col("turn") < F.col("full"), holds).otherwise(F.least(holds, missing))
+        inside = permuted(F.col("from") + F.col("i"), F.col("in_shard"), self.seed, F.col("shard"), F.lit("place"))
         return (
             each.withColumn("turn", turn)
+            .withColumn("at", at)
             .withColumn("block", block)
-            .withColumn("position", place)
             .select(
-                F.floor(F.col("position") / self.shard_blocks).alias("shard"), "position", "rank", "turn", "block"
+                "shard",
+                (F.col("shard") * self.shard_blocks + inside).alias("position"),
+                "rank",
+                "turn",
+                "block",
+                use.cast("long").alias("use"),
             )
         )
 
@@ -172,18 +225,31 @@ class Mix:
             )
         )
 
+    def _used(self, placed: DataFrame) -> DataFrame:
+        """Spans of documents that slots use, cut where a slot uses less than its block."""
+        # The slots come from a small table, so without a hint their number would be underestimated.
+        slots = self.slots().where("use > 0").select("shard", "rank", "turn", "block", "use")
+        used = self.spans(placed).join(slots.hint("merge"), ["rank", "block"])
+        end = F.col("block") * self.block_words + F.col("use") - F.col("start")
+        return used.withColumn("high", F.least(F.col("high"), end)).where("high > low")
+
     def taken(self) -> DataFrame:
-        """Per document: doc_id, size, source, source_size, target, and taken, its words in the mix."""
+        """Per document: doc_id, size, source, source_size, target, taken (its words in the mix) and the shards
+        that use it, ascending."""
         placed = self.placed()
-        # The slots come from a small table, so without a hint their number would be underestimated.
-        uses = self.slots().groupBy("rank", "block").agg(F.count("*").alias("uses"))
-        used = self.spans(placed).join(uses.hint("merge"), ["rank", "block"])
+        used = self._used(placed)
         words = used.groupBy(F.col("rank").alias("of_rank"), F.col("start").alias("of_start")).agg(
-            F.sum((F.col("high") - F.col("low")) * F.col("uses")).alias("words")
+            F.sum(F.col("high") - F.col("low")).alias("words"), F.sort_array(F.collect_set("shard")).alias("in_shards")
         )
         mine = (F.col("rank") == F.col("of_rank")) & (F.col("start") == F.col("of_start")) & (F.col("size") > 0)
         return placed.join(words, mine, "left").select(
-            "doc_id", "size", "source", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken")
+            "doc_id",
+            "size",
+            "source",
+            "source_size",
+            "target",
+            F.coalesce("words", F.lit(0)).alias("taken"),
+            F.coalesce("in_shards", F.array().cast("array<bigint>")).alias("shards"),
         )
 
     def documents(self) -> DataFrame:
@@ -193,8 +259,7 @@ class Mix:
         space. Rows come from the input by id and text.
         """
         placed = self.placed()
-        slots = self.slots().select("rank", "turn", "block").hint("merge")
-        used = self.spans(placed).join(slots, ["rank", "block"])
+        used = self._used(placed)
         parts = used.groupBy("rank", "start", "turn").agg(
             F.sum(F.col("high") - F.col("low")).alias("words"),
             F.sort_array(F.collect_list(F.struct("low", "high"))).alias("parts"),

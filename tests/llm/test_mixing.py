@@ -105,3 +105,60 @@ def test_one_source_with_nearly_all_words(spark):
     target = brute_targets(Counter({"big": 570 * 50, "small": 30 * 50}))
     for s in target:
         assert sum(r["taken"] for r in got if r["source"] == s) == pytest.approx(target[s], abs=16)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 200])
+def test_inverse_permutation(spark, n):
+    size, key = F.lit(n).cast("long"), (F.lit(5), F.lit("k"))
+    there = spark.range(n).select("id", permuted(F.col("id"), size, *key).alias("to"))
+    assert there.where(permuted(F.col("to"), size, *key, inverse=True) != F.col("id")).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_sources_meet_their_targets(spark, seed):
+    """Sources of 1 to 1,000 words, most less than a few blocks long: each within a word of its target."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for s in range(12):
+        left = rng.choice([1, 2, 50, 127, 128, 129, 130, 390, 1000])
+        while left:
+            n = min(left, rng.randint(1, 200))
+            rows.append((len(rows), " ".join(["w"] * n), f"s{s:02}"))
+            left -= n
+    sums = Counter()
+    for _, text, source in rows:
+        sums[source] += len(text.split())
+    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_blocks=4)
+    got = Counter()
+    for r in mix.taken().collect():
+        got[r["source"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    for source, target in brute_targets(sums).items():
+        assert abs(got[source] - target) <= 1
+
+
+def test_taken_and_shards_follow_from_the_drawn_counts(spark):
+    rows = [(i, " ".join(["w"] * (i * 37 % 90)), "abc"[i % 3]) for i in range(120)]
+    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=8, shard_blocks=50)
+    counts, sources = mix.counts.collect(), {r["rank"]: r for r in mix.sources.collect()}
+    per_source, per_shard = Counter(), Counter()
+    for r in counts:
+        per_source[r["rank"]] += r["n"]
+        per_shard[r["shard"]] += r["n"]
+    assert per_source == {k: r["n_slots"] for k, r in sources.items()}
+    assert all(per_shard[s] == 50 for s in list(range(max(per_shard)))) and len(per_shard) > 5
+    assert len({r["n"] for r in counts}) > 3
+    # By brute force: every word of each source, counted by the slots that use it.
+    uses: dict = {}
+    for r in mix.slots().collect():
+        for word in range(r["block"] * 8, r["block"] * 8 + r["use"]):
+            uses.setdefault((r["rank"], word), []).append(r["shard"])
+    placed = mix.placed().collect()
+    got = {r["doc_id"]: (r["taken"], r["shards"]) for r in mix.taken().collect()}
+    for r in placed:
+        shards = [s for w in range(r["start"], r["start"] + r["size"]) for s in uses.get((r["rank"], w), [])]
+        assert got[r["doc_id"]] == (len(shards), sorted(set(shards)))
+    slots = Counter((r["shard"], r["rank"]) for r in mix.slots().collect())
+    assert slots == {(r["shard"], r["rank"]): r["n"] for r in counts}
