@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, replace
 
@@ -273,16 +274,31 @@ def evaluate(trained: Trained, test: DataFrame | None = None) -> dict[str, DataF
 
 
 _PARTS = ("model", "distribution", "metadata")
+_VERSIONS = "version long, place string"
 
 
-def save_recipe(trained: Trained, path: str) -> None:
+def save_recipe(trained: Trained, path: str) -> int:
+    """Store a recipe as the next version below ``path``; returns the version.
+
+    All parts are written to a folder of their own, then one row of the list of versions names it. A reader
+    takes what the list names, so it sees the version before until the new one is whole.
+    """
     path = path.rstrip("/")
+    spark = trained.distribution.sparkSession
+    version = max((v for v, _ in _versions(spark, path)), default=0) + 1
+    place = f"{path}/v{version}-{uuid.uuid4().hex}"
+    _write_parts(trained, place)
+    spark.createDataFrame([(version, place)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def _write_parts(trained: Trained, place: str) -> None:
     spark = trained.distribution.sparkSession
     if isinstance(trained.model, TreeModel):
-        trained.model.save(f"{path}/model")
+        trained.model.save(f"{place}/model")
     else:
-        trained.model.write().overwrite().save(f"{path}/model")
-    trained.distribution.coalesce(1).write.mode("overwrite").parquet(f"{path}/distribution")
+        trained.model.write().overwrite().save(f"{place}/model")
+    trained.distribution.coalesce(1).write.mode("overwrite").parquet(f"{place}/distribution")
     facts = {
         "recipe": asdict(replace(trained.recipe, features=None)),
         "spec": asdict(trained.spec),
@@ -291,17 +307,35 @@ def save_recipe(trained: Trained, path: str) -> None:
         "trees": isinstance(trained.model, TreeModel),
     }
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/metadata"
+        f"{place}/metadata"
     )
 
 
-def load_recipe(spark: SparkSession, path: str) -> tuple[Trained | None, list[str]]:
-    """The stored recipe, or None and a warning that names the parts that are missing."""
+def recipe_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions stored below ``path``, oldest first."""
+    return sorted({v for v, _ in _versions(spark, path.rstrip("/"))})
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    try:
+        listed = spark.read.schema(_VERSIONS).parquet(f"{path}/versions").collect()
+    except AnalysisException:
+        return []
+    return [(r["version"], r["place"]) for r in listed]
+
+
+def load_recipe(spark: SparkSession, path: str, version: int | None = None) -> tuple[Trained | None, list[str]]:
+    """The latest version of a stored recipe, or the one asked for; None and a warning where parts are missing.
+
+    Of two writers that stored one version at a time, the place that sorts last counts for all readers.
+    """
     path = path.rstrip("/")
-    missing = [p for p in _PARTS if not _exists(spark, f"{path}/{p}")]
+    places = [(v, p) for v, p in _versions(spark, path) if version is None or v == version]
+    place = max(places)[1] if places else path
+    missing = [p for p in _PARTS if not places or not _exists(spark, f"{place}/{p}")]
     if missing:
         return None, [f"Model files missing under {path}: {', '.join(missing)}. Train the recipe again."]
-    stored = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    stored = json.loads(spark.read.text(f"{place}/metadata").first()["value"])
     spec = FeatureSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored["spec"].items()})
     recipe = Recipe(**{**stored["recipe"], "features": spec})
     trained = Trained(
@@ -309,8 +343,8 @@ def load_recipe(spark: SparkSession, path: str) -> tuple[Trained | None, list[st
         spec,
         NumberFacts(**stored["facts"]),
         stored["classes"],
-        TreeModel.load(spark, f"{path}/model") if stored["trees"] else PipelineModel.load(f"{path}/model"),
-        spark.read.parquet(f"{path}/distribution"),
+        TreeModel.load(spark, f"{place}/model") if stored["trees"] else PipelineModel.load(f"{place}/model"),
+        spark.read.parquet(f"{place}/distribution"),
     )
     return trained, []
 

@@ -243,3 +243,25 @@ def test_folders_of_several_schemas(spark, tmp_path, flows, vpn_rows, baseline,
     # The udp file's missing numbers take its own median, which is that of its class.
     gaps = report.scored.where("source_file like '%gaps%' and sbytes is null").select("predicted_attack").distinct().collect()
     assert [r["predicted_attack"] for r in gaps] == ["Worms"]
+
+
+def test_a_version_that_is_not_whole_is_never_loaded(spark, tmp_path, baseline, monkeypatch):
+    """A writer that stops between parts leaves the version before in force."""
+    path = str(tmp_path / "store")
+    assert recipes.save_recipe(baseline, path) == 1
+    other = recipes.replace(baseline, classes=[*baseline.classes, "Other"])
+    whole = recipes._write_parts
+
+    def torn(trained, place):
+        whole(trained, place)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(recipes, "_write_parts", torn)
+    with pytest.raises(RuntimeError):
+        recipes.save_recipe(other, path)
+    assert recipes.load_recipe(spark, path)[0].classes == baseline.classes and recipes.recipe_versions(spark, path) == [1]
+    monkeypatch.setattr(recipes, "_write_parts", whole)
+    assert recipes.save_recipe(other, path) == 2
+    assert recipes.load_recipe(spark, path)[0].classes == other.classes
+    assert recipes.load_recipe(spark, path, version=1)[0].classes == baseline.classes
+    assert recipes.load_recipe(spark, path, version=3)[0] is None and recipes.recipe_versions(spark, path) == [1, 2]
