@@ -1,8 +1,9 @@
 """Benchmark decontamination by a distributed positional index, with DataFrame functions only.
 
-Every word of the training texts that occurs in a test item becomes a posting (document, position,
-term). For each test phrase the postings of its two rarest terms, moved back by the terms' offsets
-in the phrase, are intersected; what remains is compared with the words of the document.
+The training texts' occurrences of each test term are counted first, combined before the shuffle.
+Then every occurrence of a term that is one of the two rarest of some test phrase becomes a posting
+(document, position, term). For each phrase the postings of its two rarest terms, moved back by the
+terms' offsets in the phrase, are intersected; what remains is compared with the words of the document.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.shared import checked_lookup, written_table
+from flowlens.operators.shared import LOOKUP_ROWS, checked_lookup, collect_lookup, written_table
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(1 << 63)
+# Terms that a broadcast may hold.
+TERM_ROWS = LOOKUP_ROWS
 
 
 def words_of(text: Column) -> Column:
@@ -41,7 +44,7 @@ def phrases_of(items: DataFrame, size: int, item_col: str, text_col: str) -> Dat
 
 
 class PositionalIndex:
-    """Postings of the training texts for all terms of a test set."""
+    """Postings of the training texts for the two rarest terms of each phrase of a test set."""
 
     def __init__(
         self,
@@ -67,24 +70,50 @@ class PositionalIndex:
         self.items = written_table(phrases_of(items, size, item_col, item_text_col), "test-phrases")
         self.phrases = self.items.select("phrase_id", "phrase").distinct()
         terms = self.phrases.select("phrase_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term"))
-        vocabulary = checked_lookup(terms.select(F.col("term").alias("known")).distinct())
         spelled = self.docs.select("doc", "text_key", F.posexplode(words_of(F.col("text"))).alias("position", "word"))
         found = spelled.withColumn("term", ascii_lower(F.col("word")))
-        self.postings = written_table(
-            found.join(vocabulary, F.col("term") == F.col("known")).select("doc", "text_key", "position", "term"),
-            "postings",
-        )
-        counts = self.postings.groupBy(F.col("term").alias("counted")).agg(F.count("*").alias("postings"))
+        vocabulary = terms.select(F.col("term").alias("known")).distinct()
+        lookup = collect_lookup(vocabulary, TERM_ROWS)
+        everything = None
+        if lookup is not None:
+            vocabulary = F.broadcast(items.sparkSession.createDataFrame(lookup, vocabulary.schema))
+            counted = found.join(vocabulary, F.col("term") == F.col("known")).groupBy("term")
+            counts = counted.agg(F.count("*").alias("postings"))
+        else:
+            # Too many terms to broadcast: all words are counted, which combines before the shuffle.
+            everything = written_table(found.groupBy("term").agg(F.count("*").alias("postings")), "word-counts")
+            counts = everything.join(vocabulary, F.col("term") == F.col("known"), "left_semi")
+        counts = counts.withColumnRenamed("term", "counted")
         rarest = Window.partitionBy("phrase_id").orderBy("postings", "offset")
         whole = F.count("postings").over(Window.partitionBy("phrase_id")) == F.col("n")
         # A phrase with a term that no text has cannot occur.
-        self.anchors = (
+        self.anchors = written_table(
             terms.join(counts, F.col("term") == F.col("counted"))
             .withColumn("whole", whole)
             .withColumn("rank", F.row_number().over(rarest))
             .where("whole and rank <= 2")
-            .select("phrase_id", "n", "offset", F.col("term").alias("anchor"), "rank")
+            .select("phrase_id", "n", "offset", F.col("term").alias("anchor"), "rank"),
+            "anchors",
+        )
+        self.postings = written_table(self._posted(found, everything), "postings")
+
+    def _posted(self, found: DataFrame, everything: DataFrame | None) -> DataFrame:
+        """Occurrences of anchor terms: doc, text_key, position, term."""
+        place = ["doc", "text_key", "position", "term"]
+        anchors = self.anchors.select(F.col("anchor").alias("known")).distinct()
+        same = F.col("term") == F.col("known")
+        lookup = collect_lookup(anchors, TERM_ROWS)
+        if lookup is not None:
+            few = F.broadcast(found.sparkSession.createDataFrame(lookup, anchors.schema))
+            return found.join(few, same, "left_semi").select(place)
+        # The most frequent words never shuffle: a broadcast tells which of them are anchors.
+        frequent = everything.orderBy(F.desc("postings"), "term").limit(TERM_ROWS).select("term")
+        told = frequent.join(anchors.withColumn("wanted", F.lit(True)), same, "left").select(
+            F.col("term").alias("frequent"), F.coalesce("wanted", F.lit(False)).alias("wanted")
         )
+        told = found.join(F.broadcast(written_table(told, "frequent-words")), F.col("term") == F.col("frequent"), "left")
+        hot = told.where("wanted").select(place)
+        return hot.unionByName(told.where("wanted is null").join(anchors, same, "left_semi").select(place))
 
     def _candidates(self, slop: int) -> DataFrame:
         """Documents and starts at which the two rarest terms agree: doc, text_key, phrase_id, start."""

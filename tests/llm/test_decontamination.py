@@ -5,6 +5,7 @@ import re
 import pytest
 from common import ascii_lower, empty, hard, rows_of
 
+from flowlens.llm import decontamination
 from flowlens.llm.decontamination import PositionalIndex
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,8 +38,10 @@ def table(spark, rows, id_col="doc_id"):
     return spark.createDataFrame(rows, f"{id_col} long, text string")
 
 
-@pytest.mark.parametrize("size", [1, 3, 10])
-def test_equals_brute_force(spark, size):
+@pytest.mark.parametrize("size,rows", [(1, 50_000), (3, 50_000), (10, 50_000), (3, 5), (10, 5), (3, 0)])
+def test_equals_brute_force(spark, monkeypatch, size, rows):
+    """Few terms, of which a broadcast holds all, and more than it may hold."""
+    monkeypatch.setattr(decontamination, "TERM_ROWS", rows)
     rng = random.Random(size)
     vocabulary = ["the", "of", "and", "The", "OF", "été", "Été", "ÉTÉ", "x1", "7", "naïve", "end"] + [f"r{i}" for i in range(30)]
     join = lambda ws: "".join(w + rng.choice([" ", ", ", "-", "_", "\n", "'"]) for w in ws)
@@ -52,6 +55,9 @@ def test_equals_brute_force(spark, size):
         docs.append((d, join([w for p in parts for w in p])))
     index = PositionalIndex(table(spark, docs).repartition(4), table(spark, items, "item_id"), size)
     assert rows_of(index.report(), *COLUMNS) == brute(docs, items, size)
+    # The index holds the occurrences of the terms that the phrases are looked up by, and no others.
+    terms = {r["anchor"] for r in index.anchors.collect()}
+    assert index.postings.count() == sum(w in terms for _, text in docs for w in words(text))
 
 
 def test_proximity(spark):
