@@ -1,18 +1,28 @@
 """Not-modified revisits of web archives, resolved against the latest earlier full response.
 
-Records are matched by canonical URL in an as-of join. Time is cut into slices; within a slice a
-window finds the last full response before each revisit, and the last response of each earlier
-slice is carried over in a table of one row per URL and slice. So a URL with a large share of all
-records is spread over as many tasks as there are slices. Bodies take no part in the join by time:
-they are fetched afterwards by record id.
+Records are matched by canonical URL in an as-of join. Time is cut at its quantiles into slices of
+about equally many records; within a slice a window finds the last full response before each revisit,
+and the last response of each earlier slice is carried over in a table of one row per URL and slice.
+So a URL with a large share of all records is spread over as many tasks as there are slices, also
+where a few times are far off or crawls come in bursts; only records of one URL and one time stay
+together. Bodies take no part in the join by time: they are fetched afterwards by record id, and a
+body that very many revisits take is copied to as many parts as these are dealt into.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.shared import written_table
+
+# Slices of time, at least, and records of a slice beyond that.
 SLICES = 256
+SLICE_RECORDS = 1_000_000
+# Revisits that may meet on one body, and bodies at most that have more: then each has more than its share of all.
+BODY_REVISITS = 10_000
+HOT_BODIES = 25_000
 
 # Fields that a not-modified answer does not update in a stored response.
 KEPT_FIELDS = ["connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type",
@@ -59,7 +69,34 @@ def weak_tag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def time_slices(timed: DataFrame, slices: int | None) -> Bucketizer:
+    """Cuts ``micros`` into ``slice`` at its quantiles; equal times share a slice."""
+    if slices is None:
+        slices = max(SLICES, timed.count() // SLICE_RECORDS)
+    shares = [i / slices for i in range(1, slices)] or [0.5]
+    cuts = timed.agg(F.percentile_approx("micros", shares, max(10_000, 10 * slices))).first()[0] or [0]
+    inner = sorted({float(c) for c in cuts})
+    return Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="micros", outputCol="slice")
+
+
+def with_bodies(judged: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows with the body (body_of, body) that ``taken`` names; hot bodies are copied, their takers dealt out."""
+    takers = judged.where("taken is not null").groupBy(F.col("taken").alias("hot")).agg(F.count("*").alias("n"))
+    most = max(BODY_REVISITS, judged.where("taken is not null").count() // HOT_BODIES)
+    # Fewer than HOT_BODIES rows, as each stands for more than that share of the revisits.
+    hot = F.broadcast(takers.where(F.col("n") > most).select("hot", F.ceil(F.col("n") / most).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    copied = bodies.join(hot, F.col("body_of") == F.col("hot"), "left").select(
+        "body_of", "body", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("body_part")
+    )
+    dealt = judged.withColumn("row", F.monotonically_increasing_id()).join(hot, F.col("taken") == F.col("hot"), "left")
+    # Rows that take no body are spread by their own id instead of meeting under one empty key.
+    dealt = dealt.withColumn("part", F.pmod("row", parts)).withColumn("key", F.coalesce("taken", F.xxhash64("record_id", "row")))
+    wanted = (F.col("key") == F.col("body_of")) & (F.col("part") == F.col("body_part")) & F.col("taken").isNotNull()
+    return dealt.join(copied, wanted, "left")
+
+
+def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
     """Each not-modified revisit with the full response it stands for.
 
     ``records``: record_id (long), kind ('response' or 'revisit'), url, at (timestamp), status (int),
@@ -77,6 +114,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
 
     Null headers count as empty. Records repeated whole give repeated rows; of several bodies
     under one id the largest counts. Other columns are ignored. An empty table gives an empty result.
+    ``slices`` of time: by default one per million records, ``SLICES`` at least.
     """
     slim = records.select(
         F.col("record_id").cast("long").alias("record_id"),
@@ -87,14 +125,13 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         lowered(F.col("headers")).alias("headers"),
     )
     known = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
-    low, high = records.agg(F.min(F.unix_micros(F.col("at").cast("timestamp"))), F.max(F.unix_micros(F.col("at").cast("timestamp")))).first()
-    low, width = low or 0, max(1, ((high or 0) - (low or 0)) // slices + 1)
     full = (F.col("kind") == "response") & (F.col("status") == 200) & known
     response = F.when(
         full, F.struct(F.unix_micros("at").alias("time"), F.col("record_id").alias("id"), F.col("headers").alias("of"))
     )
-    timed = slim.withColumn("slice", F.floor((F.unix_micros("at") - low) / width)).withColumn("response", response)
+    timed = slim.withColumn("micros", F.unix_micros("at")).withColumn("response", response)
     timed = timed.where(known & (full | (F.col("kind") == "revisit")))
+    timed = time_slices(timed, slices).transform(timed)
     # A revisit sees what lies strictly before it, so at equal times it comes first.
     order = Window.partitionBy("canonical_url", "slice").orderBy("at", F.col("response").isNotNull(), "record_id")
     here = F.last("response", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -142,9 +179,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         .groupBy(F.col("record_id").cast("long").alias("body_of"))
         .agg(F.max("body").alias("body"))
     )
-    # Rows that take no body are spread by their own id instead of meeting under one empty key.
-    key = F.coalesce("taken", F.xxhash64("record_id", "canonical_url"))
-    wanted = (key == F.col("body_of")) & F.col("taken").isNotNull()
-    return judged.withColumn("taken", taken).join(bodies, wanted, "left").select(
+    judged = written_table(judged.withColumn("taken", taken), "judged-revisits")
+    return with_bodies(judged, bodies).select(
         "record_id", "canonical_url", "response_id", "outcome", "headers", "body"
     )

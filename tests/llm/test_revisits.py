@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.llm.revisits import KEPT_FIELDS, canonical_url, resolve_revisits
+from flowlens.llm import revisits
+from flowlens.llm.revisits import KEPT_FIELDS, canonical_url, resolve_revisits, time_slices, with_bodies
 
 SCHEMA = "record_id long, kind string, url string, at long, status int, headers map<string,string>, body string"
 
@@ -95,3 +96,38 @@ def test_hard_rows(spark):
         (4, None, "missing", ()), (6, None, "missing", ()),
     ]
     assert resolve_revisits(table(spark, [])).collect() == []
+
+
+def test_one_stray_time_and_a_hot_url(spark, monkeypatch):
+    """A third of all records on one URL, one time far off: slices stay small, hot bodies are dealt out."""
+    monkeypatch.setattr(revisits, "BODY_REVISITS", 20)
+    rng, rows = random.Random(7), []
+    for i in range(1500):
+        kind = "response" if rng.random() < 0.02 else "revisit"
+        url = "a.com/hot" if i % 3 == 0 else f"a.com/{rng.randrange(300)}"
+        at = -2_000_000_000 if i == 0 else 1_700_000_000 + rng.randrange(5000)
+        headers = {"ETag": rng.choice(['"1"', '"2"'])}
+        rows.append((i, kind, url, at, 200 if kind == "response" else 304, headers, f"body {i}"))
+    spelled = [(r, k, f"http://{u}", *rest) for r, k, u, *rest in rows]
+    records = table(spark, spelled)
+    got = resolve_revisits(records).collect()
+    assert sorted(((r["record_id"], r["response_id"], r["outcome"], r["headers"], r["body"]) for r in got), key=lambda x: x[0]) == brute(rows)
+    timed = records.select(F.unix_micros("at").alias("micros"))
+    sizes = [r["count"] for r in time_slices(timed, 50).transform(timed).groupBy("slice").count().collect()]
+    assert max(sizes) <= 2 * 1500 / 50
+
+
+def test_a_hot_body_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(revisits, "BODY_REVISITS", 10)
+    judged = spark.range(1000).select(F.col("id").alias("record_id"), F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("taken"))
+    bodies = spark.createDataFrame([(1, "x"), (950, "y")], "body_of long, body string")
+    got = with_bodies(judged, bodies)
+    assert got.count() == 1000 and got.where("body = 'x'").count() == 900 and got.where("body = 'y'").count() == 1
+    # 900 takers in 90 parts.
+    assert got.where("body = 'x'").groupBy("part").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_all_at_one_time(spark):
+    rows = [(i, "response" if i < 5 else "revisit", "http://a.com/", 10, 200, {}, "b") for i in range(50)]
+    got = resolve_revisits(table(spark, rows)).collect()
+    assert len(got) == 45 and {r["outcome"] for r in got} == {"missing"}
