@@ -85,15 +85,24 @@ def with_bodies(judged: DataFrame, bodies: DataFrame) -> DataFrame:
     most = max(BODY_REVISITS, judged.where("taken is not null").count() // HOT_BODIES)
     # Fewer than HOT_BODIES rows, as each stands for more than that share of the revisits.
     hot = F.broadcast(takers.where(F.col("n") > most).select("hot", F.ceil(F.col("n") / most).alias("parts")))
-    parts = F.coalesce("parts", F.lit(1).cast("long"))
-    copied = bodies.join(hot, F.col("body_of") == F.col("hot"), "left").select(
-        "body_of", "body", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("body_part")
-    )
     dealt = judged.withColumn("row", F.monotonically_increasing_id()).join(hot, F.col("taken") == F.col("hot"), "left")
+    dealt = dealt.withColumn("part", F.pmod("row", "parts"))
     # Rows that take no body are spread by their own id instead of meeting under one empty key.
-    dealt = dealt.withColumn("part", F.pmod("row", parts)).withColumn("key", F.coalesce("taken", F.xxhash64("record_id", "row")))
-    wanted = (F.col("key") == F.col("body_of")) & (F.col("part") == F.col("body_part")) & F.col("taken").isNotNull()
-    return dealt.join(copied, wanted, "left")
+    key = F.coalesce("taken", F.xxhash64("record_id", "row"))
+    single = dealt.where("part is null").join(largest(bodies), (key == F.col("body_of")) & F.col("taken").isNotNull(), "left")
+    copied = largest(bodies.join(hot, F.col("body_of") == F.col("hot"), "left_semi"))
+    copied = copied.join(hot, F.col("body_of") == F.col("hot")).select(
+        "body_of", "body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("body_part")
+    )
+    several = dealt.where("part is not null").join(
+        copied, (F.col("taken") == F.col("body_of")) & (F.col("part") == F.col("body_part")), "left"
+    )
+    return single.unionByName(several.drop("body_part"))
+
+
+def largest(bodies: DataFrame) -> DataFrame:
+    """One body per id."""
+    return bodies.groupBy("body_of").agg(F.max("body").alias("body"))
 
 
 def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
@@ -174,10 +183,8 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
         .alias("headers"),
     )
     taken = F.when(F.col("outcome").isin("resolved", "unconfirmed"), F.col("response_id"))
-    bodies = (
-        records.where((F.col("kind") == "response") & (F.col("status") == 200))
-        .groupBy(F.col("record_id").cast("long").alias("body_of"))
-        .agg(F.max("body").alias("body"))
+    bodies = records.where((F.col("kind") == "response") & (F.col("status") == 200)).select(
+        F.col("record_id").cast("long").alias("body_of"), "body"
     )
     judged = written_table(judged.withColumn("taken", taken), "judged-revisits")
     return with_bodies(judged, bodies).select(
