@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain
-from flowlens.operators import encoding, ensembles, sampling
+from flowlens.operators import encoding, ensembles, sampling, vocabulary
 from flowlens.operators.shared import scratch_path
 from flowlens.operators.smote import smote
 from flowlens.operators.stats import class_counts
@@ -101,6 +101,39 @@ def _(t):
     return long.withColumn("value", F.round("value", 6))
 
 
+# A category with a value of its own for nearly every row, beside the short ones.
+_WIDE = {**{c: f"lower(trim({c}))" for c in _CATEGORIES}, "endpoint": "'h' || md5(cast(flow_id as varchar))"}
+_SLOTS = (
+    "select row_number() over (order by k, word) as slot, feature, k, word from (select -1 as k, 'sbytes' as word, 'sbytes' as feature union all select 0, 'dbytes', 'dbytes' "
+    + " ".join(f"union all select distinct {i}, {w}, '{c}_' || {w} from cleaned where {w} is not null" for i, (c, w) in enumerate(_WIDE.items(), 1))
+    + ") x"
+)
+_WIDE_LONG = " union all ".join(
+    [f"select flow_id, '{c}' as feature, cast({c} as double) as value from cleaned where {c} <> 0" for c in domain.INTRUSION_NUMERIC]
+    + [f"select flow_id, '{c}_' || {w}, 1.0::double from cleaned where {w} is not null" for c, w in _WIDE.items()]
+)
+
+
+def _wide(t):
+    spec = encoding.FeatureSpec(categories=(*_CATEGORIES, "endpoint"))
+    rows = t.cleaned.withColumn("endpoint", F.concat(F.lit("h"), F.md5(F.col(_ID).cast("string"))))
+    prepared = encoding.prepare(rows, spec, encoding.fit_facts(rows, spec))
+    return spec, prepared, vocabulary.fit_vocabulary(prepared, spec.categories)
+
+
+@query("F1_one_hot_any_size", f"select flow_id, slot, l.feature, round(value, 6) as value from ({_WIDE_LONG}) l join ({_SLOTS}) s on l.feature = s.feature")
+def _(t):
+    """As F1, with a text column of as many values as rows and the vocabulary kept as a table."""
+    spec, prepared, words = _wide(t)
+    return vocabulary.slotted_features(prepared, words, spec.numbers, _ID).withColumn("value", F.round("value", 6))
+
+
+@query("F5_feature_table", f"select slot, feature from ({_SLOTS}) s")
+def _(t):
+    spec, _, words = _wide(t)
+    return vocabulary.feature_table(words, spec.numbers)
+
+
 def _rank(seed: str) -> str:
     return f"row_number() over (partition by {_LABEL} order by md5('{seed}:' || cast(flow_id as varchar)), flow_id)"
 
