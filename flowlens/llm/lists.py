@@ -54,10 +54,15 @@ class Distinct:
 
 
 def slices(values: np.ndarray, ranges: int, bits: int) -> list[tuple[int, int, int]]:
-    """Range number, begin and end of each range of the hash space that has values."""
-    cuts = np.array([((i << bits) + ranges - 1) // ranges for i in range(1, ranges)], dtype=np.uint64)
-    at = np.concatenate([[0], np.searchsorted(values, cuts), [len(values)]]).tolist()
-    return [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+    """Range number, begin and end of each range of the hash space that has values, of ``bits`` bits, ascending.
+
+    The work grows with the values, not with the number of ranges.
+    """
+    # value * ranges / 2**bits, in halves of 32 bits as the product has up to 95.
+    low = ((values & np.uint64(0xFFFFFFFF)) * np.uint64(ranges)) >> np.uint64(32)
+    of = ((values >> np.uint64(32)) * np.uint64(ranges) + low) >> np.uint64(bits - 32)
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    return list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)]))
 
 
 def merged(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
