@@ -216,6 +216,39 @@ def _(t):
     return grown.withColumns({"sbytes": F.round("sbytes", 6), "dbytes": F.round("dbytes", 6), "gap": F.round("gap", 9)})
 
 
+_LANES = "concat('lane-', cast(l_orderkey % 50 as varchar(20)))"
+_VPN_ID = "concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-', cast(cast(round(total_fiat * 100) as bigint) as varchar(20)))"
+_MEASURES = ", ".join(domain.VPN_COLUMNS)
+_APART = " + ".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in domain.VPN_COLUMNS)
+_BETWEEN = ", ".join(f"d.{c} + d.gap*(near.{c}-d.{c}) as {c}" for c in domain.VPN_COLUMNS)
+
+
+@query(
+    "R4_smote_eight_numbers",
+    f"""with lanes as (select {_LANES} as lane, {_VPN_ID} as flow_id, {_MEASURES} from vpn),
+    c as (select lane as k, count(*) as n from lanes group by 1), f as (select max(n) as floor from c),
+    s as (select greatest(1,least(5,min(n)-1)) as kk from c,f where n<floor),
+    m as (select lanes.*, n, floor, row_number() over (partition by lane order by md5('smote-42:' || flow_id), flow_id) as r from lanes join c on c.k=lane, f where n<floor),
+    v as (select lane, {_MEASURES}, count(*) as copies, cast(sum((floor-n)//n + case when r<=(floor-n)%n then 1 else 0 end) as bigint) as wanted, min(flow_id) as rep from m group by all),
+    pairs as (select a.rep, b.* exclude (rep, wanted, lane), {_APART} as dist, a.rep=b.rep as self from v a join v b on a.lane=b.lane where a.wanted>0),
+    each as (select * exclude (copies), unnest(generate_series(1, least(5, copies - case when self then 1 else 0 end))) as copy from pairs),
+    near as (select *, row_number() over (partition by rep order by self desc, dist, {_MEASURES}) as pos from each),
+    draws as (select v.*, unnest(generate_series(0, wanted-1)) as draw from v where wanted>0),
+    keyed as (select *, md5('42:' || rep || ':' || cast(draw as varchar)) as key from draws),
+    d as (select *, {_hex('key', 9)}/4294967296.0::double as gap from keyed),
+    made as (select d.lane, {_BETWEEN}, d.gap, true as synthetic from d, s, near where near.rep=d.rep and near.pos={_hex('key', 1)}%kk+1),
+    whole as (select lane, {_MEASURES}, 0.0::double as gap, false as synthetic from lanes union all select * from made)
+    select lane, {", ".join(f"round({c},8) as {c}" for c in domain.VPN_COLUMNS)}, round(gap,9) as gap, synthetic from whole""",
+    ("vpn",),
+)
+def _(t):
+    """All rows in fifty classes, each brought up to the largest by rows between neighbours in eight measures."""
+    lanes = t.vpn.select(F.expr(_LANES).alias("lane"), F.expr(_VPN_ID).alias(_ID), *domain.VPN_COLUMNS)
+    floor = class_counts(lanes, "lane").agg(F.max("n")).first()[0]
+    grown = smote(lanes, "lane", _ID, domain.VPN_COLUMNS, (), floor=floor)
+    return grown.withColumns({**{c: F.round(c, 8) for c in domain.VPN_COLUMNS}, "gap": F.round("gap", 9)})
+
+
 @query(
     "R4_smote_counts",
     f"with c as (select {_LABEL} as class, count(*) as n from cleaned group by 1), f as (select greatest(floor(median(n)),2000) as floor from c) select class, cast(greatest(n, floor) as bigint) as n from c, f",

@@ -170,6 +170,89 @@ def test_smote_does_not_depend_on_tiles_or_partitions(spark, monkeypatch):
     assert sorted(map(repr, run_smote(cloud(spark, parts=17)).select(columns).collect())) == expected
 
 
+def test_smote_does_not_depend_on_regions(spark, monkeypatch):
+    """Classes of more points than a region are cut by a tree over sampled points, to the same rows."""
+    columns = ["y", "a", "b", "c", "c_nb", "gap", "synthetic"]
+    expected = sorted(map(repr, run_smote(cloud(spark)).select(columns).collect()))
+    monkeypatch.setattr(neighbours, "_TILE_BITS", 3)
+    for region, regions in ((64, 1 << 14), (20, 3), (1, 8)):
+        monkeypatch.setattr(neighbours, "_REGION_POINTS", region)
+        monkeypatch.setattr(neighbours, "_REGIONS", regions)
+        assert sorted(map(repr, run_smote(cloud(spark)).select(columns).collect())) == expected
+
+
+def clumps(n, columns, seed=3):
+    """Points around forty centres, the columns of very different widths, two of them with few values."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(40, columns))[rng.integers(40, size=n)] + rng.normal(scale=0.2, size=(n, columns))
+    x *= 10.0 ** rng.integers(-1, 4, columns)
+    x[:, 0], x[:, 1] = np.round(x[:, 0]), 7.0
+    return x
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 10_000])
+def test_halves_are_a_partition(size):
+    x = clumps(1000, 5)
+    parts = neighbours._halves(x, size)
+    assert max(map(len, parts)) <= size
+    assert sorted(np.concatenate(parts).tolist()) == list(range(1000))
+
+
+def test_trees_cut_regions_of_like_size():
+    x = clumps(20_000, 8)
+    tree = neighbours._grow(x[::20], 50)
+    region = neighbours._descend(tree, x)
+    sizes = np.bincount(region)
+    assert 30 <= len(sizes) <= 110 and sizes.min() > 0 and sizes.max() <= 4 * 20_000 / 50
+    same = np.full((100, 3), 2.0)
+    assert set(neighbours._descend(neighbours._grow(same, 50), same)) == {0}
+    tied = np.repeat([[1.0, 0.0], [1.0, 1.0], [2.0, 0.0]], [500, 1, 1], axis=0)
+    regions = neighbours._descend(neighbours._grow(tied, 50), tied)
+    assert len(set(regions[:500])) == 1 and len(set(regions)) == 3
+
+
+def tiled_boxes(x, size):
+    """Boxes over halved points in tree order, as the driver builds them from groups of one tile."""
+    import pandas as pd
+
+    names = [f"x{i}" for i in range(x.shape[1])]
+    parts = neighbours._halves(x, size)
+    rows = [{"y": "a", "slice": 0, "part": i, "tiles": 1} for i in range(len(parts))]
+    for row, part in zip(rows, parts):
+        row |= {f"lo_{c}": v for c, v in zip(names, x[part].min(axis=0))}
+        row |= {f"hi_{c}": v for c, v in zip(names, x[part].max(axis=0))}
+    return parts, neighbours._box_arrays(pd.DataFrame(rows), "y", names)["a"]
+
+
+def test_reached_boxes_equal_brute_force():
+    x = clumps(600, 4)
+    _, boxes = tiled_boxes(x, 16)
+    lo, hi = boxes["levels"][0]
+    limit = np.random.default_rng(5).exponential(np.var(x), len(x))
+    limit[::50], limit[1::50] = np.inf, 0.0
+    gap = np.maximum(np.maximum(lo[None] - x[:, None], x[:, None] - hi[None]), 0)
+    expected = set(zip(*np.nonzero((gap**2).sum(axis=2) <= limit[:, None])))
+    got = list(zip(*neighbours._reached(x, limit, boxes["levels"])))
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_visits_per_point_stay_few_in_eight_columns(spark, tables):
+    """Tiles that a point has to ask beside its own, on the eight measures: few, and no more with twice the points."""
+    from flowlens.functions import domain
+
+    x = tables.vpn.select(*domain.VPN_COLUMNS).distinct().toPandas().to_numpy(float)
+    asked = []
+    for points in (x[::2], x):
+        parts, boxes = tiled_boxes(points, 16)
+        reach = np.empty(len(points))
+        for part in parts:
+            within = ((points[part][:, None] - points[part][None]) ** 2).sum(axis=2)
+            reach[part] = np.sort(within, axis=1)[:, min(5, len(part) - 1)]
+        query, _ = neighbours._reached(points, reach, boxes["levels"])
+        asked.append(len(query) / len(points) - 1)
+    assert asked[1] < 15 and asked[1] < 1.5 * asked[0], asked
+
+
 def test_smote_takes_any_number_of_classes(spark, monkeypatch):
     from flowlens.operators import shared
 
