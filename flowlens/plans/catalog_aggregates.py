@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from flowlens.functions import domain
 from flowlens.operators import cleaning, evaluation, stats
 from flowlens.operators.drift import drift
+from flowlens.operators.shared import scratch_path
 from flowlens.operators.soc import percentages, soc_metrics, top_attack
 from flowlens.plans.registry import query
+from flowlens.sources.sinks import write_clean
+from flowlens.streaming.arrivals import captures_stream
+from flowlens.streaming.windows import drift_windows
 
 _PAIR = ("attack_cat", "predicted_attack")
 
@@ -195,6 +199,37 @@ def _(t):
     return _rounded(drift(t.baseline, t.second_half, "attack_cat", by=["service"]), "js_distance")
 
 
+_TIMED = "select e.ts, s.service, s.predicted_attack as label from scored s join events e on e.event_id = s.flow_id"
+
+
+@query(
+    "A13_drift_windows",
+    f"""with timed as ({_TIMED}), days as (select epoch_us(ts)//86400000000*86400 as window_start, label from timed),
+    labels as (select * from days where (window_start+86400)*1000 <= (select epoch_us(max(ts))//1000-6*3600000 from timed)),
+    {_drift_sql("labels", "window_start")} select window_start, {_VERDICT} from d""",
+    ("baseline", "scored"),
+)
+def _(t):
+    """Captures that arrive in two parts, judged per day of event time: the days that the watermark has closed."""
+    place = scratch_path(t.spark, "arrivals")
+    instant = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+    times = t.events.select(F.col("event_id").alias("flow_id"), F.expr(instant).alias("micros"))
+    rows = t.scored.join(times, "flow_id").select("micros", "service", "predicted_attack")
+    middle = rows.agg(F.expr("(min(micros) + max(micros)) / 2")).scalar()
+    parts = {"early": F.col("micros") < middle, "late": F.col("micros") >= middle}
+    for name, part in parts.items():
+        write_clean(rows.where(part), f"{place}/landing/{name}", "csv")
+        arrived = captures_stream(t.spark, f"{place}/landing/*", rows.columns)
+        timed = arrived.withColumn("time", F.timestamp_micros(F.col("micros").cast("long")))
+        run = drift_windows(
+            timed, t.baseline, f"{place}/out", f"{place}/state", "predicted_attack", "time", "1 day", "6 hours"
+        )
+        run.awaitTermination()
+    verdicts = t.spark.read.parquet(f"{place}/out/drift")
+    named = verdicts.select(F.unix_seconds("window_start").alias("window_start"), "js_distance", "threshold", "drift_detected", "drift_status")
+    return _rounded(named, "js_distance")
+
+
 _PERCENT = """count(*) as total_records, count(predicted_attack) as total_attacks,
  round(count(predicted_attack)/count(*)*100,{d}) as attack_percentage,
  round(count(*) filter (lower(predicted_attack) not in ('normal','unknown'))/count(*)*100,{d}) as malicious_percentage,

@@ -387,6 +387,14 @@ def _(t):
     return scored.select(_ID, "service", "state", "sbytes", predicted)
 
 
+@query("L8_score_confidence", "select flow_id, attack_cat as predicted_attack, true as sure from ruled", ("ruled",))
+def _(t):
+    """Every cleaned row, its class, and that the model gives that class more than half."""
+    scored = score_intrusion(t.ruled.drop(_LABEL, "label"), _stored(t, "forest_baseline"), confidence=True)
+    sure = (F.col("predicted_attack_confidence") > 0.5) & (F.col("predicted_attack_confidence") <= 1)
+    return scored.select(_ID, "predicted_attack", sure.alias("sure"))
+
+
 @query(
     "L9_score_vpn",
     "select l_orderkey, l_linenumber, max_flowiat, case when max_flowiat > 0.04 then 'VPN' else 'Non-VPN' end as predicted_vpn from vpn",

@@ -74,9 +74,13 @@ class Tables:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._read("events")
+
     @cached_property
     def flows(self) -> DataFrame:
-        return self.spark.sql(FLOWS.replace("from events", "from {events}"), events=self._read("events"))
+        return self.spark.sql(FLOWS.replace("from events", "from {events}"), events=self.events)
 
     @cached_property
     def vpn(self) -> DataFrame:

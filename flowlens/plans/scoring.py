@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from flowlens.functions import domain
 from flowlens.operators import schema
@@ -39,8 +41,15 @@ IDS_INCOMPLETE = "IDS prediction skipped: missing IDS columns {missing}."
 NO_MODEL = "{module} prediction skipped: no model given."
 
 
-def _apply(df: DataFrame, trained: Trained, source: DataFrame, impute_from: str, by: Sequence[str] = ()) -> DataFrame:
-    """Original columns plus the prediction. ``source`` is the model's view of the same rows."""
+# Ending of the column that tells how sure a model is of its class.
+CONFIDENCE = "_confidence"
+
+
+def _apply(
+    df: DataFrame, trained: Trained, source: DataFrame, impute_from: str, by: Sequence[str] = (), confidence: bool = False
+) -> DataFrame:
+    """Original columns plus the prediction, with ``confidence`` also the share the model gives to the predicted
+    class. ``source`` is the model's view of the same rows."""
     medians = None
     present = [c for c in trained.spec.numbers if c in source.columns]
     if impute_from == "input" and present:
@@ -49,7 +58,13 @@ def _apply(df: DataFrame, trained: Trained, source: DataFrame, impute_from: str,
         else:
             medians = fit_medians(source, present)
     prepared = prepare(source, trained.spec, trained.facts, trained.recipe.scoring_fill, medians)
-    return trained.model.transform(prepared).select(*df.columns, trained.recipe.output)
+    scored = trained.model.transform(prepared)
+    if not confidence:
+        return scored.select(*df.columns, trained.recipe.output)
+    share = F.col("probability")
+    if not isinstance(scored.schema["probability"].dataType, ArrayType):
+        share = vector_to_array(share)
+    return scored.select(*df.columns, trained.recipe.output, F.array_max(share).alias(trained.recipe.output + CONFIDENCE))
 
 
 def _attach_medians(df: DataFrame, columns: Sequence[str], by: list[str]) -> tuple[DataFrame, dict]:
@@ -62,18 +77,20 @@ def _attach_medians(df: DataFrame, columns: Sequence[str], by: list[str]) -> tup
 
 
 def score_intrusion(
-    df: DataFrame, trained: Trained, impute_from: str = "input", by: Sequence[str] = ()
+    df: DataFrame, trained: Trained, impute_from: str = "input", by: Sequence[str] = (), confidence: bool = False
 ) -> DataFrame:
     """Add ``predicted_attack``. Missing numbers take the median of the scored table itself, per key
     if ``by`` names one (as the source file), or with ``impute_from="train"`` the stored one, which
-    saves a pass."""
+    saves a pass. ``confidence`` adds ``predicted_attack_confidence``."""
     schema.require_columns(df, domain.INTRUSION_COLUMNS, "intrusion scoring")
-    return _apply(df, trained, df, impute_from, by)
+    return _apply(df, trained, df, impute_from, by, confidence)
 
 
-def score_vpn(df: DataFrame, trained: Trained, impute_from: str = "input", by: Sequence[str] = ()) -> DataFrame:
-    """Add ``predicted_vpn``; a feature the table lacks counts 0."""
-    return _apply(df, trained, df, impute_from, by)
+def score_vpn(
+    df: DataFrame, trained: Trained, impute_from: str = "input", by: Sequence[str] = (), confidence: bool = False
+) -> DataFrame:
+    """Add ``predicted_vpn``; a feature the table lacks counts 0. ``confidence`` adds ``predicted_vpn_confidence``."""
+    return _apply(df, trained, df, impute_from, by, confidence)
 
 
 @dataclass
@@ -94,7 +111,8 @@ class ScoreReport:
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.scored.columns if c not in (ATTACK, VPN, KIND)]
+        added = (ATTACK, VPN, KIND, f"{ATTACK}{CONFIDENCE}", f"{VPN}{CONFIDENCE}")
+        return [c for c in self.scored.columns if c not in added]
 
     @property
     def has_predictions(self) -> bool:
@@ -129,9 +147,12 @@ def score_auto(
     vpn: Trained | None = None,
     impute_from: str = "input",
     by: Sequence[str] = (),
+    confidence: bool = False,
 ) -> ScoreReport:
     """Detect the schema, run the models it calls for, and collect the warnings.
 
+    ``confidence`` adds how sure each model is of its class.
+
     Spark evaluates later, so whatever can fail is checked on the columns before a plan is built.
     """
     table, warnings = schema.dedupe_columns(df)
@@ -154,14 +175,14 @@ def score_auto(
         elif intrusion is None:
             warnings.append(NO_MODEL.format(module="IDS"))
         else:
-            scored = score_intrusion(scored, intrusion, impute_from, by)
+            scored = score_intrusion(scored, intrusion, impute_from, by, confidence)
             report.distribution = intrusion.distribution
     if kind in ("vpn", "mixed"):
         if vpn is None:
             warnings.append(NO_MODEL.format(module="VPN"))
         else:
             source = schema.drop_foreign_columns(scored) if kind == "mixed" else scored
-            scored = _score_second(scored, source, vpn, impute_from, by)
+            scored = _score_second(scored, source, vpn, impute_from, by, confidence)
     if kind == "ids":
         warnings.append(VPN_SKIPPED.format(n=len(found.ids_matched)))
     if kind == "vpn":
@@ -197,13 +218,14 @@ def score_captures(
 
 
 def _score_second(
-    scored: DataFrame, source: DataFrame, vpn: Trained, impute_from: str, by: Sequence[str] = ()
+    scored: DataFrame, source: DataFrame, vpn: Trained, impute_from: str, by: Sequence[str], confidence: bool
 ) -> DataFrame:
     """Score with columns hidden from the model but kept in the result."""
     hidden = [c for c in scored.columns if c not in source.columns]
     if not hidden:
-        return score_vpn(scored, vpn, impute_from, by)
+        return score_vpn(scored, vpn, impute_from, by, confidence)
     # Hidden columns only matter when the model has features of those names.
     clash = [c for c in hidden if c in (*vpn.spec.numbers, *vpn.spec.categories)]
     renamed = scored.withColumnsRenamed({c: f"{PREFIX}hidden_{c}" for c in clash})
-    return score_vpn(renamed, vpn, impute_from, by).withColumnsRenamed({f"{PREFIX}hidden_{c}": c for c in clash})
+    found = score_vpn(renamed, vpn, impute_from, by, confidence)
+    return found.withColumnsRenamed({f"{PREFIX}hidden_{c}": c for c in clash})

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import encoding
+from flowlens.operators.encoding import prepare
+from flowlens.operators.stats import fit_medians
 from flowlens.plans import jobs, recipes
 from flowlens.plans.scoring import score_auto, score_intrusion, score_vpn
 
@@ -124,6 +126,30 @@ def test_imputation_source(spark, baseline):
     assert score_intrusion(df, baseline, impute_from="train").count() == 4
 
 
+@pytest.mark.parametrize("name", ["forest_baseline", "perceptron"])
+def test_confidence_is_the_share_of_the_predicted_class(flows, name):
+    """For tree ensembles, whose shares are arrays, and for vector models alike."""
+    params = TREES if name == "forest_baseline" else {"maxIter": 20}
+    trained = recipes.train(recipes.RECIPES[name], flows, **params)
+    rows = score_intrusion(flows, trained, confidence=True)
+    assert rows.columns == [*flows.columns, "predicted_attack", "predicted_attack_confidence"]
+    prepared = prepare(flows, trained.spec, trained.facts, trained.recipe.scoring_fill, fit_medians(flows, trained.spec.numbers))
+    shares = {r["flow_id"]: list(r["probability"]) for r in trained.model.transform(prepared).select("flow_id", "probability").collect()}
+    for r in rows.collect():
+        share = shares[r["flow_id"]]
+        assert r["predicted_attack_confidence"] == max(share)
+        assert share[trained.classes.index(r["predicted_attack"])] == max(share)
+
+
+def test_confidence_of_both_models(spark, flows, vpn_rows, baseline, vpn_model):
+    both = flows.join(vpn_rows.drop("class1").withColumnRenamed("flow_id", "vpn_id"), F.col("flow_id") == F.col("vpn_id"))
+    report = score_auto(both, baseline, vpn_model, confidence=True)
+    added = {"predicted_attack", "predicted_vpn", "predicted_attack_confidence", "predicted_vpn_confidence"}
+    assert set(report.scored.columns) - set(both.columns) == added and report.columns == both.columns
+    low, high = report.scored.agg(F.min("predicted_vpn_confidence"), F.max("predicted_vpn_confidence")).first()
+    assert low is None or 0.5 <= low <= high <= 1
+
+
 def test_vpn_scoring_fills_absent_features(vpn_rows, vpn_model):
     part = vpn_rows.select("duration", "total_fiat", "total_biat", "min_flowiat")
     scored = score_vpn(part, vpn_model)
