@@ -38,14 +38,14 @@ def _(t):
 @query(
     "S1_read_quoted",
     """select cast(flow_id as varchar) as flow_id, service || ', "' || state || '"' as quoted,
-    case when flow_id%3=0 then service || chr(10) || 'next' else service end as lines from flows where state<>''""",
+    case when flow_id%3=0 then service || chr(10) || 'next' else service end as lines from flows""",
     ("flows",),
 )
 def _(t):
     """Text with commas, quotes and line breaks comes back as it was."""
     quoted = F.concat("service", F.lit(', "'), "state", F.lit('"')).alias("quoted")
     lines = F.when(F.col("flow_id") % 3 == 0, F.concat("service", F.lit("\nnext"))).otherwise(F.col("service"))
-    rows = t.flows.where("state <> ''").select("flow_id", quoted, lines.alias("lines"))
+    rows = t.flows.select("flow_id", quoted, lines.alias("lines"))
     return captures.read_flows(t.spark, _export(rows, _place(t, "quoted")))
 
 
@@ -291,11 +291,14 @@ _RULE = "case when state in ('CON','FIN','INT') then 'Normal' when service in ('
 
 @query(
     "E2_corpus_to_scores",
-    f"""with t as (select {_RULE} as class, coalesce(state,'')<>'' as known from flows) select class, count(*) as scored, true as learned from t where known group by class""",
+    f"""with t as (select {_RULE} as class, coalesce(state,'')<>'' as known from flows) select case when known then class end as class, count(*) as scored, case when known then true end as learned from t group by 1, known""",
     ("flows",),
 )
 def _(t):
-    """Captures, corpus, training, evaluation, scoring: the classes found in the captures, and that each was learned."""
+    """Captures, corpus, training, evaluation, scoring: the classes found in the captures, and that each was learned.
+
+    Rows without a state are scored, to a class that no rule tells: they are counted under none.
+    """
     place = _place(t, "chain")
     named = t.flows.withColumn("attack_cat", F.expr(_RULE)).withColumn("label", F.lit("1"))
     _export(named, f"{place}/captures")
@@ -303,8 +306,9 @@ def _(t):
     trained = jobs.train_recipe(corpus, "forest_baseline", f"{place}/model")
     recall = evaluate(trained)["per_class_recall"].select("class", (F.col("recall") >= 0.95).alias("learned"))
     report, _, _ = jobs.score_files(t.spark, f"{place}/captures", f"{place}/out", f"{place}/model")
-    scored = report.scored.where("state <> ''").groupBy(F.col("predicted_attack").alias("class")).agg(F.count("*").alias("scored"))
-    return scored.join(recall, "class")
+    told = F.when(F.coalesce("state", F.lit("")) != "", F.col("predicted_attack"))
+    scored = report.scored.where("predicted_attack is not null").groupBy(told.alias("class")).agg(F.count("*").alias("scored"))
+    return scored.join(recall, "class", "left")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from flowlens.functions import domain
@@ -504,18 +506,20 @@ def _(t):
     both = flows.join(t.vpn.drop("class1", "l_linenumber"), F.col(_ID) == F.col("l_orderkey")).drop("l_orderkey")
     tables = {"ids": flows, "vpn": t.vpn.drop("class1"), "mixed": both, "other": t.flows.select(_ID, "proto", "service", "state")}
     for name, df in tables.items():
-        sinks.write_clean(df.coalesce(1), f"{place}/captures/kind={name}", "csv")
-    report, metrics, _ = jobs.score_files(
+        sinks.write_clean(df, f"{place}/captures/kind={name}", "csv")
+    report, _, _ = jobs.score_files(
         t.spark, f"{place}/captures", f"{place}/out", f"{place}/ids-model", f"{place}/vpn-model", by=["source_file"]
     )
+    # Any number of files per folder; the stored predictions are rolled up by the folder they came from.
+    folder = F.regexp_extract("source_file", "kind(?:=|%3D)([a-z]+)", 1)
+    metrics = replace(report, scored=report.scored.withColumn("folder", folder)).soc(["folder"])
     quiet = ~F.col("drift_detected") & (F.col("threat_level") == "Low") & (F.col("risk_score") <= 20)
     judged = (
         F.when(F.col("folder") == "other", (F.col("threat_level") == "N/A") & (F.col("risk_score") == 0))
         .when(F.col("folder") == "vpn", quiet & F.col("js_distance").isNull())
         .otherwise(F.col("js_distance").between(0, 0.8326) & (F.col("risk_score") >= 50))
     )
-    named = metrics.withColumn("folder", F.regexp_extract("source_file", "kind(?:=|%3D)([a-z]+)", 1))
-    return named.select(
+    return metrics.select(
         "folder",
         "total_records",
         "total_attacks",
