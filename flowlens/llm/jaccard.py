@@ -249,13 +249,14 @@ def ngram_jaccard_join(
     A document's set holds the distinct runs of ``words`` words of its whole text (A-Z in lower case,
     words between ASCII white space); with fewer words, the whole sequence is its one element. Returns
     doc_id, text_key (hash of the text), n_shingles, component_id (smallest doc_id reachable by links,
-    itself included) and n_links (other documents it links with, copies counted). Sets are compared by
-    64-bit shingle hashes.
+    itself included), n_links (other documents it links with, copies counted) and representative (whether it
+    is the one to keep of its component: that of smallest doc_id and, where texts share it, text_key). Sets are
+    compared by 64-bit shingle hashes.
 
     Documents without words (null or empty text) link with nothing. Rows without an id take no part:
     they come back with null component_id and no links. Repeated rows are copies of each other. Of
-    rows that share an id but not a text, each counts by its own text. Other columns are ignored. An
-    empty table gives an empty result.
+    rows that share an id but not a text, each counts by its own text. Rows without an id or words are
+    representative. Other columns are ignored. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written_table(
@@ -268,7 +269,10 @@ def ngram_jaccard_join(
     classes = written_table(
         sets.where("doc_id is not null and n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
+        .agg(
+            F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")
+        )
+        .withColumn("doc_id", F.col("first.doc_id"))
         .withColumn("node", F.monotonically_increasing_id()),
         "set-classes",
     )
@@ -324,7 +328,7 @@ def ngram_jaccard_join(
     )
     roots = connected_components(found.select("node", "root"))
     whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    least = whole.join(classes, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = whole.join(classes, "node").groupBy("root").agg(F.min("first").alias("least"))
     component = whole.join(least, "root").select("node", "least")
     linked = found.groupBy(F.col("node").alias("of")).agg(F.sum("linked").alias("linked"))
     named = (
@@ -332,15 +336,17 @@ def ngram_jaccard_join(
         .join(linked, F.col("node") == F.col("of"), "left")
         .select(
             "set_key",
-            F.coalesce("least", "doc_id").alias("root"),
+            F.coalesce("least", "first").alias("root"),
             (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"),
         )
     )
     known = F.col("doc_id").isNotNull()
+    mine = F.struct("doc_id", "text_key") == F.col("root")
     return sets.join(named, "set_key", "left").select(
         "doc_id",
         "text_key",
         "n_shingles",
-        F.when(known, F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"),
+        F.when(known, F.when(F.col("n_shingles") > 0, F.col("root.doc_id")).otherwise(F.col("doc_id"))).alias("component_id"),
         F.when(known & (F.col("n_shingles") > 0), F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(known & (F.col("n_shingles") > 0), mine).otherwise(F.lit(True)).alias("representative"),
     )

@@ -79,7 +79,7 @@ from documents left join kept on kept.doc_id = documents.doc_id
 
 @query("op1_ngram_jaccard_join", OP1_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_jaccard_join(documents(spark, folder), words=3, threshold=90).drop("text_key")
+    return ngram_jaccard_join(documents(spark, folder), words=3, threshold=90).drop("text_key", "representative")
 
 
 @query("op4_mix_sources")

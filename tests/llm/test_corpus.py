@@ -3,15 +3,20 @@
 import os
 import re
 import sys
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from common import SMALL, SPACES, ascii_lower
+from public_tokenizers import path
+from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from flowlens.llm.queries import ORACLES, QUERIES  # noqa: E402
+from flowlens.llm.queries import END_ID, ORACLES, QUERIES, WORD_TOKENIZER, clean_labels  # noqa: E402
+from flowlens.llm.resampling import importance_resample  # noqa: E402
 
 
 def test_every_operator_has_one_query():
@@ -61,6 +66,8 @@ def test_pipeline(spark, tmp_path):
     assert sum(d in selected for d in clean) / len(clean) > 0.85
     assert not any(d in selected for d, (q, _) in labels.items() if not q)
     assert all(selected[d] == raw[d] for d in selected)
+    drawn = importance_resample(seen["quality_classifier"], clean_labels(spark, SMALL)).where("kept").collect()
+    assert selected.keys() == {r["doc_id"] for r in drawn}
 
     distinct = text(seen["benchmark_decontamination"])
     sets = jaccard_sets(selected.items(), 5)
@@ -86,3 +93,7 @@ def test_pipeline(spark, tmp_path):
     tokens = sorted(docs.collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in tokens] == sorted(r["doc_id"] for r in mixed)
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(tokens, tokens[1:]))
+    plain = Tokenizer.from_file(path(WORD_TOKENIZER))
+    ids = [(r["doc_id"], [*plain.encode(r["text"], add_special_tokens=False).ids, END_ID]) for r in mixed]
+    expected = sorted((doc, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for doc, x in ids)
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokens) == expected

@@ -130,6 +130,21 @@ def test_texts_under_one_id_are_apart(spark):
     assert kept == sorted([(5, rows[0][1]), (5, rows[2][1]), (3, near["y"])], key=repr)
 
 
+def test_near_copies_under_one_id_leave_one(spark):
+    """Of linked texts one stays, also where they share an id, or id and words; what is not linked stays too."""
+    words = [f"x{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"z{i}" for i in range(40))
+    rows = [(5, text), (5, near), (5, text.upper()), (5, other), (5, text), (8, near), (None, text), (6, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_jaccard_join(df, 5, 80).where("representative and doc_id = 5 and n_links > 0").select("text_key").distinct()
+    keys = {r["k"] for r in spark.createDataFrame([(t,) for t in (text, near, text.upper())], "t string").select(F.xxhash64("t").alias("k")).collect()}
+    assert [r["text_key"] for r in got.collect()] == [min(keys)]
+    kept = rows_of(drop_near_duplicates(spark, df, ""), "doc_id", "text")
+    linked = [r for r in kept if r[0] == 5 and r[1] != other]
+    assert len(linked) == 1 and len(kept) == 5
+    assert sorted(map(repr, set(kept) - set(linked))) == sorted(map(repr, {(5, other), (None, text), (6, ""), (6, None)}))
+
+
 def test_shared_ids_equal_brute_force(spark):
     rows = [((i // 3, i), text) for i, text in copies(4)]
     df = spark.createDataFrame([(doc, text) for (doc, _), text in rows], "doc_id long, text string").repartition(5)

@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from common import empty, hard
 from pyspark.sql import functions as F
@@ -50,6 +53,34 @@ def test_the_sample_follows_the_weights(spark):
     assert len(picks[0]) == 500 and picks[0] == picks[1] and 80 < len(picks[0] & picks[2]) < 180
 
 
+def test_weights_and_sample_equal_brute_force(spark):
+    """Both models counted in plain Python from each text's features, weights summed, noise added, all sorted."""
+    rows, labels = corpus(seed=8, n=400)
+    rows += [(1000, None), (1001, ""), rows[7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, target boolean")
+    buckets = [[b for _, found, _ in resampling.features(pa.array([text or ""])) for b in found.tolist()] for _, text in rows]
+    target = {doc for doc, told in labels if told}
+    everything, wanted = Counter(), Counter()
+    for (doc, _), found in zip(rows, buckets):
+        everything.update(found)
+        wanted.update(found if doc in target else ())
+    share = sum(wanted.values()) / sum(everything.values())
+    ratio = {}
+    for bucket, n in everything.items():
+        expected = n * share
+        if abs(wanted[bucket] - expected) / math.sqrt(expected + 1) > resampling.DEVIATIONS:
+            ratio[bucket] = math.log((wanted[bucket] + resampling.PSEUDO_COUNT) / (expected + resampling.PSEUDO_COUNT))
+    weights = {doc: sum(ratio.get(b, 0.0) for b in found) for (doc, _), found in zip(rows, buckets)}
+    got = importance_resample(docs, known, seed=4).withColumn("noise", resampling.gumbel(4, F.col("doc_id"), F.col("text_key"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["log_weight"] == pytest.approx(weights[r["doc_id"]], abs=1e-3)
+    order = sorted((r["log_weight"] + r["noise"] for r in got), reverse=True)
+    k = math.floor(len(target) / len(labels) * len(rows) + 0.5)
+    assert {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in got if r["log_weight"] + r["noise"] >= order[k - 1]}
+
+
 @pytest.mark.parametrize("k", [1, 17, 4999, 5000])
 def test_kth_largest(spark, monkeypatch, k):
     monkeypatch.setattr(resampling, "LAST_ROWS", 20)
