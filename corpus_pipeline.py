@@ -27,8 +27,9 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; rows repeated whole go."""
-    linked = ngram_jaccard_join(docs, words=5, threshold=80).where("component_id <> doc_id")
+    """One document of each group of near copies stays, the one with the smallest doc_id, also where several of
+    them share it; rows repeated whole go."""
+    linked = ngram_jaccard_join(docs, words=5, threshold=80).where("not representative")
     kept = without(docs, linked).withColumn("__key", F.xxhash64("text"))
     return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
 
