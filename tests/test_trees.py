@@ -3,11 +3,13 @@ from collections import Counter
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import ensembles, trees
 from flowlens.operators.ensembles import Bags, bag_class_counts, bag_key, bag_weights, fit_boosted, fit_forest, quantile_edges
+from flowlens.operators.shared import spread
 from flowlens.operators.trees import LEAF, Growth, grow, merged_rows, nodes_of
 from flowlens.plans import recipes
 
@@ -199,3 +201,40 @@ def test_bag_rows_carry_their_weights():
     source = Bags(2, 2, np.array([[1.0, 3.0], [2.0, 4.0]]))
     assert source.sums(1, np.array([[1, 2], [0, 1]], np.int16)).tolist() == [[0, 8, 1], [2, 0, 1]]
     assert trees.scrambled(1, np.arange(3)).shape == (3,)
+
+
+def test_columns_looked_at_first_find_the_split_that_all_columns_give(monkeypatch):
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 30, (4000, 6)).astype(np.int16)
+    bins[:, 5] %= 4
+    label = ((bins[:, 0] > 12) ^ (bins[:, 5] == 2)).astype(int)
+    growth = Growth((0, 0, 0, 0, 0, 4), 9, 5, per_node=2, least_rows=2)
+    assert growth.first_columns(1, np.arange(1, 200)).mean() < 0.9
+    got = [grow(growth, tree, 1, bins, class_sums(label, 2)) for tree in range(4)]
+    monkeypatch.setattr(Growth, "first_columns", lambda self, tree, ids: np.ones((len(ids), len(self.values)), bool))
+    assert got == [grow(growth, tree, 1, bins, class_sums(label, 2)) for tree in range(4)]
+
+
+def test_a_task_sends_the_sums_of_one_tree_at_a_time_over_all_its_batches():
+    rng = np.random.default_rng(2)
+    bins, label = sample(rng, 3000)
+    growth = Growth((0, 0, 5), 7, 42, per_node=1)
+    batches = [
+        pa.record_batch(
+            [pa.array(rng.integers(1, 1 << 30, 100)), pa.array(label[a : a + 100].astype(np.int32)), pa.array(bins[a : a + 100].tolist(), pa.list_(pa.int16()))],
+            ["key", "label", "bins"],
+        )
+        for a in range(0, 3000, 100)
+    ]
+    nodes = frozenset((t, 1) for t in range(20))
+    sent = list(trees._send_cells(growth, Bags(20, 3), {}, nodes, frozenset())(iter(batches)))
+    assert [set(b.column("tree").to_pylist()) for b in sent] == [{t} for t in range(20)]
+    looked = sum(int(growth.first_columns(t, np.array([1])).sum()) for t in range(20))
+    assert sum(b.num_rows for b in sent) == looked < 60
+    again = list(trees._send_cells(growth, Bags(20, 3), {}, nodes, nodes)(iter(batches)))
+    assert sum(b.num_rows for b in again) == 60
+
+
+def test_rows_of_trees_are_spread_over_all_cores(spark):
+    few = spark.range(1000).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
