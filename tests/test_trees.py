@@ -238,3 +238,15 @@ def test_a_task_sends_the_sums_of_one_tree_at_a_time_over_all_its_batches():
 def test_rows_of_trees_are_spread_over_all_cores(spark):
     few = spark.range(1000).coalesce(1)
     assert spread(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nodes_split_one_by_one_and_by_level_alike(monkeypatch):
+    bins, label = sample(np.random.default_rng(5), 6000)
+    growth = Growth((0, 0, 5), 9, 3, per_node=2, least_rows=3)
+    sums = class_sums(label) * [2.0, 1.0, 3.0, 1.0]
+    found = []
+    for many in (1, 300, 10**9):
+        monkeypatch.setattr(trees, "MANY_ROWS", many)
+        found.append(sorted(grow(growth, 1, 1, bins, sums), key=lambda r: r[0]))
+    assert [r[:3] for r in found[0]] == [r[:3] for r in found[1]] == [r[:3] for r in found[2]]
+    assert all(a[3] == pytest.approx(b[3]) for a, b in zip(found[0], found[2]) if a[1] == LEAF)
