@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import encoding
+from flowlens.operators import encoding, ensembles
 from flowlens.operators.encoding import prepare
+from flowlens.operators.ensembles import TreeModel
 from flowlens.operators.stats import fit_medians
 from flowlens.plans import jobs, recipes
 from flowlens.plans.scoring import score_auto, score_intrusion, score_vpn
@@ -291,3 +292,23 @@ def test_a_version_that_is_not_whole_is_never_loaded(spark, tmp_path, baseline,
     assert recipes.load_recipe(spark, path)[0].classes == other.classes
     assert recipes.load_recipe(spark, path, version=1)[0].classes == baseline.classes
     assert recipes.load_recipe(spark, path, version=3)[0] is None and recipes.recipe_versions(spark, path) == [1, 2]
+
+
+def test_smote_forest_is_grown_from_shares_of_category_values(spark, flows, tmp_path):
+    """The rebalanced forest is an ensemble over bins, like the others, and scores alike once stored."""
+    trained = recipes.train(recipes.RECIPES["forest_smote"], flows, numTrees=5, maxDepth=6)
+    assert isinstance(trained.model, TreeModel) and not any(trained.model.growth.values)
+    recipes.save_recipe(trained, str(tmp_path / "m"))
+    loaded, _ = recipes.load_recipe(spark, str(tmp_path / "m"))
+    a, b = (score_intrusion(flows, t).select("flow_id", "predicted_attack") for t in (trained, loaded))
+    assert a.exceptAll(b).isEmpty() and a.count() == flows.count()
+
+
+def test_shares_of_category_values(spark):
+    spec = recipes.FeatureSpec((), ("w",))
+    rows = [("a", "a", 0.0), ("a", "a", 0.4), ("a", "b", 0.0), ("a", "b", 0.25), ("b", "c", 0.9999), (None, "c", 0.5)]
+    df = spark.createDataFrame(rows, "x_w string, x_w_nb string, gap double")
+    fit = spark.createDataFrame([("a",), ("b",), ("c",)], "x_w string")
+    encoder = ensembles.fit_bins(fit, spec)
+    bins = [r[0] for r in ensembles.other_ends(encoder.transform(df), encoder, spec).select(ensembles.share_bins(encoder, spec)).collect()]
+    assert bins == [[127, 0, 0], [127, 0, 0], [127, 0, 0], [95, 32, 0], [0, 1, 126], [0, 0, 64]]
