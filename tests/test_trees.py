@@ -250,3 +250,67 @@ def test_nodes_split_one_by_one_and_by_level_alike(monkeypatch):
         found.append(sorted(grow(growth, 1, 1, bins, sums), key=lambda r: r[0]))
     assert [r[:3] for r in found[0]] == [r[:3] for r in found[1]] == [r[:3] for r in found[2]]
     assert all(a[3] == pytest.approx(b[3]) for a, b in zip(found[0], found[2]) if a[1] == LEAF)
+
+
+def test_draws_by_the_table_are_those_of_the_marks():
+    source = Bags(3, 2)
+    near = (source.marks[:, None] + np.arange(-2, 3)).ravel()
+    near = near[near < ensembles.MODULUS]
+    at = np.concatenate([near, np.random.default_rng(1).integers(1, ensembles.MODULUS, 5000)]).astype(np.int64)
+    # The key whose number for the second bag is the one to be looked at.
+    back = pow(int(source.factors[1]), -1, ensembles.MODULUS)
+    keys = np.array([int(x) * back % ensembles.MODULUS for x in at], np.int64)
+    assert source.drawn(keys, 1).tolist() == source.draws(keys)[:, 1].tolist()
+    assert source.drawn(keys, 1).tolist() == np.searchsorted(source.marks, at, side="right").tolist()
+
+
+def test_copies_of_a_row_are_looked_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    bins, label = sample(rng, 300)
+    bins, label = np.repeat(bins, 9, axis=0), np.repeat(label, 9)
+    columns = [pa.array(rng.integers(1, 1 << 30, 2700)), pa.array(label.astype(np.int32)), pa.array(bins.tolist(), pa.list_(pa.int16()))]
+    batch = pa.record_batch(columns, ["key", "label", "bins"])
+    source = Bags(4, 3, np.array([[1.5, 0.7, 2.2]] * 4))
+    growth = Growth((0, 0, 5), 9, 3, per_node=2, least_rows=2)
+
+    def grown(tree, rows, said):
+        found = sorted(grow(growth, tree, 1, bins[rows], source.sums(tree, said)), key=lambda r: r[0])
+        return [r[:3] for r in found], [r[3] for r in found if r[1] == LEAF]
+
+    for block in (2000, 4):
+        monkeypatch.setattr(ensembles, "ALIKE_ROWS", block)
+        for tree, rows, said in source.rows(batch):
+            draws = source.drawn(columns[0].to_numpy(), tree)
+            apart = np.flatnonzero(draws)
+            plain = np.stack([label[apart], draws[apart], np.ones(len(apart))], axis=1).astype(np.int16)
+            assert len(rows) <= (300 if block > 9 else 900) < len(apart)
+            assert said[:, 1].sum() == draws.sum() and said[:, 2].sum() == len(apart)
+            (shape_of, values), (want, wanted) = grown(tree, rows, said), grown(tree, apart, plain)
+            assert shape_of == want and all(a == pytest.approx(b) for a, b in zip(values, wanted))
+
+
+def test_copies_stay_together_unless_very_many(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(recipes, "fit_forest", lambda table, *a: kept.append(table) or [(0, 1, LEAF, 0, [1.0, 0.0])])
+    rows = spark.range(400).selectExpr(
+        "id as flow_id", "'tcp' as proto", "'-' as service", "'FIN' as state", "cast(id as double) as sbytes",
+        "1.0D as dbytes", "case when id < 2 then 'Worms' else 'Normal' end as attack_cat",
+    )
+    recipes.train(recipes.RECIPES["forest_oversampled"], rows)
+    parts = kept[0].select("bins", F.spark_partition_id().alias("p"), F.input_file_name().alias("f"))
+    of_one = parts.groupBy("bins").agg(F.count("*").alias("n"), F.countDistinct("f").alias("files")).collect()
+    many = [r for r in of_one if r["n"] > 100]
+    assert sum(r["n"] for r in of_one) == 2 * 318 and many
+    assert all(1 < r["files"] <= -(-r["n"] // recipes._COPIES_TOGETHER) for r in many)
+
+
+def test_packed_sums_of_a_node_equal_plain_ones(monkeypatch):
+    bins, label = sample(np.random.default_rng(6), 9000)
+    sums = class_sums(label) * [2.5, 1.0, 0.3, 1.0]
+    growth = Growth((0, 0, 5), 9, 3, per_node=2, least_rows=3)
+    packed = sorted(grow(growth, 1, 1, bins, sums), key=lambda r: r[0])
+    assert trees._Rows(growth, bins, sums).label is not None
+    monkeypatch.setattr(trees._Rows, "_pack", lambda self: None)
+    plain = sorted(grow(growth, 1, 1, bins, sums), key=lambda r: r[0])
+    assert [r[:3] for r in packed] == [r[:3] for r in plain]
+    assert all(a[3] == pytest.approx(b[3]) for a, b in zip(packed, plain) if a[1] == LEAF)
