@@ -312,3 +312,37 @@ def test_shares_of_category_values(spark):
     encoder = ensembles.fit_bins(fit, spec)
     bins = [r[0] for r in ensembles.other_ends(encoder.transform(df), encoder, spec).select(ensembles.share_bins(encoder, spec)).collect()]
     assert bins == [[127, 0, 0], [127, 0, 0], [127, 0, 0], [95, 32, 0], [0, 1, 126], [0, 0, 64]]
+
+
+def test_texts_of_captures_are_parsed_once(spark, tmp_path, vpn_rows, vpn_model):
+    """Medians and model read the numbers that were stored with the rows; the result has the texts as they were."""
+    from flowlens.plans.scoring import score_captures
+    from flowlens.sources import captures
+
+    spelled = vpn_rows.drop("class1", "extra").withColumn("duration", F.concat(F.col("duration").cast("string"), F.lit("e0")))
+    spelled.write.csv(f"{tmp_path}/in", header=True)
+    found = captures.open_flows(spark, f"{tmp_path}/in")
+    scored = score_captures(found, None, vpn_model).scored
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
+    assert not [c for c in scored.columns if c.startswith("__")]
+    got = {r["flow_id"]: (r["duration"], r["predicted_vpn"]) for r in scored.collect()}
+    plain = {str(r["flow_id"]): r["predicted_vpn"] for r in score_vpn(vpn_rows, vpn_model).collect()}
+    assert {i: p for i, (_, p) in got.items()} == plain and got["1"][0] == "1.0e0"
+
+
+def test_rows_are_scored_many_at_a_time(spark, vpn_rows, vpn_model, monkeypatch):
+    """Arrow batches are put together before trees are walked; shares are those of batches one by one."""
+    asked = spark.createDataFrame([(i,) for i in range(50)], "id long").coalesce(1)
+    columns = [F.col("id").cast("int")] * len(vpn_model.model.growth.values)
+    trees = ensembles.nodes_of(vpn_model.model.found)
+    rows = {}
+    for most in (1, 1 << 17):
+        monkeypatch.setattr(ensembles, "SCORED_ROWS", most)
+        score = ensembles._scorer(vpn_model.model.growth, trees, 2, len(columns), None)
+        walked = list(score.func(iter([tuple(ensembles.pa.array(range(n, n + 10)) for _ in columns) for n in range(0, 50, 10)])))
+        rows[most] = ([len(x) for x in walked], [v for x in walked for v in x.to_pylist()])
+    assert rows[1][0] == [10] * 5 and rows[1 << 17][0] == [50]
+    assert rows[1][1] == rows[1 << 17][1]
+    scored = asked.select(score(*columns).alias("p")).collect()
+    assert [r["p"] for r in scored] == rows[1][1]
