@@ -275,3 +275,20 @@ def test_with_class_weights_keeps_rows(spark):
     assert got.count() == df.count()
     total = got.agg(F.sum("weight")).first()[0]
     assert total == pytest.approx(sum(SIZES.values()))
+
+
+def test_smote_digests_its_rows_once(spark, monkeypatch):
+    """The passes over the rows of small classes read stored digests."""
+    from flowlens.operators import smote as module
+
+    written = []
+    monkeypatch.setattr(module, "written_table", lambda df, name: written.append(df) or shared.written_table(df, name))
+    monkeypatch.setattr(sampling, "hash_key", None)
+    got = run_smote(cloud(spark))
+    assert len(written) == 1 and "__digest" in written[0].columns and "__digest" not in got.columns
+    assert got.count() > 0
+
+
+def test_numbers_that_are_equal_share_the_first_key(spark):
+    row = spark.sql("select xxhash64('a', 0.0d), xxhash64('a', -0.0d), xxhash64('a', double('nan'))").first()
+    assert row[0] == row[1] != row[2]
