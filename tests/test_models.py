@@ -1,7 +1,10 @@
+import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import functions as F
 
-from flowlens.operators import encoding, ensembles
+from flowlens.operators import encoding, ensembles, perceptron
 from flowlens.operators.encoding import prepare
 from flowlens.operators.ensembles import TreeModel
 from flowlens.operators.stats import fit_medians
@@ -346,3 +349,38 @@ def test_rows_are_scored_many_at_a_time(spark, vpn_rows, vpn_model, monkeypatch)
     assert rows[1][1] == rows[1 << 17][1]
     scored = asked.select(score(*columns).alias("p")).collect()
     assert [r["p"] for r in scored] == rows[1][1]
+
+
+def test_perceptron_is_spark_mls(spark, monkeypatch):
+    """Start, slope, steps and model equal those of Spark ML's solver; no pass of it reads the rows."""
+    drawn = np.random.default_rng(1).standard_normal((1024, 2)).tolist()
+    # The last code has no slot, as an unseen category.
+    rows = spark.createDataFrame([(float((a > 0.2) + (b > 0.5)), a, b, float(i % 6)) for i, (a, b) in enumerate(drawn)], "y double, a double, b double, c double")
+    hot = OneHotEncoder(inputCol="c", outputCol="hot").fit(rows).transform(rows)
+    ready = VectorAssembler(inputCols=["a", "b", "hot"], outputCol="x").transform(hot).coalesce(1)
+    network = MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[7, 16, 8, 3], seed=42, maxIter=15)
+    theirs = network.fit(ready).weights.toArray()
+    fit, sizes = MultilayerPerceptronClassifier._fit, []
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit", lambda self, df: sizes.append(df.count()) or fit(self, df))
+    single = perceptron.fit_perceptron(network, ready, ["a", "b"], ["c"], [5])
+    assert np.abs(single.weights.toArray() - theirs).max() < 1e-4 and single.getMaxIter() == 15
+    solve = perceptron.minimise
+    monkeypatch.setattr(perceptron, "minimise", lambda cost, *rest: solve(lambda w, kind: cost(w, np.float64), *rest))
+    double = perceptron.fit_perceptron(network, ready, ["a", "b"], ["c"], [5])
+    assert np.abs(double.weights.toArray() - theirs).max() < 1e-9
+    assert sizes == [1] * 4
+
+
+def test_solver_goes_on_in_double_precision():
+    """Where single precision shows nothing to gain, the search is repeated in double; it ends where both fail."""
+    asked = []
+
+    def cost(weights, kind):
+        asked.append(kind)
+        moved = weights - 1
+        return (1.0, moved) if kind is np.float32 else (float(moved @ moved) / 2, moved)
+
+    assert np.abs(perceptron.minimise(cost, np.zeros(3), 50, 1e-6) - 1).max() < 1e-6
+    assert asked[0] is np.float32 and asked[-1] is np.float64
+    stuck = perceptron.minimise(lambda w, kind: (1.0, np.ones(3)), np.zeros(3), 50, 1e-6)
+    assert stuck.tolist() == [0, 0, 0]
