@@ -314,3 +314,53 @@ def test_packed_sums_of_a_node_equal_plain_ones(monkeypatch):
     plain = sorted(grow(growth, 1, 1, bins, sums), key=lambda r: r[0])
     assert [r[:3] for r in packed] == [r[:3] for r in plain]
     assert all(a[3] == pytest.approx(b[3]) for a, b in zip(packed, plain) if a[1] == LEAF)
+
+
+def test_rows_are_sent_as_few_bytes_and_in_jobs_of_bounded_size(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, label = sample(rng, 3000)
+    batch = pa.record_batch(
+        [pa.array(rng.integers(1, 1 << 30, 3000)), pa.array(label.astype(np.int32)), pa.array(bins.tolist(), pa.list_(pa.int16()))],
+        ["key", "label", "bins"],
+    )
+    source, growth = Bags(3, 3, np.array([[1.5, 0.7, 2.2]] * 3)), Growth((0, 0, 5), 9, 3, per_node=2, least_rows=2)
+    layout = trees.Layout(source.bits(bins.max(axis=0)))
+    sent = pa.Table.from_batches(trees._send_rows(growth, source, {}, frozenset({(0, 1), (2, 1)}), layout)(iter([batch])))
+    assert sent.column("tree").to_pylist() == [0, 2]
+    keys = batch.column("key").to_numpy()
+    for i, tree in enumerate((0, 2)):
+        drawn = np.flatnonzero(source.drawn(keys, tree))
+        assert len(sent["bins"][i].as_py()) + len(sent["sums"][i].as_py()) <= 9 * len(drawn)
+        got = trees._finish(growth, source, layout)(sent.slice(i, 1)).to_pylist()
+        said = np.stack([label[drawn], source.drawn(keys, tree)[drawn], np.ones(len(drawn))], axis=1).astype(np.int16)
+        want = grow(growth, tree, 1, bins[drawn], source.sums(tree, said))
+        assert sorted((r["node"], r["column"], r["bin"]) for r in got) == sorted(r[:3] for r in want)
+    monkeypatch.setattr(trees, "JOB_BYTES", 1000)
+    small = {(t, n): 50 for t in range(4) for n in (2, 3)}
+    assert [sorted(x) for x in trees._jobs(small, 9)] == [[(t, 2), (t, 3)] for t in range(4)]
+    monkeypatch.setattr(trees, "JOB_BYTES", 2000)
+    assert [len(x) for x in trees._jobs(small, 9)] == [4, 4]
+
+
+def test_words_hold_what_was_put_in():
+    rng = np.random.default_rng(9)
+    bits = [3, 11, 0, 16, 30, 7, 1]
+    columns = [rng.integers(0, 1 << n, 500) for n in bits]
+    layout = trees.Layout(bits)
+    words = layout.pack(columns)
+    assert words.shape == (500, 2)
+    assert all((layout.column(words, i) == c).all() for i, c in enumerate(columns))
+
+
+def test_subtrees_leave_no_shuffle_files(binned, tmp_path, monkeypatch):
+    """Rows sent in several jobs give the trees of one job, and the shuffle setting is as before."""
+    growth = Growth((0, 0, 5), 7, 42, per_node=2, least_rows=2)
+    spark = binned.sparkSession
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    want = fit_forest(binned, growth, 3, 4)
+    dropped = []
+    plain = trees.shuffles_dropped
+    monkeypatch.setattr(trees, "shuffles_dropped", lambda s: dropped.append(1) or plain(s))
+    monkeypatch.setattr(trees, "JOB_BYTES", 9 * 1500)
+    assert shape(fit_forest(binned, growth, 3, 4)) == shape(want) and len(dropped) > 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
