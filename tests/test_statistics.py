@@ -209,3 +209,26 @@ def test_approximate_medians(spark):
     df = spark.createDataFrame([(float(i), i % 2) for i in range(999)] + [(None, 0)], "x double, k int")
     got = {r["k"]: r["median"] for r in stats.column_medians(df, ["x"], ["k"], approx=True).collect()}
     assert got == {0: 498.0, 1: 499.0}
+
+
+def test_medians_and_quantiles_by_points_of_blocks(spark, monkeypatch):
+    """Blocks larger than their points: medians stay exact, by a second scan, and quantiles off by few ranks."""
+    monkeypatch.setattr(stats, "_POINTS", 64)
+    monkeypatch.setattr(stats, "_POINTS_ERROR", 0.02)
+    monkeypatch.setattr(stats, "column_medians", None)
+    rows = [(float(i * 7919 % 5003) ** 2, None if i % 3 else float(i), None, "x" if i % 5 else str(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, none double, text string").repartition(5)
+    got = stats.fit_medians(df, ["a", "b", "none", "text"])
+    want = [median(v) for v in ([r[0] for r in rows], [r[1] for r in rows if r[1] is not None], range(0, 5000, 5))]
+    assert [got["a"], got["b"], got["text"]] == want and got["none"] is None
+    found = stats.quantile_points(df.select("a"), [0.1, 0.5, 0.9])[0]
+    ordered = sorted(r[0] for r in rows)
+    assert found["n"] == 5000 and found["low"] == ordered[0] and not found["exact"]
+    assert all(abs(ordered.index(v) - share * 5000) < 100 for v, share in zip(found["marks"], (0.1, 0.5, 0.9)))
+
+
+def test_medians_fall_back_where_the_points_do_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(stats, "_POINTS", 8)
+    monkeypatch.setattr(stats, "_POINTS_ERROR", 0.0)
+    df = spark.range(1001).select((F.col("id").cast("double") ** 3).alias("a")).repartition(7)
+    assert stats.fit_medians(df, ["a"]) == {"a": 500.0**3}
