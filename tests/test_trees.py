@@ -364,3 +364,16 @@ def test_subtrees_leave_no_shuffle_files(binned, tmp_path, monkeypatch):
     monkeypatch.setattr(trees, "JOB_BYTES", 9 * 1500)
     assert shape(fit_forest(binned, growth, 3, 4)) == shape(want) and len(dropped) > 1
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+
+
+def test_derivatives_of_a_large_node_are_summed_without_lines_of_all_rows(monkeypatch):
+    rng = np.random.default_rng(10)
+    bins, _ = sample(rng, 5000)
+    sums = np.column_stack([rng.normal(size=5000), rng.random(5000), np.ones(5000)])
+    here = trees._Rows(Growth((0, 0, 5), 8, 3, boosting=True), bins, sums)
+    rows = np.flatnonzero(rng.random(5000) < 0.7)
+    want = [trees.cells_of(np.zeros(len(rows), np.int64), bins[rows, c].astype(np.int64), sums[rows]) for c in range(3)]
+    monkeypatch.setattr(trees, "cells_of", None)
+    for c in range(3):
+        got = here.cells_of_one(c, rows, here.told(rows))
+        assert all((a == b).all() for a, b in zip(got, want[c]))
